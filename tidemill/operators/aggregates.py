@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import mean_of, space_tokens
-from tidemill.operators.skew import PIECE, with_piece
+from tidemill.operators.skew import PIECE, large_groups, with_piece
+
+MAX_LIST = 100_000
 
 
 def word_count(lines: DataFrame, column: str = "text") -> DataFrame:
@@ -55,25 +57,51 @@ def collect_by_key(
     value: str,
     *,
     key_name: str = "key",
-    hot: DataFrame | None = None,
     spread_by: Sequence[str] | None = None,
+    max_list: int = MAX_LIST,
 ) -> DataFrame:
     """Sorted list of the values of every key: columns key, piece, values.
 
-    A list has to fit one task. A hot key (see ``hot_keys``, over the column
-    ``key_name``) therefore gets several lists, numbered by ``piece``, whose
-    concatenation is the whole group; every other key has one list, piece 0.
-    ``spread_by`` are columns that tell the rows of a hot key apart.
+    A list has to fit one task. A key with more than ``max_list`` rows therefore
+    gets several lists, numbered by ``piece``, which together are the whole
+    group; every other key has one list, piece 0. ``spread_by`` are columns that
+    tell the rows of one key apart. Without them equal values of a large key are
+    counted first, so that a value repeated without end does not fill one list.
     """
     key_column = F.col(key) if isinstance(key, str) else key
-    spread = list(spread_by) if spread_by else [value]
-    extra = [c for c in spread if c != value]
-    keyed = df.select(key_column.alias(key_name), F.col(value), *extra)
+    extra = [c for c in spread_by or () if c != value]
+    keyed = df.select(key_column.alias(key_name), F.col(value).alias("_value"), *extra)
+    large = large_groups(keyed, [key_name], max_list)
+    if large is None or spread_by:
+        spread = ["_value" if c == value else c for c in spread_by or [value]]
+        lists = (
+            with_piece(keyed, [key_name], large, spread)
+            .groupBy(key_name, PIECE)
+            .agg(F.collect_list("_value").alias("_values"))
+        )
+    else:
+        lists = _collect_runs(keyed, key_name, large, max_list)
+    return lists.select(
+        key_name, F.col(PIECE).alias("piece"), F.sort_array("_values").alias("values")
+    )
+
+
+def _collect_runs(
+    keyed: DataFrame, key_name: str, large: DataFrame, max_list: int
+) -> DataFrame:
+    """Lists by way of (value, count) runs; a long run is cut into several."""
+    longest = max(1, max_list // 2)
+    runs = keyed.groupBy(key_name, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    last = F.ceil(F.col("_n") / longest) - 1
+    cut = runs.withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumn(
+        "_n", F.least(F.col("_n") - F.col("_cut") * longest, F.lit(longest)).cast("int")
+    )
+    repeated = F.flatten(F.transform("_runs", lambda r: F.array_repeat(r["_value"], r["_n"])))
     return (
-        with_piece(keyed, [key_name], hot, spread)
+        with_piece(cut, [key_name], large, ["_value", "_cut"])
         .groupBy(key_name, PIECE)
-        .agg(F.sort_array(F.collect_list(value)).alias("values"))
-        .withColumnRenamed(PIECE, "piece")
+        .agg(F.collect_list(F.struct("_value", "_n")).alias("_runs"))
+        .select(key_name, PIECE, repeated.alias("_values"))
     )
 
 

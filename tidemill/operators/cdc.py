@@ -54,22 +54,35 @@ def once_per_position(
     return changes.dropDuplicates(["position"])
 
 
-def signed_amounts(changes: DataFrame, amount: str) -> DataFrame:
-    """What each change adds to a total: the new amount less the old one."""
+def signed_amounts(changes: DataFrame, amount: str, *keep: str) -> DataFrame:
+    """What each change adds to a total: the new amount less the old one.
+
+    Columns position and delta; ``keep`` passes others on, such as the event time.
+    """
     kind = changes.schema["after"].dataType[amount].dataType
     zero = F.lit(0).cast(kind)
     delta = F.coalesce(F.col(f"after.{amount}"), zero) - F.coalesce(F.col(f"before.{amount}"), zero)
-    return changes.select("position", delta.alias("delta"))
+    return changes.select("position", delta.alias("delta"), *keep)
 
 
-def running_total(changes: DataFrame, amount: str, key_name: str, total_type: str | None = None) -> DataFrame:
+def running_total(
+    changes: DataFrame,
+    amount: str,
+    key_name: str,
+    *,
+    total_type: str | None = None,
+    event_time: str | None = None,
+    delay: str | None = None,
+) -> DataFrame:
     """One row (key_name, total): the sum over the rows as they are now.
 
     Retraction by signed amounts needs only one partial + final sum, so it works
-    on a stream in update mode. ``total_type`` narrows the total and fails on
-    overflow.
+    on a stream in update mode. Events delivered again are counted once.
+    ``total_type`` narrows the total and fails on overflow.
     """
-    summed = signed_amounts(changes, amount).agg(F.sum("delta").alias("total"))
+    keep = [event_time] if event_time else []
+    deltas = once_per_position(signed_amounts(changes, amount, *keep), event_time, delay)
+    summed = deltas.agg(F.sum("delta").alias("total"))
     value = F.col("total").cast(total_type) if total_type else F.col("total")
     return summed.select(F.lit(key_name).alias("key_name"), value.alias("total"))
 

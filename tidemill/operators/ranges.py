@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 RANGE = "_range"
 CARRIED = "_carried"
 ROWS_PER_RANGE = 500_000
-MAX_RANGES = 4096
+MAX_RANGES = 8192
 SAMPLES_PER_RANGE = 40
 
 

@@ -12,26 +12,35 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.shared import keep
+
 PIECE = "_piece"
 PIECES = "_pieces"
+SAMPLES_PER_SHARE = 100
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
 class SkewRule:
     """When a key is hot: it holds at least ``share`` of the rows.
 
-    At most ``1 / share`` keys can do that, which bounds what is broadcast and
-    what the driver holds. Tables under ``min_rows`` are left alone.
+    By default the share is that of an average shuffle partition, but at most
+    1/200. At most ``1 / share`` keys can be hot, which bounds what is broadcast
+    and what the driver holds. Tables under ``min_rows`` are left alone.
     """
 
     min_rows: int = 5_000_000
-    share: float = 1 / 2000
-    sample_rows: int = 1_000_000
+    share: float | None = None
     seed: int = 17
 
+    def share_for(self, spark: SparkSession) -> float:
+        if self.share is not None:
+            return self.share
+        return 1 / max(200, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
 
 DEFAULT_RULE = SkewRule()
 
@@ -46,9 +55,10 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rule: SkewRule = DEFAULT_RULE)
     total = keyed.count()
     if total < rule.min_rows:
         return None
-    fraction = min(1.0, rule.sample_rows / total)
+    share = rule.share_for(df.sparkSession)
+    fraction = min(1.0, SAMPLES_PER_SHARE / share / total)
     sample = keyed if fraction == 1.0 else keyed.sample(fraction, seed=rule.seed)
-    threshold = max(2, math.ceil(rule.share * fraction * total))
+    threshold = max(2, math.ceil(share * fraction * total))
     counted = (
         sample.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -60,7 +70,29 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rule: SkewRule = DEFAULT_RULE)
     rows = counted.collect()
     if not rows:
         return None
-    return df.sparkSession.createDataFrame(rows, counted.schema)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, counted.schema))
+
+
+def large_groups(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame | None:
+    """Every key with more than ``max_rows`` rows, with the number of pieces for it.
+
+    Counted exactly, for results that have to fit one task whatever the size of
+    the table. Broadcast only after its rows were counted.
+    """
+    keyed = df.select(*keys)
+    if keyed.count() <= max_rows:
+        return None
+    large = keep(
+        keyed.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > max_rows)
+        .withColumn(PIECES, F.ceil(F.col("_rows") * 2 / max_rows).cast("int"))
+        .drop("_rows")
+    )
+    found = large.count()
+    if found == 0:
+        return None
+    return F.broadcast(large) if found <= BROADCAST_ROWS else large
 
 
 def with_piece(
@@ -74,7 +106,7 @@ def with_piece(
     if hot is None:
         return df.withColumn(PIECE, F.lit(0).cast("bigint"))
     spread = F.pmod(F.xxhash64(*spread_by), F.col(PIECES).cast("bigint"))
-    marked = _join_null_safe(df, F.broadcast(hot), keys, "left")
+    marked = _join_null_safe(df, hot, keys, "left")
     return marked.withColumn(
         PIECE, F.when(F.col(PIECES).isNull(), F.lit(0).cast("bigint")).otherwise(spread)
     ).drop(PIECES)
@@ -94,8 +126,10 @@ def spread_join(
 
     The matching rows of ``right`` are repeated once per piece; every row of
     ``left`` is in exactly one piece, so inner, left, left_semi and left_anti
-    joins give the same rows as without pieces. With ``null_safe`` null keys
-    match each other, as they do in a grouping.
+    joins give the same rows as without pieces. ``spread_by`` are columns that
+    tell the rows of a hot key apart, by default all; whole-row copies share a
+    piece, which AQE may still split. With ``null_safe`` null keys match each
+    other, as they do in a grouping.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"spread_join does not support {how}")
@@ -107,7 +141,7 @@ def spread_join(
     spread = list(spread_by) if spread_by else list(left.columns)
     left_pieces = with_piece(left, keys, hot, spread)
     right_pieces = (
-        _join_null_safe(right, F.broadcast(hot), keys, "left")
+        _join_null_safe(right, hot, keys, "left")
         .withColumn(
             PIECE,
             F.explode(

@@ -18,6 +18,7 @@ from tidemill.operators.relational import (
     join_right_suffix,
     without_match,
 )
+from tidemill.operators.skew import hot_keys
 
 NEW = "_new"
 
@@ -26,6 +27,8 @@ HISTORY_COLUMNS = ("id", "rowIsCurrent", "rowEndDate")
 STAGE_MODE = "stage"
 SCD1_MODE = "scd-type1"
 
+CHANGE, INSERTED, UPDATED = "change", "inserted", "updated"
+
 
 def with_load_time(df: DataFrame, now: Column | None = None) -> DataFrame:
     return df.withColumn("modifiedDate", F.current_timestamp() if now is None else now)
@@ -42,6 +45,23 @@ def _staged_rows(joined: DataFrame, condition: Column, key: str, compared: Seque
     return joined.filter(condition).select(key, *[F.col(f"{c}{NEW}").alias(c) for c in compared])
 
 
+def _is_updated(compared: Sequence[str], null_safe: bool) -> Column:
+    if null_safe:
+        return fold_any([~F.col(c).eqNullSafe(F.col(f"{c}{NEW}")) for c in compared])
+    return fold_any(
+        [
+            (F.col(c).isNull() & F.col(f"{c}{NEW}").isNotNull()) | (F.col(c) != F.col(f"{c}{NEW}"))
+            for c in compared
+        ]
+    )
+
+
+def _is_new(compared: Sequence[str], known: str | None) -> Column:
+    if known is not None:
+        return F.col(known).isNull()
+    return fold_all([F.col(c).isNull() for c in compared])
+
+
 def scd1_updated_rows(
     joined: DataFrame, columns: Sequence[str], special: Sequence[str], null_safe: bool = False
 ) -> DataFrame:
@@ -52,14 +72,7 @@ def scd1_updated_rows(
     ``null_safe``.
     """
     compared = compared_columns(columns, special)
-    if null_safe:
-        changed = [~F.col(c).eqNullSafe(F.col(f"{c}{NEW}")) for c in compared]
-    else:
-        changed = [
-            (F.col(c).isNull() & F.col(f"{c}{NEW}").isNotNull()) | (F.col(c) != F.col(f"{c}{NEW}"))
-            for c in compared
-        ]
-    return _staged_rows(joined, fold_any(changed), special[0], compared)
+    return _staged_rows(joined, _is_updated(compared, null_safe), special[0], compared)
 
 
 def scd1_new_rows(
@@ -74,14 +87,10 @@ def scd1_new_rows(
     matched row whose attributes are all null is not taken for a new one.
     """
     compared = compared_columns(columns, special)
-    if known is not None:
-        missing = F.col(known).isNull()
-    else:
-        missing = fold_all([F.col(c).isNull() for c in compared])
-    return _staged_rows(joined, missing, special[0], compared)
+    return _staged_rows(joined, _is_new(compared, known), special[0], compared)
 
 
-def scd1_find(
+def scd1_changes(
     dim: DataFrame,
     stage: DataFrame,
     special: Sequence[str],
@@ -89,12 +98,13 @@ def scd1_find(
     placeholder_rows: int = 1,
     null_safe: bool = False,
     by_key: bool = False,
-) -> tuple[DataFrame, DataFrame]:
-    """Split staged rows into (updated, inserted) against the dimension.
+) -> DataFrame:
+    """Staged rows to load, with a column ``change``: inserted or updated.
 
-    ``special[0]`` is the key; no column of ``special`` is compared, and all
-    other columns of the dimension have to be staged. A dimension with at most
-    ``placeholder_rows`` rows is taken as empty: every staged row is an insert.
+    ``special[0]`` is the key of the dimension, where it is unique; no column of
+    ``special`` is compared, and all other columns have to be staged. A
+    dimension with at most ``placeholder_rows`` rows is taken as empty, so that
+    every staged row is an insert. One join decides on both kinds of change.
     """
     key = special[0]
     compared = compared_columns(dim.columns, special)
@@ -103,15 +113,26 @@ def scd1_find(
         raise ValueError(f"stage lacks the dimension columns {absent}")
     staged = stage.select(key, *compared)
     if dim.limit(placeholder_rows + 1).count() <= placeholder_rows:
-        return staged.limit(0), staged
+        return staged.select(F.lit(INSERTED).alias(CHANGE), "*")
     old = dim.select(key, *compared)
     if by_key:
         old = old.withColumn("_known", F.lit(True))
-    joined = join_right_suffix(old, staged, [key], NEW)
-    inserted = scd1_new_rows(joined, dim.columns, special, "_known" if by_key else None)
-    updated = scd1_updated_rows(joined, dim.columns, special, null_safe)
-    # Both sides come from the same join by key: its shuffles are reused here.
-    return without_match(updated, inserted, [key]), inserted
+    joined = join_right_suffix(old, staged, [key], NEW, hot=hot_keys(staged, [key]))
+    is_new = _is_new(compared, "_known" if by_key else None)
+    change = F.when(is_new, INSERTED).when(_is_updated(compared, null_safe), UPDATED)
+    marked = joined.withColumn(CHANGE, change).filter(F.col(CHANGE).isNotNull())
+    return marked.select(CHANGE, key, *[F.col(f"{c}{NEW}").alias(c) for c in compared])
+
+
+def scd1_find(
+    dim: DataFrame, stage: DataFrame, special: Sequence[str], **options
+) -> tuple[DataFrame, DataFrame]:
+    """``scd1_changes`` as two frames: (updated, inserted)."""
+    changes = scd1_changes(dim, stage, special, **options)
+    updated, inserted = (
+        changes.filter(F.col(CHANGE) == kind).drop(CHANGE) for kind in (UPDATED, INSERTED)
+    )
+    return updated, inserted
 
 
 # -- type 2 -----------------------------------------------------------------
@@ -186,17 +207,23 @@ def scd2_apply(
             value = F.lit(None)
         return value.cast(types[c]).alias(c)
 
-    added = without_match(one_per_key(stage, [key]), still_current, [key])
+    added = without_match(one_per_key(stage, [key]), still_current, [key]).unionByName(
+        stage.filter(~_has_key([key]))
+    )
     return after.unionByName(added.select(*[added_column(c) for c in dim.columns]))
 
 
 # -- keyed writes -----------------------------------------------------------
 
 
+def _has_key(keys: Sequence[str]) -> Column:
+    return fold_all([F.col(k).isNotNull() for k in keys])
+
+
 def one_per_key(
     df: DataFrame, keys: Sequence[str], latest_by: str | None = None, first: bool = False
 ) -> DataFrame:
-    """At most one row per key; rows with a null key are all kept.
+    """At most one row per key, of the rows whose key is not null.
 
     With ``latest_by`` the row with its highest (``first``: lowest) value stays.
     Without it a repeated key raises an error when the rows are read. Runs as a
@@ -204,23 +231,19 @@ def one_per_key(
     shuffle.
     """
     keys = list(keys)
-    columns = df.columns
-    rest = [c for c in columns if c not in keys]
-    row = F.struct(*[F.col(c) for c in rest]) if rest else F.struct(F.lit(1).alias("_"))
-    keyed = fold_all([F.col(k).isNotNull() for k in keys])
-    grouped = df.filter(keyed).groupBy(*keys)
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*rest) if rest else F.struct(F.lit(1).alias("_"))
+    grouped = df.filter(_has_key(keys)).groupBy(*keys)
     if latest_by is None:
-        repeated = F.raise_error(
-            F.concat(F.lit("repeated key: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
-        )
+        key_text = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+        repeated = F.raise_error(F.concat(F.lit("repeated key: "), key_text)).cast("boolean")
         merged = grouped.agg(F.first(row).alias("_row"), F.count(F.lit(1)).alias("_n")).filter(
-            F.when(F.col("_n") > 1, repeated.cast("boolean")).otherwise(True)
+            F.when(F.col("_n") > 1, repeated).otherwise(True)
         )
     else:
         pick = F.min_by if first else F.max_by
         merged = grouped.agg(pick(row, F.col(latest_by)).alias("_row"))
-    single = merged.select(*[F.col(k) if k in keys else F.col(f"_row.{k}") for k in columns])
-    return single.unionByName(df.filter(~keyed))
+    return merged.select(*[F.col(k) if k in keys else F.col(f"_row.{k}") for k in df.columns])
 
 
 def upsert(
@@ -229,18 +252,26 @@ def upsert(
     """Source rows replace target rows with the same key; other rows stay.
 
     Null keys conflict with nothing. A key twice in the source is an error
-    unless ``latest_by`` says which row is the last.
+    unless ``latest_by`` says which row is the last. A small source is broadcast
+    to the target, which then is not shuffled.
     """
     rows = one_per_key(source, keys, latest_by).select(*target.columns)
-    return without_match(target, rows, keys).unionByName(rows)
+    unkeyed = source.filter(~_has_key(keys)).select(*target.columns)
+    return without_match(target, source, keys).unionByName(rows).unionByName(unkeyed)
 
 
 def insert_if_absent(
     target: DataFrame, source: DataFrame, keys: Sequence[str], first_by: str | None = None
 ) -> DataFrame:
-    """Source rows whose key the target lacks are added; conflicts are skipped."""
+    """Source rows whose key the target lacks are added; conflicts are skipped.
+
+    The target is first cut to the keys of the source, so that a small source
+    can be broadcast to a large target instead of the target being shuffled.
+    """
     rows = one_per_key(source, keys, first_by, first=True).select(*target.columns)
-    return target.unionByName(without_match(rows, target, keys))
+    unkeyed = source.filter(~_has_key(keys)).select(*target.columns)
+    taken = target.select(*keys).join(source.select(*keys), on=list(keys), how="left_semi")
+    return target.unionByName(without_match(rows, taken, keys)).unionByName(unkeyed)
 
 
 def keyed_update(

@@ -24,12 +24,17 @@ def share_of_group(
 ) -> DataFrame:
     """Every row's percentage of its group's total; null where the total is zero.
 
-    The whole-partition window is written as a total per group joined back: the
-    totals are combined before the shuffle, and ``hot`` groups (see ``hot_keys``)
-    are cut into pieces for the join. Null keys form a group.
+    Without ``hot`` groups (see ``hot_keys``) this is a window: one scan and one
+    shuffle. With them a window would put a hot group into one task, so the
+    totals are combined before their shuffle and joined back in pieces.
     """
-    totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
-    joined = spread_join(df, totals, keys, "left", hot=hot, spread_by=spread_by, null_safe=True)
+    if hot is None:
+        joined = df.withColumn("_total", F.sum(value).over(Window.partitionBy(*keys)))
+    else:
+        totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
+        joined = spread_join(
+            df, totals, keys, "left", hot=hot, spread_by=spread_by, null_safe=True
+        )
     return joined.withColumn(name, percent_of(F.col(value), F.col("_total"), digits)).drop("_total")
 
 

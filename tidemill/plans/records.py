@@ -219,6 +219,6 @@ def generate_profile(spark, sf_dir):
 def cdc_total_batch(spark, sf_dir):
     """The running total's recipe over the whole change log at once."""
     row = spark.createDataFrame([], SALES_ROW).schema
-    changes = cdc.once_per_position(cdc.parse_envelopes(sales_changes(spark, sf_dir), row))
+    changes = cdc.parse_envelopes(sales_changes(spark, sf_dir), row)
     total = cdc.running_total(changes, "sale_amount", "total_sales")
     return total.withColumn("total", F.col("total").cast("double"))

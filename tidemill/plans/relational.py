@@ -145,7 +145,7 @@ def avg_by_key(spark, sf_dir):
 def collect_by_key(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     lists = aggregates.collect_by_key(
-        orders, "o_custkey", "o_orderkey", key_name="o_custkey", hot=hot_keys(orders, ["o_custkey"])
+        orders, "o_custkey", "o_orderkey", key_name="o_custkey", spread_by=["o_orderkey"]
     )
     return lists.select(
         "o_custkey",
@@ -161,9 +161,12 @@ def collect_by_key(spark, sf_dir):
     FROM part GROUP BY p_size % 2"""
 )
 def group_by_expr(spark, sf_dir):
-    part = table(spark, sf_dir, "part").withColumn("odd", F.col("p_size") % 2)
     lists = aggregates.collect_by_key(
-        part, "odd", "p_partkey", key_name="odd", hot=hot_keys(part, ["odd"])
+        table(spark, sf_dir, "part"),
+        F.col("p_size") % 2,
+        "p_partkey",
+        key_name="odd",
+        spread_by=["p_partkey"],
     )
     return lists.select(
         "odd",

@@ -40,8 +40,8 @@ def count_words(lines: DataFrame) -> DataFrame:
 def stream_line_count(spark, sf_dir):
     base, checkpoint = new_folder(spark, "lines"), new_folder(spark, "checkpoint")
     counts = count_lines(document_lines(spark, sf_dir))
-    sinks.drain(sinks.snapshot_writer(counts, base, checkpoint))
-    counted = sinks.read_snapshot(spark, base)
+    sinks.drain(spark, sinks.keyed_table_writer(counts, base, checkpoint))
+    counted = sinks.read_latest(spark, base, ["word"])
     return counted.select(F.concat_ws("|", "word").alias("words"), "count")
 
 
@@ -54,10 +54,20 @@ def stream_line_count(spark, sf_dir):
 def stream_wordcount(spark, sf_dir):
     base, checkpoint = new_folder(spark, "words"), new_folder(spark, "checkpoint")
     counts = count_words(document_lines(spark, sf_dir))
-    sinks.drain(sinks.keyed_table_writer(counts, base, checkpoint))
+    sinks.drain(spark, sinks.keyed_table_writer(counts, base, checkpoint))
     return sinks.read_latest(spark, base, ["word"])
 
 
+@plan("""SELECT event_type, count(*) AS "count" FROM events GROUP BY event_type""")
+def stream_count_snapshot(spark, sf_dir):
+    """Complete mode: the whole result is written after each batch."""
+    base, checkpoint = new_folder(spark, "by-type"), new_folder(spark, "checkpoint")
+    events = table_stream(spark, table_path(sf_dir, "events"))
+    counts = events.groupBy("event_type").count()
+    sinks.drain(spark, sinks.snapshot_writer(counts, base, checkpoint))
+    return sinks.read_snapshot(spark, base)
+
+
 VALUE_COLUMNS = ["event_id", "user_id", "event_type", "value"]
 
 
@@ -85,7 +95,7 @@ def stream_topic_decode(spark, sf_dir):
     schema = table(spark, sf_dir, "events").select(*VALUE_COLUMNS).schema
     topic = table_stream(spark, write_topic(spark, sf_dir), TOPIC_SCHEMA)
     decoded = records.from_topic_rows(topic, schema, "offset")
-    sinks.drain(sinks.appended_table_writer(decoded, base, checkpoint))
+    sinks.drain(spark, sinks.appended_table_writer(decoded, base, checkpoint))
     return sinks.read_appended(spark, base)
 
 
@@ -95,7 +105,7 @@ def stream_append_partitioned(spark, sf_dir):
     events = table_stream(spark, table_path(sf_dir, "events")).select(
         "event_id", "user_id", "value", "event_type"
     )
-    sinks.drain(sinks.file_stream_writer(events, checkpoint, path, partitions="event_type"))
+    sinks.drain(spark, sinks.file_stream_writer(events, checkpoint, path, partitions="event_type"))
     return spark.read.parquet(path)
 
 
@@ -113,7 +123,7 @@ def stream_foreach_batch(spark, sf_dir):
     }
     catalog.create_table(spark, name, columns, partition_by=[sinks.BATCH], location=base)
     events = table_stream(spark, table_path(sf_dir, "events")).select(*VALUE_COLUMNS)
-    sinks.drain(sinks.batch_writer(events, checkpoint, sinks.insert_batch(name, base)))
+    sinks.drain(spark, sinks.batch_writer(events, checkpoint, sinks.insert_batch(name, base)))
     return spark.table(name).drop(sinks.BATCH)
 
 
@@ -130,9 +140,8 @@ def change_stream(spark, sf_dir) -> DataFrame:
 )
 def cdc_running_total(spark, sf_dir):
     base, checkpoint = new_folder(spark, "totals"), new_folder(spark, "checkpoint")
-    changes = cdc.once_per_position(change_stream(spark, sf_dir))
-    total = cdc.running_total(changes, "sale_amount", "total_sales")
-    sinks.drain(sinks.keyed_table_writer(total, base, checkpoint))
+    total = cdc.running_total(change_stream(spark, sf_dir), "sale_amount", "total_sales")
+    sinks.drain(spark, sinks.keyed_table_writer(total, base, checkpoint))
     latest = sinks.read_latest(spark, base, ["key_name"])
     return latest.withColumn("total", F.col("total").cast("double"))
 
@@ -144,6 +153,6 @@ def cdc_running_total(spark, sf_dir):
 def cdc_latest_state(spark, sf_dir):
     base, checkpoint = new_folder(spark, "state"), new_folder(spark, "checkpoint")
     latest = cdc.latest_changes(change_stream(spark, sf_dir), ["sale_id"])
-    sinks.drain(sinks.keyed_table_writer(latest, base, checkpoint))
+    sinks.drain(spark, sinks.keyed_table_writer(latest, base, checkpoint))
     rows = cdc.current_rows(sinks.read_latest(spark, base, ["sale_id"]))
     return rows.withColumn("sale_amount", F.col("sale_amount").cast("double"))

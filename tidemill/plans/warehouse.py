@@ -110,12 +110,7 @@ def scd1_updated(spark, sf_dir):
     SELECT 'updated' AS change, * FROM changed WHERE code NOT IN (SELECT code FROM fresh)"""
 )
 def scd1_find(spark, sf_dir):
-    updated, inserted = warehouse.scd1_find(
-        dimension(spark, sf_dir), staged(spark, sf_dir), SPECIAL
-    )
-    return inserted.select(F.lit("inserted").alias("change"), *COLUMNS).unionByName(
-        updated.select(F.lit("updated").alias("change"), *COLUMNS)
-    )
+    return warehouse.scd1_changes(dimension(spark, sf_dir), staged(spark, sf_dir), SPECIAL)
 
 
 LOADED_SQL = f"""TIMESTAMP '{NOW}' AS "modifiedDate" """

@@ -140,9 +140,8 @@ def append_or_create(df: DataFrame, table: str, primary_key: Sequence[str]) -> D
     if not spark.catalog.tableExists(table):
         save_table(df, table, mode="errorifexists")
         return df
-    clash = df.select(*primary_key).join(
-        spark.table(table).select(*primary_key), on=list(primary_key), how="left_semi"
-    )
+    stored = spark.table(table).select(*primary_key)
+    clash = stored.join(df.select(*primary_key), on=list(primary_key), how="left_semi")
     rows = clash.limit(1).collect()
     if rows:
         raise DuplicateKey(f"{table} already has the key {rows[0]}")

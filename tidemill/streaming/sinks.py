@@ -6,16 +6,19 @@ overwrite that folder when the batch runs again, so a restart changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from tidemill.session import ROCKSDB_STATE
 from tidemill.shared import child_names, path_exists, remove_folder
 
 BATCH = "batch_id"
 DONE = "_SUCCESS"
+HEAP_STATE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 
 
 def file_stream_writer(
@@ -183,9 +186,26 @@ def compact(spark: SparkSession, base: str, keys: Sequence[str], target: str) ->
     read_latest(spark, base, keys).write.mode("overwrite").parquet(batch_folder(target, last))
 
 
-def drain(writer: DataStreamWriter, timeout: int = 3600) -> StreamingQuery:
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Start queries with their state on RocksDB instead of the executor heap.
+
+    A session that already names a state store of its own is left alone.
+    """
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    if before == HEAP_STATE:
+        spark.conf.set(setting, ROCKSDB_STATE)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def drain(spark: SparkSession, writer: DataStreamWriter, timeout: int = 3600) -> StreamingQuery:
     """Process everything that is there, then stop."""
-    query = writer.trigger(availableNow=True).start()
+    with rocksdb_state(spark):
+        query = writer.trigger(availableNow=True).start()
     if not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream did not finish within {timeout} seconds")
