@@ -14,6 +14,16 @@ def read_lines(spark: SparkSession, path: str, column: str = "text") -> DataFram
     return spark.read.text(path).toDF(column)
 
 
+# Quotes inside a field are doubled, and spaces around a field belong to it.
+CSV_RULES = {
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+DUMP_RULES = {**CSV_RULES, "sep": "\t", "nullValue": "\\N", "lineSep": "\n"}
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -22,10 +32,13 @@ def read_csv(
     sampling: float = 1.0,
     separator: str = ",",
     header: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with a header. Without a schema, types come from a ``sampling`` share
-    of the rows, which costs an extra pass."""
-    reader = spark.read.option("header", header).option("sep", separator)
+    of the rows, which costs an extra pass. Fields with line breaks need
+    ``multi_line``, which gives every file to one task."""
+    reader = spark.read.options(**CSV_RULES).option("header", header).option("sep", separator)
+    reader = reader.option("multiLine", multi_line)
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", True).option("samplingRatio", sampling).csv(path)
@@ -34,18 +47,21 @@ def read_csv(
 def write_csv(
     df: DataFrame, path: str, *, separator: str = ",", header: bool = True, mode: str = "errorifexists"
 ) -> None:
-    df.write.mode(mode).option("header", header).option("sep", separator).csv(path)
+    writer = df.write.mode(mode).options(**CSV_RULES)
+    writer.option("header", header).option("sep", separator).csv(path)
 
 
 def dump_text(df: DataFrame, path: str) -> None:
-    """Dump a table as tab-separated text, null as ``\\N``."""
-    df.write.option("sep", "\t").option("nullValue", "\\N").option("emptyValue", "").csv(path)
+    """Dump a table as tab-separated text files, null as ``\\N``."""
+    df.write.options(**DUMP_RULES).csv(path)
 
 
-def load_text(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Read what ``dump_text`` wrote."""
-    reader = spark.read.schema(schema).option("sep", "\t")
-    return reader.option("nullValue", "\\N").option("emptyValue", "").csv(path)
+def load_text(
+    spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True
+) -> DataFrame:
+    """Read what ``dump_text`` wrote, by default with line breaks in fields."""
+    reader = spark.read.schema(schema).options(**DUMP_RULES).option("emptyValue", "")
+    return reader.option("multiLine", multi_line).csv(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
