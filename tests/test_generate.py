@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from tidemill.operators import generate, quality
 from tidemill.plans.records import generated_table
+from tidemill.sources import files
 from tidemill.schema import DECLARED_TYPES, load_declared, parse_declared
 
 
@@ -73,6 +74,16 @@ def test_record_key_is_the_key_of_the_same_row(spark):
         assert r["key"] == f"{value['a']}-{value['b']}"
 
 
+def test_batch_input_is_csv_only(spark, tmp_path):
+    table = generated_table()
+    rows = generate.generate_rows(spark, table, 30, now=now())
+    job = {"inputDirURI": f"{tmp_path}/in/", "recordReaderSpec": {"dataFormat": "CSV"}}
+    ingested = files.ingest_declared(spark, generate.write_batch_input(rows, job), table)
+    assert ingested.orderBy("serial").collect() == rows.orderBy("serial").collect()
+    with pytest.raises(ValueError, match="avro is not supported"):
+        generate.write_batch_input(rows, {**job, "recordReaderSpec": {"dataFormat": "avro"}})
+
+
 def test_declared_schema(tmp_path):
     spec = {
         "schemaName": "s",

@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemill.operators import relational, warehouse
+from tidemill.operators.skew import SkewRule, hot_keys
 from tidemill.sources.catalog import DuplicateKey, require_key
 
 SCHEMA = "code int, name string, city string"
@@ -158,6 +159,28 @@ def test_keyed_update_writes_nulls_and_ignores_unknown_keys(spark, dim):
     assert len(got) == 6
 
 
+def test_hot_target_keys_do_not_change_the_result(spark, monkeypatch):
+    rule = SkewRule(min_rows=0, share=0.1)
+    monkeypatch.setattr(warehouse, "hot_keys", lambda df, keys: hot_keys(df, keys, rule))
+    target = spark.range(600).selectExpr("if(id % 3 = 0, 0, id % 50) AS code", "id", "'old' AS v")
+    source = spark.createDataFrame([(0, "zero"), (7, None), (99, "x")], "code long, v string")
+    got = warehouse.keyed_update(target, source, ["code"], ["v"])
+    assert got.columns == target.columns and got.count() == 600
+    zeros = target.where("code = 0").count()
+    assert got.where("code = 0 AND v = 'zero'").count() == zeros > 200
+    assert got.where("code = 7 AND v IS NULL").count() == target.where("code = 7").count()
+    assert got.where("v = 'old'").count() == target.where("code NOT IN (0, 7)").count()
+    dim = target.selectExpr(
+        "id", "concat('u', code) AS uuid", "id % 2 = 0 AS rowIsCurrent",
+        "CAST(NULL AS timestamp_ntz) AS rowEndDate",
+    )
+    stage = spark.createDataFrame([("u0",), ("new",)], "uuid string")
+    after = warehouse.scd2_apply(dim, stage, now())
+    assert after.count() == 602
+    assert after.where("uuid = 'u0' AND rowIsCurrent").count() == 1
+    assert after.where("rowIsCurrent").count() == dim.where("rowIsCurrent AND uuid <> 'u0'").count() + 2
+
+
 def test_keyed_delete(spark, dim):
     kept = rows(warehouse.keyed_delete(dim, "code", [1, 2, 77]))
     assert [r[0] for r in kept] == [3, 4, 5, 9]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import windows
-from tidemill.operators.ranges import MAX_RANGES, range_bounds, range_number
+from tidemill.operators.ranges import MAX_RANGES, RANGE, range_bounds, with_range
 from tidemill.operators.skew import SkewRule, hot_keys
 
 RULE = SkewRule(min_rows=0, share=0.05)
@@ -67,7 +67,7 @@ def test_ranges_cut_a_hot_day(spark):
     order = ["moment", "id"]
     bounds = range_bounds(df, order, min_ranges=30)
     assert len(bounds) <= 30 <= MAX_RANGES
-    sizes = [r["count"] for r in df.groupBy(range_number(df, order, bounds).alias("r")).count().collect()]
+    sizes = [r["count"] for r in with_range(df, order, bounds).groupBy(RANGE).count().collect()]
     assert sum(sizes) == 3000
     assert max(sizes) < 3000 / 30 * 3
 
@@ -75,12 +75,29 @@ def test_ranges_cut_a_hot_day(spark):
 def test_range_numbers_follow_the_order(spark):
     df, data = payments(spark, rows=200)
     order = ["moment", "id"]
-    numbered = df.withColumn("r", range_number(df, order, range_bounds(df, order, min_ranges=9)))
-    ranges = [r["r"] for r in numbered.orderBy(*order).collect()]
+    numbered = with_range(df, order, range_bounds(df, order, min_ranges=9))
+    ranges = [r[RANGE] for r in numbered.orderBy(*order).collect()]
     assert ranges == sorted(ranges)
     assert len(set(ranges)) > 5
 
 
+@pytest.mark.parametrize(
+    "kind",
+    ["date", "timestamp", "timestamp_ntz", "string", "double", "float", "decimal(20,3)", "int"],
+)
+def test_ranges_of_every_kind_of_key(spark, kind):
+    """Also with null keys, which come first."""
+    n = F.when(F.col("id") % 10 != 0, F.col("id"))
+    at = F.timestamp_micros(n * 86_400_123_457)
+    value = at if kind.startswith(("date", "timestamp")) else n * 1.5
+    df = spark.range(500).select(value.cast(kind).alias("k"), "id")
+    bounds = range_bounds(df, ["k", "id"], min_ranges=12)
+    assert len(bounds) == 11
+    ranges = [r[RANGE] for r in with_range(df, ["k", "id"], bounds).orderBy("k", "id").collect()]
+    assert ranges == sorted(ranges)
+    assert set(ranges) == set(range(12))
+
+
 def test_moving_average_rows_of_nothing(spark):
     df, _ = payments(spark, rows=3)
     assert windows.moving_average_rows(df.limit(0), "amount", ["moment", "id"]).count() == 0

@@ -6,13 +6,16 @@ any partitioning, and a lost task makes the same rows again.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from difflib import SequenceMatcher
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import epoch_millis, json_record, record_key
 from tidemill.schema import DeclaredColumn, DeclaredTable
+from tidemill.sources.files import write_csv
 
 DEFAULT_ROWS = 1000
 SIMILAR = 0.85
@@ -163,3 +166,17 @@ def as_records(rows: DataFrame, table: DeclaredTable) -> DataFrame:
     """Topic rows (key, value): the row's own key columns, and the row as JSON."""
     key = record_key(table.primary_keys) if table.primary_keys else F.lit("")
     return rows.select(key.alias("key"), json_record(table.column_names).alias("value"))
+
+
+def write_batch_input(rows: DataFrame, job: Mapping[str, Any]) -> str:
+    """Write generated rows where a batch ingest job looks for its input.
+
+    ``job`` names ``inputDirURI`` and ``recordReaderSpec.dataFormat``; only CSV
+    with a header is supported.
+    """
+    data_format = job["recordReaderSpec"]["dataFormat"]
+    if data_format.lower() != "csv":
+        raise ValueError(f"{data_format} is not supported")
+    folder = job["inputDirURI"].rstrip("/")
+    write_csv(rows, f"{folder}/data")
+    return folder

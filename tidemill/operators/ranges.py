@@ -12,18 +12,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RANGE = "_range"
 CARRIED = "_carried"
 ROWS_PER_RANGE = 500_000
 MAX_RANGES = 8192
 SAMPLES_PER_RANGE = 40
+JSON_RULES = {
+    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+}
 
 
 def range_bounds(
     df: DataFrame, order_by: Sequence[str], min_ranges: int = 1, seed: int = 17
-) -> list[tuple]:
-    """Sorted lower bounds of ranges 1..n-1, from a sample of the sort key.
+) -> list[str]:
+    """Sorted lower bounds of ranges 1..n-1 as JSON, from a sample of the sort key.
 
     The sample is at most about ``MAX_RANGES * SAMPLES_PER_RANGE`` keys, whatever
     the size of the table. Bounds decide balance only, not results.
@@ -36,38 +41,38 @@ def range_bounds(
         return []
     wanted = ranges * SAMPLES_PER_RANGE
     sample = keys if wanted >= total else keys.sample(wanted / total, seed=seed)
-    ordered = [tuple(row) for row in sample.orderBy(*order_by).collect()]
+    ordered = [
+        row[0]
+        for row in sample.orderBy(*order_by).select(F.to_json(_key(order_by), JSON_RULES)).collect()
+    ]
     cuts = [ordered[i * len(ordered) // ranges] for i in range(1, ranges)] if ordered else []
     return list(dict.fromkeys(cuts))
 
 
-def range_number(df: DataFrame, order_by: Sequence[str], bounds: Sequence[tuple]) -> Column:
-    """How many bounds are at or below the row's key, by binary search."""
+def with_range(df: DataFrame, order_by: Sequence[str], bounds: Sequence[str]) -> DataFrame:
+    """Add the range number: how many bounds are at or below the row's key.
+
+    A binary search with one projection per step, which stays inside generated
+    code. The bounds are one constant.
+    """
+    ranged = df.withColumn(RANGE, F.lit(0))
     if not bounds:
-        return F.lit(0)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    names = [f"k{i}" for i in range(len(order_by))]
-    bound_array = F.array(
-        *[
-            F.struct(
-                *[
-                    F.lit(value).cast(types[column]).alias(name)
-                    for value, column, name in zip(bound, order_by, names)
-                ]
-            )
-            for bound in bounds
-        ]
-    )
-    key = F.struct(*[F.col(c).alias(n) for c, n in zip(order_by, names)])
-    steps = [1 << p for p in reversed(range(len(bounds).bit_length()))]
+        return ranged
+    key = _key(order_by)
+    key_type = df.select(key.alias("_key")).schema["_key"].dataType
+    bound_type = T.ArrayType(T.StructType([T.StructField(f.name, f.dataType) for f in key_type]))
+    array = F.from_json(F.lit(f"[{','.join(bounds)}]"), bound_type, JSON_RULES)
+    found = F.col(RANGE)
+    for power in reversed(range(len(bounds).bit_length())):
+        step = 1 << power
+        # Null behind the last bound, so the search stays in front of it.
+        at_or_below = F.get(array, found + (step - 1)) <= key
+        ranged = ranged.withColumn(RANGE, F.when(at_or_below, found + step).otherwise(found))
+    return ranged
 
-    def probe(low: Column, step: Column) -> Column:
-        at = low + step
-        inside = at <= len(bounds)
-        below = F.get(bound_array, at - 1) <= key
-        return F.when(inside & below, at).otherwise(low)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), probe)
+def _key(order_by: Sequence[str]) -> Column:
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_by)])
 
 
 def with_carried_rows(
@@ -85,9 +90,7 @@ def with_carried_rows(
     """
     columns = list(dict.fromkeys([*order_by, value]))
     bounds = range_bounds(df, order_by, min_ranges)
-    ranged = df.withColumn(RANGE, range_number(df, order_by, bounds)).withColumn(
-        CARRIED, F.lit(False)
-    )
+    ranged = with_range(df, order_by, bounds).withColumn(CARRIED, F.lit(False))
     if not bounds:
         return ranged
     latest_first = Window.partitionBy(RANGE).orderBy(*[F.desc(c) for c in order_by])

@@ -18,7 +18,7 @@ from tidemill.operators.relational import (
     join_right_suffix,
     without_match,
 )
-from tidemill.operators.skew import hot_keys
+from tidemill.operators.skew import hot_keys, spread_join
 
 NEW = "_new"
 
@@ -141,13 +141,13 @@ def scd1_find(
 def _replaced_keys(
     dim: DataFrame, stage: DataFrame, key: str, compare: Sequence[str] | None
 ) -> DataFrame:
-    """Staged keys whose current dimension row ends."""
+    """Staged keys whose current dimension row ends; a key may come twice."""
     if compare is None:
-        return stage.select(key).distinct()
+        return stage.select(key)
     current = dim.filter(F.col("rowIsCurrent")).select(key, *compare)
     staged = stage.select(key, *[F.col(c).alias(f"{c}{NEW}") for c in compare])
     differs = fold_any([~F.col(c).eqNullSafe(F.col(f"{c}{NEW}")) for c in compare])
-    return current.join(staged, on=key).filter(differs).select(key).distinct()
+    return current.join(staged, on=key).filter(differs).select(key)
 
 
 def scd2_close(
@@ -186,10 +186,13 @@ def scd2_apply(
     New versions hold the staged columns and a null ``id``, which the target
     table assigns. A staged key with an unchanged current row adds nothing.
     """
-    replaced = _replaced_keys(dim, stage, key, compare).withColumn("_hit", F.lit(True))
+    replaced = _replaced_keys(dim, stage, key, compare).distinct()
     ends = F.col("_hit") & F.col("rowIsCurrent")
     ended = {"rowIsCurrent": F.lit(False), "rowEndDate": now}
-    after = dim.join(replaced, on=key, how="left").select(
+    marked = spread_join(
+        dim, replaced.withColumn("_hit", F.lit(True)), [key], "left", hot=hot_keys(dim, [key])
+    )
+    after = marked.select(
         *[
             F.when(ends, ended[c]).otherwise(F.col(c)).alias(c) if c in ended else F.col(c)
             for c in dim.columns
@@ -279,13 +282,15 @@ def keyed_update(
 ) -> DataFrame:
     """Set ``columns`` of the target rows whose key is in the source.
 
-    A null in the source is written; keys only in the source are ignored.
+    A null in the source is written; keys only in the source are ignored. The
+    key need not be unique in the target.
     """
     keys = list(keys)
     values = one_per_key(source.select(*keys, *columns), keys).select(
         *keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"{c}{NEW}") for c in columns]
     )
-    return target.join(values, on=keys, how="left").select(
+    joined = spread_join(target, values, keys, "left", hot=hot_keys(target, keys))
+    return joined.select(
         *[
             F.when(F.col("_hit"), F.col(f"{c}{NEW}")).otherwise(F.col(c)).alias(c)
             if c in columns

@@ -182,36 +182,45 @@ def generate_records(spark, sf_dir):
     return generate.as_records(generated(spark, sf_dir), generated_table())
 
 
-@plan(
-    """SELECT count(*) AS n_rows, true AS readings_in_range, true AS scores_in_range,
-        true AS serials_well_formed, 4 AS device_types, 15 AS browser_versions,
+PROFILE_SQL = """SELECT count(*) AS n_rows, true AS readings_in_range, true AS scores_in_range,
+        true AS serials_well_formed, true AS device_types_known, true AS browser_versions_known,
         true AS phones_well_formed, 1717243200000 AS ts
     FROM orders"""
-)
-def generate_profile(spark, sf_dir):
+
+
+def profile(rows):
     """What has to hold for the generated rows, whatever the hash gives."""
     words = generate.VOCABULARIES
-    return generated(spark, sf_dir).agg(
+    return rows.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.bool_and(F.col("reading").between(0, generate.DEFAULT_ROWS)).alias("readings_in_range"),
         F.bool_and(F.col("score").between(0.01, 99.99)).alias("scores_in_range"),
         F.bool_and(F.col("serial").rlike("^[A-Z0-9]{10}$")).alias("serials_well_formed"),
-        F.array_size(
-            F.array_intersect(
-                F.collect_set("device_type"), F.array(*[F.lit(w) for w in words["device_types"]])
-            )
-        ).alias("device_types"),
-        F.array_size(
-            F.array_intersect(
-                F.collect_set("browser_version"),
-                F.array(*[F.lit(w) for w in words["browser_versions"]]),
-            )
-        ).alias("browser_versions"),
+        F.bool_and(F.col("device_type").isin(*words["device_types"])).alias("device_types_known"),
+        F.bool_and(F.col("browser_version").isin(*words["browser_versions"])).alias(
+            "browser_versions_known"
+        ),
         F.bool_and(F.col("phone").rlike("^[0-9]{3}-[0-9]{3}-[0-9]{4}$")).alias("phones_well_formed"),
         F.max("ts").alias("ts"),
     )
 
 
+@plan(PROFILE_SQL)
+def generate_profile(spark, sf_dir):
+    return profile(generated(spark, sf_dir))
+
+
+@plan(PROFILE_SQL)
+def generate_ingest(spark, sf_dir):
+    """Generated rows written as the input of a batch job, and ingested from there."""
+    job = {
+        "inputDirURI": new_folder(spark, "generated"),
+        "recordReaderSpec": {"dataFormat": "csv"},
+    }
+    folder = generate.write_batch_input(generated(spark, sf_dir), job)
+    return profile(files.ingest_declared(spark, folder, generated_table()))
+
+
 @plan(
     f"""SELECT 'total_sales' AS key_name, CAST(sum(sale_amount) AS DOUBLE) AS total
     FROM ({FINAL_SALES_SQL})"""

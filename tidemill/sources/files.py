@@ -104,7 +104,8 @@ def ingest_declared(
 
     def reader():
         return (
-            spark.read.option("header", True)
+            spark.read.options(**CSV_RULES)
+            .option("header", True)
             .option("recursiveFileLookup", True)
             .option("pathGlobFilter", pattern)
         )
