@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import windows
-from tidemill.operators.ranges import MAX_RANGES, RANGE, range_bounds, with_range
+from tidemill.operators import ranges as ranges_module
+from tidemill.operators.ranges import MAX_RANGES, RANGE, find_ranges, with_range
 from tidemill.operators.skew import SkewRule, hot_keys
 
 RULE = SkewRule(min_rows=0, share=0.05)
@@ -53,6 +54,23 @@ def test_moving_average_rows_equals_brute_force(spark, min_ranges, by_customer):
     assert got == brute_rows(data, by_customer, 7)
 
 
+@pytest.mark.parametrize("samples", [1, 3, 9, 20])
+def test_moving_average_rows_with_a_thin_sample(spark, monkeypatch, samples):
+    """Ranges with few sampled rows, and late keys taken from a real sample."""
+    monkeypatch.setattr(ranges_module, "SAMPLES_PER_RANGE", samples)
+    df, data = payments(spark, rows=2000)
+    averaged = windows.moving_average_rows(df, "amount", ["moment", "id"], min_ranges=12)
+    assert {r["id"]: r["moving_avg"] for r in averaged.collect()} == brute_rows(data, False, 7)
+
+
+def test_late_keys_leave_enough_rows(spark):
+    df, _ = payments(spark, rows=3000)
+    found = find_ranges(df, ["moment", "id"], min_ranges=5)
+    assert len(found.sampled) == len(found.bounds) + 1
+    assert found.late_keys(7) == [keys[-7] for keys in found.sampled]
+    assert set(found.late_keys(10**6)) == {"null"}
+
+
 def test_frame_longer_than_many_ranges(spark):
     df, data = payments(spark, rows=60)
     averaged = windows.moving_average_rows(
@@ -65,7 +83,7 @@ def test_ranges_cut_a_hot_day(spark):
     """The whole sort key is cut, so a day with a third of the rows is too."""
     df, _ = payments(spark, rows=3000)
     order = ["moment", "id"]
-    bounds = range_bounds(df, order, min_ranges=30)
+    bounds = find_ranges(df, order, min_ranges=30).bounds
     assert len(bounds) <= 30 <= MAX_RANGES
     sizes = [r["count"] for r in with_range(df, order, bounds).groupBy(RANGE).count().collect()]
     assert sum(sizes) == 3000
@@ -75,7 +93,7 @@ def test_ranges_cut_a_hot_day(spark):
 def test_range_numbers_follow_the_order(spark):
     df, data = payments(spark, rows=200)
     order = ["moment", "id"]
-    numbered = with_range(df, order, range_bounds(df, order, min_ranges=9))
+    numbered = with_range(df, order, find_ranges(df, order, min_ranges=9).bounds)
     ranges = [r[RANGE] for r in numbered.orderBy(*order).collect()]
     assert ranges == sorted(ranges)
     assert len(set(ranges)) > 5
@@ -91,7 +109,7 @@ def test_ranges_of_every_kind_of_key(spark, kind):
     at = F.timestamp_micros(n * 86_400_123_457)
     value = at if kind.startswith(("date", "timestamp")) else n * 1.5
     df = spark.range(500).select(value.cast(kind).alias("k"), "id")
-    bounds = range_bounds(df, ["k", "id"], min_ranges=12)
+    bounds = find_ranges(df, ["k", "id"], min_ranges=12).bounds
     assert len(bounds) == 11
     ranges = [r[RANGE] for r in with_range(df, ["k", "id"], bounds).orderBy("k", "id").collect()]
     assert ranges == sorted(ranges)
