@@ -38,11 +38,9 @@ def check_results(checks: Mapping[str, tuple[DataFrame, object]]) -> DataFrame:
 
 def check_tables(spark: SparkSession, tables: Sequence[str]) -> DataFrame:
     """One row per table name: whether the catalog has it."""
-    found = [
-        (f"table {t}", str(spark.catalog.tableExists(t)).lower(), "true", spark.catalog.tableExists(t))
-        for t in tables
-    ]
-    return spark.createDataFrame(found, "check string, actual string, expected string, ok boolean")
+    found = {name: spark.catalog.tableExists(name) for name in tables}
+    rows = [(f"table {name}", str(ok).lower(), "true", ok) for name, ok in found.items()]
+    return spark.createDataFrame(rows, "check string, actual string, expected string, ok boolean")
 
 
 def require(checked: DataFrame) -> DataFrame:

@@ -22,8 +22,12 @@ def fold_all(conditions: Sequence[Column]) -> Column:
     return functools.reduce(operator.and_, conditions) if conditions else F.lit(True)
 
 
-def filter_equal_sorted(df: DataFrame, column: str, value, order_by: str) -> DataFrame:
-    return df.filter(F.col(column) == F.lit(value)).orderBy(F.col(order_by).asc())
+def filter_equal_sorted(
+    df: DataFrame, column: str, value, order_by: str, tie_break: Sequence[str] = ()
+) -> DataFrame:
+    """Rows with the value, sorted. Equal keys of a sort stay in one task, so
+    ``tie_break`` columns let Spark cut a key that holds many rows."""
+    return df.filter(F.col(column) == F.lit(value)).orderBy(F.col(order_by).asc(), *tie_break)
 
 
 def filter_matching(df: DataFrame, column: str, pattern: str) -> DataFrame:
@@ -31,8 +35,10 @@ def filter_matching(df: DataFrame, column: str, pattern: str) -> DataFrame:
     return df.filter(F.col(column).rlike(f"(?i){pattern}"))
 
 
-def sort_mixed(df: DataFrame, descending: str, ascending: str) -> DataFrame:
-    return df.orderBy(F.col(descending).desc(), F.col(ascending).asc())
+def sort_mixed(
+    df: DataFrame, descending: str, ascending: str, tie_break: Sequence[str] = ()
+) -> DataFrame:
+    return df.orderBy(F.col(descending).desc(), F.col(ascending).asc(), *tie_break)
 
 
 def top_rows(df: DataFrame, order_by: Sequence[Column], n: int) -> DataFrame:

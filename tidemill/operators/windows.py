@@ -53,6 +53,8 @@ def moving_average_rows(
     ``order_by`` should end in a unique column, or ties are in no fixed order.
     The rows are cut into ranges of the whole key (partition and order columns),
     so neither the frame over the whole table nor a hot partition is one task.
+    ``df`` is read several times, so it should be a table or ``shared.keep`` of
+    something that costs more than a scan.
     """
     whole_key = [*partition_by, *order_by]
     ranged = with_carried_rows(df, whole_key, value, preceding, min_ranges)

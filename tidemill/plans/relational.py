@@ -43,22 +43,22 @@ def select_columns(spark, sf_dir):
 
 @plan(
     """SELECT c_custkey, c_name, c_nationkey FROM customer
-    WHERE c_mktsegment = 'BUILDING' ORDER BY c_nationkey"""
+    WHERE c_mktsegment = 'BUILDING' ORDER BY c_nationkey, c_custkey"""
 )
 def filter_sorted(spark, sf_dir):
     kept = relational.filter_equal_sorted(
-        table(spark, sf_dir, "customer"), "c_mktsegment", "BUILDING", "c_nationkey"
+        table(spark, sf_dir, "customer"), "c_mktsegment", "BUILDING", "c_nationkey", ["c_custkey"]
     )
     return kept.select("c_custkey", "c_name", "c_nationkey")
 
 
 @plan(
     """SELECT o_orderkey, o_custkey, o_orderdate FROM orders
-    ORDER BY o_orderdate DESC, o_custkey ASC"""
+    ORDER BY o_orderdate DESC, o_custkey ASC, o_orderkey"""
 )
 def sort_mixed(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return relational.sort_mixed(rows, "o_orderdate", "o_custkey")
+    return relational.sort_mixed(rows, "o_orderdate", "o_custkey", ["o_orderkey"])
 
 
 @plan(
@@ -213,7 +213,7 @@ ACTIVITY_SQL = """SELECT c_custkey AS customer_id, CAST(c_acctbal > 0 AS INTEGER
 @plan(
     f"""SELECT customer_id, active, full_name, rental_id, rental_date,
         CAST(amount AS DOUBLE) AS amount, payment_date
-    FROM ({ACTIVITY_SQL}) ORDER BY customer_id, rental_date"""
+    FROM ({ACTIVITY_SQL}) ORDER BY customer_id, rental_date, rental_id, payment_date"""
 )
 def join_three_way(spark, sf_dir):
     rental, payment = rentals(spark, sf_dir), payments(spark, sf_dir)
@@ -225,7 +225,9 @@ def join_three_way(spark, sf_dir):
         hot_rentals=hot_keys(payment, ["rental_id"]),
     )
     rows.createOrReplaceTempView("activity")
-    ordered = spark.sql("SELECT * FROM activity ORDER BY customer_id, rental_date")
+    ordered = spark.sql(
+        "SELECT * FROM activity ORDER BY customer_id, rental_date, rental_id, payment_date"
+    )
     return ordered.withColumn("amount", F.col("amount").cast("double"))
 
 
@@ -261,7 +263,7 @@ def dedup_join(spark, sf_dir):
             / CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) OVER
                 (PARTITION BY o_custkey, strftime(o_orderdate, '%Y-%m')) AS DOUBLE), 2)
             AS percent_in_month
-    FROM orders ORDER BY o_custkey"""
+    FROM orders ORDER BY o_custkey, o_orderkey"""
 )
 def pct_of_month(spark, sf_dir):
     payment = table(spark, sf_dir, "orders").select(
@@ -274,7 +276,7 @@ def pct_of_month(spark, sf_dir):
     shares = windows.share_of_group(
         payment, keys, "amount", hot=hot_keys(payment, keys), spread_by=["o_orderkey"]
     )
-    return shares.drop("amount").orderBy(F.col("customer_id").asc())
+    return shares.drop("amount").orderBy("customer_id", "o_orderkey")
 
 
 @plan(

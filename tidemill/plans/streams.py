@@ -16,9 +16,14 @@ from tidemill.streaming import sinks
 from tidemill.streaming.sources import TOPIC_SCHEMA, table_stream
 
 
+# Enough to keep a large cluster busy, and few enough to commit progress often.
+FILES_PER_BATCH = 10_000
+
+
 def document_lines(spark, sf_dir) -> DataFrame:
     """The lines of all documents as a stream, column ``value``."""
-    documents = table_stream(spark, table_path(sf_dir, "documents"))
+    path = table_path(sf_dir, "documents")
+    documents = table_stream(spark, path, files_per_batch=FILES_PER_BATCH)
     return documents.select(F.explode(F.split("text", "\n")).alias("value"))
 
 
@@ -72,7 +77,7 @@ VALUE_COLUMNS = ["event_id", "user_id", "event_type", "value"]
 
 
 def write_topic(spark, sf_dir) -> str:
-    """Events as topic records, in several files of a folder."""
+    """Events as topic records in the files of a folder."""
     events = table(spark, sf_dir, "events")
     rows = records.to_topic_rows(events.select("*"), ["event_id"], VALUE_COLUMNS)
     path = new_folder(spark, "topic")
@@ -84,7 +89,7 @@ def write_topic(spark, sf_dir) -> str:
         F.get_json_object("key", "$.event_id").cast("bigint").alias("offset"),
         F.lit("2024-01-01").cast("timestamp").alias("timestamp"),
     )
-    topic.repartition(8, "offset").write.parquet(path)
+    topic.write.parquet(path)
     return path
 
 
@@ -129,9 +134,9 @@ def stream_foreach_batch(spark, sf_dir):
 
 def change_stream(spark, sf_dir) -> DataFrame:
     path = new_folder(spark, "changes")
-    sales_changes(spark, sf_dir).repartition(4, "key").write.parquet(path)
+    sales_changes(spark, sf_dir).write.parquet(path)
     row = spark.createDataFrame([], SALES_ROW).schema
-    return cdc.parse_envelopes(table_stream(spark, path, files_per_batch=2), row)
+    return cdc.parse_envelopes(table_stream(spark, path, files_per_batch=FILES_PER_BATCH), row)
 
 
 @plan(

@@ -33,7 +33,9 @@ def document_write_options(
     }
 
 
-def topic_read_options(address: str, port: int | str, topic: str, starting: str = "earliest") -> dict[str, str]:
+def topic_read_options(
+    address: str, port: int | str, topic: str, starting: str = "earliest"
+) -> dict[str, str]:
     """Options of ``format("kafka")`` for one topic; lost offsets do not fail the query."""
     return {
         "kafka.bootstrap.servers": f"{address}:{port}",
@@ -93,5 +95,7 @@ def read(spark: SparkSession, fmt: str, options: Mapping[str, str]) -> DataFrame
     return spark.read.format(fmt).options(**options)
 
 
-def write(df: DataFrame, fmt: str, options: Mapping[str, str], mode: str = "append") -> DataFrameWriter:
+def write(
+    df: DataFrame, fmt: str, options: Mapping[str, str], mode: str = "append"
+) -> DataFrameWriter:
     return df.write.format(fmt).mode(mode).options(**options)
