@@ -36,10 +36,14 @@ def new_database(spark, label: str) -> str:
 
 @plan("SELECT * FROM orders")
 def csv_roundtrip(spark, sf_dir):
+    """A table dumped to text and bulk-loaded into another table."""
     orders = table(spark, sf_dir, "orders")
     path = new_folder(spark, "dump")
     files.dump_text(orders, path)
-    return files.load_text(spark, path, orders.schema)
+    name = f"{new_database(spark, 'loaded')}.orders"
+    catalog.create_table(spark, name, dict(orders.dtypes))
+    catalog.load_text_into(spark, path, name)
+    return spark.table(name)
 
 
 @plan("SELECT * FROM customer")

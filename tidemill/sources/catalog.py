@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.sources.files import load_text
+
 
 class DuplicateKey(ValueError):
     """A primary key that is null or not unique."""
@@ -119,6 +121,11 @@ def insert_by_name(df: DataFrame, table: str) -> None:
     df.select(*wanted).write.mode("append").insertInto(table)
 
 
+def load_text_into(spark: SparkSession, path: str, table: str) -> None:
+    """Bulk-load a text dump (``files.dump_text``) into an existing table."""
+    insert_by_name(load_text(spark, path, spark.table(table).schema), table)
+
+
 def require_key(df: DataFrame, key: Sequence[str]) -> None:
     """Raise unless ``key`` is set and unique; one partial + final count."""
     null_key = F.lit(False)
