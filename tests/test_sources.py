@@ -211,6 +211,8 @@ def test_shared_folder(spark):
     path = shared.new_folder(spark, "folder")
     assert not shared.path_exists(spark, path)
     spark.range(2).write.parquet(path)
-    assert shared.is_folder(spark, path) and "_SUCCESS" in shared.child_names(spark, path)
+    assert shared.is_folder(spark, path) and shared.path_exists(spark, path)
+    assert len(shared.matching_paths(spark, f"{path}/_SUCC*")) == 1
+    assert shared.matching_paths(spark, f"{path}/none/x*") == []
     shared.remove_folder(spark, path)
     assert not shared.path_exists(spark, path)

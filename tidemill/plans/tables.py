@@ -120,7 +120,7 @@ def append_or_create(spark, sf_dir):
 
 @plan(
     """SELECT 'before' AS moment, count(*) AS n_rows, true AS table_exists FROM customer
-    UNION ALL SELECT 'truncated', 0, true UNION ALL SELECT 'dropped', NULL, false"""
+    UNION ALL SELECT 'truncated', 0, true UNION ALL SELECT 'dropped', 0, false"""
 )
 def table_truncate(spark, sf_dir):
     name = f"{new_database(spark, 'truncate')}.customer"
@@ -130,7 +130,7 @@ def table_truncate(spark, sf_dir):
     spark.catalog.refreshTable(name)
     steps.append(("truncated", spark.table(name).count(), spark.catalog.tableExists(name)))
     catalog.drop_table(spark, name)
-    steps.append(("dropped", None, spark.catalog.tableExists(name)))
+    steps.append(("dropped", 0, spark.catalog.tableExists(name)))
     return spark.createDataFrame(steps, "moment string, n_rows bigint, table_exists boolean")
 
 

@@ -243,13 +243,15 @@ def scd2_close(spark, sf_dir):
     HISTORY_SQL
     + """SELECT id, uuid, segment, current AS "rowIsCurrent", ended AS "rowEndDate" FROM after_load
     UNION ALL
-    SELECT NULL, uuid, segment, true, NULL FROM stage
+    SELECT -1, uuid, segment, true, NULL FROM stage
     WHERE uuid NOT IN (SELECT uuid FROM after_load WHERE current)"""
 )
 def scd2_apply(spark, sf_dir):
-    return warehouse.scd2_apply(
+    """New versions, whose id the target would assign, are shown with id -1."""
+    after = warehouse.scd2_apply(
         history(spark, sf_dir), staged_versions(spark, sf_dir), now(), compare=["segment"]
     )
+    return after.withColumn("id", F.coalesce("id", F.lit(-1)))
 
 
 def audit_rows(spark, sf_dir):

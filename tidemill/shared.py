@@ -56,11 +56,10 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop) and fs.getFileStatus(hadoop).isDirectory()
 
 
-def child_names(spark: SparkSession, path: str) -> list[str]:
-    fs, hadoop = _hadoop_path(spark, path)
-    if not fs.exists(hadoop):
-        return []
-    return [status.getPath().getName() for status in fs.listStatus(hadoop)]
+def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern, found in one call."""
+    fs, hadoop = _hadoop_path(spark, pattern)
+    return [status.getPath().toString() for status in fs.globStatus(hadoop) or []]
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

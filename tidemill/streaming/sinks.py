@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidemill.session import ROCKSDB_STATE
-from tidemill.shared import child_names, path_exists, remove_folder
+from tidemill.shared import matching_paths, remove_folder
 
 BATCH = "batch_id"
 DONE = "_SUCCESS"
@@ -138,12 +138,8 @@ def snapshot_writer(
 
 def finished_batches(spark: SparkSession, base: str) -> list[int]:
     """Numbers of the batches written completely, ascending."""
-    numbers = [
-        int(name.split("=", 1)[1])
-        for name in child_names(spark, base)
-        if name.startswith(f"{BATCH}=")
-    ]
-    return sorted(n for n in numbers if path_exists(spark, f"{batch_folder(base, n)}/{DONE}"))
+    done = matching_paths(spark, f"{base}/{BATCH}=*/{DONE}")
+    return sorted(int(path.rsplit("/", 2)[1].split("=", 1)[1]) for path in done)
 
 
 def read_appended(spark: SparkSession, base: str) -> DataFrame:
