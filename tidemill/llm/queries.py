@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, exact_dedup, packing, sharding, token_counts
+from tidemill.llm import bpe, exact_dedup, near_dup, packing, sharding, token_counts
 from tidemill.llm.common import read_table
 from tidemill.plans.registry import Plan
 
@@ -25,6 +25,43 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+@query(
+    r"""
+    WITH RECURSIVE texts AS (
+      SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words
+      FROM documents),
+    places AS (
+      SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i
+      FROM texts WHERE len(words) > 0),
+    shingles AS (
+      SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM places),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (
+      SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+      FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id),
+    links AS (
+      SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+      WHERE 100 * k >= 75 * (a.n + b.n - k)),
+    both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach AS (
+      SELECT doc_id, doc_id AS other FROM documents
+      UNION
+      SELECT reach.doc_id, y FROM reach JOIN both_ways ON x = other),
+    least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+    """
+)
+def op1_near_dedup(spark, sf_dir):
+    groups = near_dup.near_groups(documents(spark, sf_dir))
+    return groups.select(
+        "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")
+    )
+
+
 @query()
 def op2_packing(spark, sf_dir):
     return packing.pack_documents(
