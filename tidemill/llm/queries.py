@@ -6,12 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, exact_dedup, near_dup, packing, sharding, token_counts
+from tidemill.llm import bpe, exact_dedup, near_dup, packing, quality, sharding, token_counts
 from tidemill.llm.common import read_table
 from tidemill.plans.registry import Plan
 
 QUERIES: dict[str, Plan] = {}
 
+#: SQL for CRC-32: the 256 checksums of single bytes by their definition, and the
+#: checksum of the bytes of ``h``, a string of hexadecimal digits.
+CRC_TABLE = """
+    bits AS (
+      SELECT range AS n, range AS c, 0 AS k FROM range(256)
+      UNION ALL
+      SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1
+      FROM bits WHERE k < 8),
+    crc_table AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8)"""
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(range(1, length(h) // 2 + 1),
+          lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)),
+        lambda acc, x: xor(acc >> 8, t[(xor(acc, x) & 255) + 1])), 4294967295)"""
+
 
 def query(sql: str | None = None):
     def register(run):
@@ -109,6 +123,76 @@ def op7_byte_bpe(spark, sf_dir):
     )
 
 
+@query(
+    rf"""
+    WITH RECURSIVE {CRC_TABLE},
+    texts AS (
+      SELECT doc_id, coalesce(text, '') AS text,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+      FROM documents),
+    vocabulary AS (
+      SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT unnest(words) AS w FROM texts)),
+    codes AS (SELECT w, {CRC} & {quality.BUCKETS - 1} AS code FROM vocabulary, crc_table),
+    items AS (
+      SELECT doc_id, i, code
+      FROM (SELECT doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM texts)
+      JOIN codes USING (w)),
+    features AS (
+      SELECT doc_id, code AS bucket FROM items
+      UNION ALL
+      SELECT a.doc_id, (a.code * 31 + b.code) & {quality.BUCKETS - 1}
+      FROM items a JOIN items b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+    trusted AS (
+      SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+      HAVING min(quality) = 1 AND coalesce(max(toxic), 0) = 0
+      ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {quality.TRUSTED_ROWS}),
+    counts AS (
+      SELECT bucket, count(*) AS corpus, count(t.doc_id) AS target
+      FROM features f LEFT JOIN trusted t ON t.doc_id = f.doc_id GROUP BY bucket),
+    totals AS (SELECT sum(corpus)::DOUBLE AS c, sum(target)::DOUBLE AS t FROM counts),
+    weights AS (
+      SELECT bucket, round((ln((target + 1) / (t + {quality.BUCKETS}))
+                            - ln((corpus + 1) / (c + {quality.BUCKETS}))) * {quality.UNITS})::BIGINT AS weight
+      FROM counts, totals),
+    scores AS (
+      SELECT doc_id, sum(weight) AS llr, count(*) AS n_features
+      FROM features JOIN weights USING (bucket) GROUP BY doc_id),
+    windows AS (
+      SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS win
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM texts)),
+    doubled AS (
+      SELECT doc_id, i FROM windows
+      QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+    repeated AS (
+      SELECT doc_id, count(*) AS n FROM (
+        SELECT DISTINCT doc_id, i + k AS place FROM doubled, range(5) r(k)) GROUP BY doc_id),
+    lines AS (
+      SELECT doc_id, list_filter(string_split(text, chr(10)),
+               lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM texts),
+    base AS (
+      SELECT t.doc_id, len(words)::BIGINT AS n_words,
+             length(array_to_string(words, ''))::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+             coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+             coalesce(llr, 0)::BIGINT AS llr, coalesce(n_features, 0)::BIGINT AS n_features
+      FROM texts t JOIN lines USING (doc_id) LEFT JOIN repeated r USING (doc_id)
+      LEFT JOIN scores s USING (doc_id)),
+    least AS (
+      SELECT floor(quantile_cont(floor(llr / n_features::DOUBLE), {quality.LOW_SHARE}))
+             - {int(quality.UNITS * quality.MARGIN)} AS low
+      FROM base JOIN trusted USING (doc_id) WHERE n_words >= {quality.LEAST_WORDS})
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, n_features,
+           n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+           NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+             AND llr >= n_features * low AS kept
+    FROM base, least
+    """
+)
+def op8_quality_rules(spark, sf_dir):
+    return quality.quality_verdicts(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 @query()
 def op9_token_counts(spark, sf_dir):
     counts = token_counts.token_counts(
