@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, exact_dedup, near_dup, packing, quality, sharding, token_counts
+from tidemill.llm import (
+    bpe,
+    exact_dedup,
+    licenses,
+    near_dup,
+    packing,
+    quality,
+    sharding,
+    token_counts,
+    url_filter,
+)
 from tidemill.llm.common import read_table
 from tidemill.plans.registry import Plan
 
@@ -83,6 +93,98 @@ def op2_packing(spark, sf_dir):
     )
 
 
+def _url_level(depth: int) -> str:
+    """One level of the tree: ``t{depth}`` extends the templates of ``t{depth - 1}``."""
+    u = url_filter
+    old, seg = f"t{depth}", f"segments[{depth + 1}]"
+    return f"""
+    b{depth} AS (
+      SELECT host, template, {seg} AS segment, sum(pages) AS pages, sum(good) AS good,
+             sum(labels) AS labels
+      FROM {old} WHERE len(segments) > {depth} GROUP BY ALL),
+    s{depth} AS (
+      SELECT *, sum(pages) OVER w AS all_pages, sum(good) OVER w AS all_good,
+             sum(labels) OVER w AS all_labels
+      FROM b{depth} WINDOW w AS (PARTITION BY host, template)),
+    k{depth} AS (
+      SELECT host, template, segment FROM (
+        SELECT *, good / labels::DOUBLE - (all_good - good) / (all_labels - labels)::DOUBLE AS gap,
+               all_good / all_labels::DOUBLE AS share
+        FROM s{depth}
+        WHERE pages >= {u.COMMON_PAGES} AND pages * 100 >= {u.COMMON_SHARE} * all_pages
+          AND labels > 0 AND all_labels > labels AND all_good > 0 AND all_good < all_labels)
+      WHERE gap * gap > {u.APART} * (share * (1.0 - share)
+        * (1.0 / labels::DOUBLE + 1.0 / (all_labels - labels)::DOUBLE))),
+    t{depth + 1} AS (
+      SELECT t.host, segments, pages, good, labels, CASE WHEN len(segments) <= {depth} THEN t.template
+             ELSE t.template || '/' || coalesce(k.segment, '*') END AS template
+      FROM {old} t LEFT JOIN k{depth} k
+        ON k.host = t.host AND k.template = t.template AND k.segment = {seg}),"""
+
+
+@query(
+    rf"""
+    WITH cut AS (
+      SELECT page_id, url, strpos(coalesce(url, ''), '://') AS spot FROM pages),
+    parts AS (
+      SELECT page_id,
+        CASE WHEN spot = 0 THEN '' ELSE translate(regexp_extract(substr(url, spot + 3), '^[^/?#]*'),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host,
+        CASE WHEN spot = 0 THEN '' ELSE regexp_extract(
+          substr(url, spot + 3), '^[^/?#]*([^?#]*)', 1) END AS path
+      FROM cut),
+    segmented AS (
+      SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
+                  lambda s: regexp_replace(s, '[0-9]+', '#', 'g')) AS masked,
+             regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS name
+      FROM parts),
+    named AS (
+      SELECT page_id, host, path, name, CASE WHEN len(masked) > {url_filter.DEPTH}
+        THEN list_append(masked[1:{url_filter.DEPTH}], '**') ELSE masked END AS segments
+      FROM segmented),
+    good AS (
+      SELECT doc_id::VARCHAR AS name, min(quality) AS good FROM labels
+      WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+    t0 AS (
+      SELECT host, segments, count(*) AS pages, coalesce(sum(good), 0) AS good,
+             count(good) AS labels, '' AS template
+      FROM named LEFT JOIN good ON good.name = named.name AND named.name <> ''
+      GROUP BY host, segments),
+    {"".join(_url_level(d) for d in range(url_filter.DEPTH + 1))}
+    total AS (SELECT coalesce(sum(good) / nullif(sum(labels), 0)::DOUBLE, 1.0) AS prior FROM t0),
+    verdicts AS (
+      SELECT host, template, sum(good) AS good, sum(labels) AS labels,
+             CASE WHEN (sum(good) + {url_filter.PRIOR} * any_value(prior))
+               / (sum(labels) + {url_filter.PRIOR}) < {url_filter.LEAST_GOOD}
+             THEN 'block' ELSE 'allow' END AS method
+      FROM t{url_filter.DEPTH + 1}, total GROUP BY host, template),
+    ruled AS (
+      SELECT *, '.' || host AS dotted FROM named),
+    chosen AS (
+      SELECT page_id, host, path, segments, CASE
+        WHEN ends_with(dotted, '.www.example.com') AND starts_with(path, '/en/')
+          THEN 'www.example.com/en/'
+        WHEN ends_with(dotted, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+        WHEN ends_with(dotted, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
+        WHEN ends_with(dotted, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+        WHEN ends_with(dotted, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule
+      FROM ruled)
+    SELECT page_id, c.host, path, rule, template,
+           CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+                WHEN rule IS NOT NULL THEN 'block' ELSE method END AS verdict,
+           v.good::BIGINT AS template_good, v.labels::BIGINT AS template_labels
+    FROM chosen c JOIN t{url_filter.DEPTH + 1} t USING (host, segments)
+    JOIN verdicts v USING (host, template)
+    """
+)
+def op3_url_filter(spark, sf_dir):
+    # the last number in a page's path is the document it shows
+    labels = read_table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("name"), F.col("quality").alias("good")
+    )
+    return url_filter.url_verdicts(read_table(spark, sf_dir, "pages"), labels)
+
+
 @query(
     r"""
     WITH rows AS (
@@ -199,3 +301,53 @@ def op9_token_counts(spark, sf_dir):
         documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")
     )
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(
+    rf"""
+    WITH templates AS (
+      SELECT * FROM (VALUES {", ".join(
+        f"({i}, {_quoted(name)}, {_quoted(text)})"
+        for i, (name, text) in enumerate(licenses.TEMPLATES))}) v(template, license, body)),
+    passages AS (
+      SELECT doc_id, 'line' || i AS part, line AS body
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                   unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+            FROM documents WHERE text <> '')
+      UNION ALL
+      SELECT doc_id, 'text', text FROM documents WHERE contains(text, chr(10))
+      UNION ALL
+      SELECT doc_id, 'block' || i, block
+      FROM (SELECT doc_id, unnest(bs) AS block, unnest(range(1, len(bs) + 1)) AS i
+            FROM (SELECT doc_id, regexp_split_to_array(text, '\n(?:[ \t\r\f\x0B]*\n)+') AS bs
+                  FROM documents) WHERE len(bs) > 1)),
+    worded AS (
+      SELECT 'p' AS side, doc_id, part, NULL AS license, list_filter(
+        regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS words
+      FROM passages
+      UNION ALL
+      SELECT 't', template, '', license, list_filter(
+        regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')
+      FROM templates),
+    paired AS (
+      SELECT side, doc_id, part, license, CASE WHEN len(words) = 1 THEN words ELSE list_transform(
+        range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END AS pairs
+      FROM worded WHERE len(words) > 0),
+    counted AS (
+      SELECT side, doc_id, part, license, len(pairs) AS n, pair, count(*) AS c
+      FROM (SELECT *, unnest(pairs) AS pair FROM paired) GROUP BY ALL),
+    both_sides AS (
+      SELECT p.doc_id, p.part, t.license, t.doc_id AS template, p.n + t.n AS total,
+             sum(least(p.c, t.c)) AS k
+      FROM counted p JOIN counted t ON p.pair = t.pair AND p.side = 'p' AND t.side = 't'
+      GROUP BY ALL)
+    SELECT doc_id, license, max(k * 2000000 // total)::BIGINT AS dice, count(*) AS passages
+    FROM both_sides WHERE k * 200 >= total * {licenses.LEAST_DICE} GROUP BY doc_id, license
+    """
+)
+def op10_license_scan(spark, sf_dir):
+    return licenses.license_matches(documents(spark, sf_dir))
