@@ -1,5 +1,62 @@
-"""The corpus pipeline: its stages, and the whole run over a documents table."""
+"""From raw documents to packed sequences: the stages, and the whole run.
+
+Each stage works on what its predecessor kept and returns the columns of documents;
+the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
-PIPELINE: dict = {}
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemill.llm.common import read_table, store
+from tidemill.llm.exact_dedup import drop_exact_duplicates
+from tidemill.llm.near_dup import drop_near_duplicates
+from tidemill.llm.packing import pack_documents
+from tidemill.llm.quality import keep_good
+from tidemill.plans.registry import Plan
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the likelihood ratio reject.
+
+    The trusted texts are those of ``docs`` that the labels call good.
+    """
+    return keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: the longest, then the smallest id."""
+    return drop_exact_duplicates(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: the smallest id."""
+    return drop_near_duplicates(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 1024 tokens."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("packing", packing),
+]
+
+#: SQL has no byte-level BPE, so the rows are tested against a brute-force run.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each stage's result written and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+PIPELINE = {"pipeline": Plan("pipeline", run, ORACLE_SQL)}

@@ -10,6 +10,7 @@ from tidemill.llm import (
     bpe,
     exact_dedup,
     licenses,
+    line_dedup,
     near_dup,
     packing,
     quality,
@@ -216,6 +217,47 @@ def op5_sharding(spark, sf_dir):
     )
 
 
+@query(
+    rf"""
+    WITH texts AS (
+      SELECT doc_id, string_split(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS ls
+      FROM documents),
+    lines AS (
+      SELECT doc_id, unnest(ls) AS body, unnest(range(len(ls))) AS line FROM texts),
+    sets AS (
+      SELECT doc_id, line,
+             list_sort(list_distinct(regexp_extract_all(body, '[^\x20\x09-\x0D]+'))) AS words
+      FROM lines),
+    classes AS (
+      SELECT words, len(words) AS n, min({{'d': doc_id, 'l': line}}) AS first,
+             row_number() OVER (ORDER BY min({{'d': doc_id, 'l': line}})) AS c
+      FROM sets WHERE len(words) >= {line_dedup.LEAST_WORDS} GROUP BY words),
+    tokens AS (SELECT c, n, unnest(words) AS w FROM classes),
+    common AS (
+      SELECT a.c AS x, b.c AS y, a.n AS nx, b.n AS ny, count(*) AS k
+      FROM tokens a JOIN tokens b ON a.w = b.w AND a.c < b.c
+        AND least(a.n, b.n) * 100 >= {line_dedup.SIMILAR} * greatest(a.n, b.n)
+      GROUP BY ALL),
+    later AS (
+      SELECT DISTINCT y FROM common
+      WHERE k * {100 + line_dedup.SIMILAR} >= {line_dedup.SIMILAR} * (nx + ny)),
+    gone AS (
+      SELECT s.doc_id, s.line FROM sets s JOIN classes c USING (words)
+      LEFT JOIN later ON later.y = c.c
+      WHERE later.y IS NOT NULL OR c.first.d <> s.doc_id OR c.first.l <> s.line),
+    listed AS (
+      SELECT doc_id, count(*) AS n, string_agg(line::VARCHAR, ',' ORDER BY line) AS removed
+      FROM gone GROUP BY doc_id)
+    SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed,
+           coalesce(removed, '') AS removed
+    FROM texts LEFT JOIN listed USING (doc_id)
+    """
+)
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 @query()
 def op7_byte_bpe(spark, sf_dir):
     return bpe.encode_all(
