@@ -1,0 +1,227 @@
+"""Exact and near duplicates against brute force."""
+
+import hashlib
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from messy import LONG, ROWS, SPACE, WORD, edited, empty, linked_components, messy, prose
+from pyspark.sql import functions as F
+
+from tidemill.llm import exact_dedup, near_dup, setjoin
+from tidemill.llm.components import components
+from tidemill.llm.exact_dedup import CuckooFilter, DigestIndex
+from tidemill.llm.hashing import shingle_sets, text_bytes, word_hashes
+
+
+def digest(text):
+    return hashlib.sha256(SPACE.sub("", text or "").encode()).hexdigest()
+
+
+def rank(row):
+    return -len(row[1] or ""), row[0] is None, row[0] or 0
+
+
+def exact_truth(rows):
+    groups = {}
+    for row in rows:
+        groups.setdefault(digest(row[1]), []).append(row)
+    return {d: (min(g, key=rank)[0], len(g)) for d, g in groups.items()}
+
+
+def test_exact_groups(spark):
+    truth = exact_truth(ROWS)
+    got = exact_dedup.exact_groups(messy(spark)).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        assert (r.keep_id, r.rows) == truth[bytes(r.digest).hex()]
+    assert sorted((r.doc_id or -1, bytes(r.digest).hex()) for r in got) == sorted(
+        (i or -1, digest(t)) for i, t in ROWS
+    )
+    assert all(r.kept == (r.doc_id == r.keep_id) for r in got if r.keep_id is not None)
+
+
+def test_drop_exact_keeps_one_row_of_each_group_and_all_columns(spark):
+    docs = messy(spark)
+    got = exact_dedup.drop_exact_duplicates(docs)
+    assert got.schema == docs.schema
+    rows = got.collect()
+    assert sorted((r.doc_id or -1, digest(r.text)) for r in rows) == sorted(
+        (keep or -1, d) for d, (keep, _) in exact_truth(ROWS).items()
+    )
+    assert exact_dedup.drop_exact_duplicates(empty(spark)).count() == 0
+    assert exact_dedup.exact_groups(empty(spark)).count() == 0
+
+
+def test_cuckoo_filter_grows_forgets_and_has_no_false_negatives():
+    rng = random.Random(0)
+    digests = [rng.randbytes(32) for _ in range(3000)]
+    small = CuckooFilter(4)
+    assert not all(small.insert(d) for d in digests)
+    built = CuckooFilter.of(digests, 4)
+    assert all(built.contains(d) for d in digests)
+    for d in digests[:1500]:
+        assert built.delete(d)
+    assert all(built.contains(d) for d in digests[1500:])
+    assert sum(built.contains(d) for d in digests[:1500]) < 15
+
+
+def test_index_inserts_and_deletes_live_digests(spark):
+    rows = exact_dedup.digest_rows(messy(spark))
+    index = DigestIndex(spark, 2)
+    index.insert(rows.where("doc_id < 10"))
+    index.insert(rows.where("doc_id >= 10 or doc_id is null"))
+    assert index.version == 2
+    live = {bytes(r.digest).hex(): (r.keep_id, r["rows"]) for r in index.content().collect()}
+    assert live == exact_truth(ROWS)
+    gone = {digest(t) for i, t in ROWS if i in (7, 13, 4)}
+    index.delete(rows.where("doc_id in (7, 13, 4)"))
+    index.delete(rows.where("doc_id in (7, 13, 4)"))
+    left = {bytes(r.digest).hex() for r in index.content().collect()}
+    assert left == set(live) - gone
+    index.insert(rows.where("doc_id = 13"))
+    found = index.lookup(rows.where("doc_id in (13, 14, 7)")).collect()
+    assert {r.doc_id: r.keep_id for r in found} == {13: 13, 14: 14, 7: None}
+
+
+def test_a_full_filter_is_built_anew_from_the_stored_digests():
+    schema, n = exact_dedup.ARRIVALS, 2000
+    rng = random.Random(1)
+    rows = [(0, rng.randbytes(32), 1, 1, i, i, 1) for i in range(n)]
+    arrivals = pa.Table.from_batches([exact_dedup._table(rows, schema)])
+    none = exact_dedup.STATE.empty_table()
+    key = (pa.scalar(0, pa.int64()),)
+    first = exact_dedup._insert(key, none, arrivals.slice(0, 50))
+    grown = exact_dedup._insert(key, first, arrivals)
+    content, index = exact_dedup._read_bucket(grown)
+    assert len(content) == n and all(index.contains(d) for d in content)
+    assert sum(entry[0] for entry in content.values()) == n + 50
+
+
+def shingles(text):
+    words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(a, b):
+    return bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+
+
+def near_truth(rows):
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    pairs = [(i, j) for x, (i, a) in enumerate(sets) for j, b in sets[:x] if similar(a, b)]
+    return linked_components(pairs, {i for i, _ in sets})
+
+
+def test_near_groups(spark):
+    truth = near_truth(ROWS)
+    got = near_dup.near_groups(messy(spark)).collect()
+    assert sorted((r.doc_id or -1, r.n_shingles) for r in got) == sorted(
+        (i or -1, len(shingles(t))) for i, t in ROWS
+    )
+    assert {r.doc_id: r.component_id for r in got} == {**truth, None: None}
+
+
+def test_drop_near_duplicates(spark):
+    docs = messy(spark)
+    got = near_dup.drop_near_duplicates(docs)
+    assert got.schema == docs.schema
+    ids = sorted(r.doc_id for r in got.collect() if r.doc_id is not None)
+    assert ids == sorted(set(near_truth(ROWS).values()))
+    assert got.where("doc_id is null").count() == 3
+    assert near_dup.drop_near_duplicates(empty(spark)).count() == 0
+    assert near_dup.near_groups(empty(spark)).count() == 0
+
+
+def test_near_groups_of_a_dense_group_lose_no_link(spark):
+    base = prose(9, 150)
+    rows = [(i, edited(base, i, i % 17)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_groups(docs).collect()}
+    assert got == near_truth(rows)
+
+
+def test_what_stars_leave_apart_is_joined_exactly(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "STARS", 0)
+    base = prose(9, 100)
+    rows = [(i, edited(base, i, i % 13)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_groups(docs).collect()}
+    assert got == near_truth(rows)
+
+
+def test_signatures_estimate_similarity():
+    texts = [prose(3, 400), edited(prose(3, 400), 1, 20), "a b c d e f", "q"]
+    data, bounds = text_bytes(pa.array(texts))
+    sets, counts = shingle_sets(*word_hashes(data, bounds, lower=True), len(texts), 5)
+    assert counts.tolist() == [len(shingles(t)) for t in texts]
+    dense = near_dup.signatures(sets, counts)
+    assert (dense != np.uint64(2**64 - 1)).all()
+    a, b = map(shingles, texts[:2])
+    assert abs((dense[0] == dense[1]).mean() - len(a & b) / len(a | b)) < 0.15
+
+
+@pytest.mark.parametrize("block", [64, 1 << 20])
+def test_word_hashes_depend_on_the_word_only(monkeypatch, block):
+    from tidemill.llm import hashing
+
+    monkeypatch.setattr(hashing, "BLOCK", block)
+    texts = [t for _, t in ROWS[:20]]
+    data, bounds = text_bytes(pa.array(texts))
+    hashes, rows = word_hashes(data, bounds)
+    words = [(i, w) for i, t in enumerate(texts) for w in WORD.findall(t or "")]
+    assert rows.tolist() == [i for i, _ in words]
+    by_word = {}
+    for (_, w), h in zip(words, hashes.tolist(), strict=True):
+        assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(300) if i % 7] + [
+        (rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(300)
+    ]
+    edges += [(1000, i) for i in range(1001, 1200)] + [(5, 5)]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    nodes = {x for e in edges if e[0] != e[1] for x in e}
+    truth = linked_components([e for e in edges if e[0] != e[1]], nodes)
+    assert {r.node: r.label for r in got} == truth and len(got) == len(nodes)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_set_join_finds_all_pairs(spark):
+    rng = random.Random(5)
+    sets = []
+    for i in range(120):
+        base = [rng.randrange(60) for _ in range(rng.randrange(1, 25))]
+        for _ in range(2):
+            more = base[rng.randrange(2):] + [rng.randrange(2000) for _ in range(rng.randrange(3))]
+            sets.append(sorted(set(more) | {i % 5}))
+    df = spark.createDataFrame(
+        [(i, i, len(s), s) for i, s in enumerate(sets)], "id long, comp long, n long, tokens array<long>"
+    )
+    got = {(r.comp_a, r.comp_b) for r in setjoin.similar_pairs(df, 75).collect()}
+    truth = {
+        (i, j) for j, b in enumerate(map(set, sets)) for i, a in enumerate(map(set, sets[:j]))
+        if 100 * len(a & b) >= 75 * len(a | b)
+    }
+    assert got == truth and truth
+
+
+def test_long_texts_are_whole(spark):
+    docs = spark.createDataFrame([(1, LONG), (2, LONG + " x")], "doc_id long, text string")
+    got = near_dup.near_groups(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {
+        1: (len(shingles(LONG)), 1), 2: (len(shingles(LONG + " x")), 1),
+    }
+
+
+def test_repeated_ids_join_their_texts(spark):
+    a, b = prose(20, 50), prose(21, 50)
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, prose(22, 50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_groups(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert near_dup.drop_near_duplicates(docs).agg(F.sort_array(F.collect_list("doc_id"))).first()[0] == [1, 4]
