@@ -19,14 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import store
-from tidemill.llm.tokens import Pieces, pieces
+from tidemill.llm.tokens import Pieces, per_worker, pieces
 
 #: Characters of a chunk, and of what it shares with the next one.
 CHUNK, OVERLAP = 65_536, 1_024
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-_known: dict[tuple[str, str], Codec] = {}
-
 
 class Codec:
     """Encodes and decodes by a file of ranks; ids are decimal text joined by commas."""
@@ -42,7 +40,9 @@ class Codec:
         )
         self.pattern = regex.compile(pattern)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.ids = Pieces(lambda piece: ",".join(map(str, encoding.encode_ordinary(piece))))
+        self.ids = Pieces(
+            lambda piece: ",".join(map(str, encoding.encode_ordinary(piece))), ",".join
+        )
         self.raw = Pieces(lambda ids: b"".join(self.bytes_of[int(i)] for i in ids.split(",")))
 
     def encode(self, text: str) -> list[str]:
@@ -59,9 +59,7 @@ class Codec:
 
 def codec(ranks_path: str, pattern: str) -> Codec:
     """One per worker."""
-    if (ranks_path, pattern) not in _known:
-        _known[ranks_path, pattern] = Codec(ranks_path, pattern)
-    return _known[ranks_path, pattern]
+    return per_worker(("codec", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
 
 
 def digest(parts: list[str], raw: bytes) -> tuple[int, str, str]:

@@ -11,7 +11,9 @@ reads, a bounded number of tokens at a time; nothing is shuffled.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.tokens import Pieces, pieces
+from tidemill.llm.tokens import Pieces, per_worker, pieces
 
 #: Window sizes, powers of two, longest first.
 TIERS = (1024, 512, 256, 128)
@@ -39,22 +41,23 @@ PIECES = pa.schema(
 )
 PIECES_DDL = ", ".join(f"{f.name} long" for f in PIECES)
 
-_known: dict[str, Pieces] = {}
-
-
 def id_bytes(tokenizer_path: str) -> Pieces:
     """Little-endian 32-bit ids of pieces by the tokenizer's library; one per worker."""
-    if tokenizer_path not in _known:
-        import numpy as np
+
+    def make() -> Pieces:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
 
         def encode(piece: str) -> bytes:
-            return np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = array("I", tokenizer.encode(piece, add_special_tokens=False).ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            return ids.tobytes()
+
+        return Pieces(encode, b"".join)
 
-        _known[tokenizer_path] = Pieces(encode)
-    return _known[tokenizer_path]
+    return per_worker(("id_bytes", tokenizer_path), make)
 
 
 @dataclass

@@ -8,23 +8,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.tokens import Pieces, words
+from tidemill.llm.tokens import Pieces, per_worker, words
 
 #: Bytes of text that a worker takes on at a time.
 BATCH_BYTES = 4 << 20
 COUNTS = "doc_id long, n_bytes long, n_tokens long"
 
-_known: dict[str, Pieces] = {}
-
-
 def piece_lengths(model_path: str) -> Pieces:
     """Lengths of pieces by the model's library; one per worker."""
-    if model_path not in _known:
+
+    def make() -> Pieces:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=model_path)
-        _known[model_path] = Pieces(lambda piece: len(model.encode(piece)))
-    return _known[model_path]
+        return Pieces(lambda piece: len(model.encode(piece)))
+
+    return per_worker(("piece_lengths", model_path), make)
 
 
 def balanced(offsets, limit: int) -> Iterator[tuple[int, int]]:

@@ -7,29 +7,63 @@ text may be cut: none of the tokenizers used here joins anything across it.
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections.abc import Callable
 
-#: Pieces that a worker remembers.
-REMEMBER = 250_000
+#: Pieces that a worker remembers: the first that it meets.
+REMEMBER = 400_000
 #: Longer pieces are not remembered.
 LONGEST = 64
 
 _BETWEEN = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 _RUNS = re.compile(r"[\s▁] | [\s▁]")
+#: A line break between two characters that aren't white space is a pre-token by itself.
+_LINE = re.compile(r"(?<=\S)(\n)(?=\S)")
+#: Letters, and the marks after them: two pre-tokens.
+_MARKED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
+
+
+def per_worker(key: object, make: Callable):
+    """What ``make`` gives, made once in a Python worker and kept between its tasks."""
+    name = "tidemill_worker_state"
+    kept = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+def pre_tokens(piece: str) -> list[str]:
+    """Parts of ``piece`` that byte-level BPE encodes apart, where they are easily told."""
+    if "\n" in piece:
+        return _LINE.split(piece)
+    marked = _MARKED.fullmatch(piece)
+    return list(marked.groups()) if marked else [piece]
 
 
 class Pieces(dict):
-    """What ``encode`` makes of a piece, remembered; emptied when it is full."""
+    """What ``encode`` makes of a piece, remembered while there is room.
+
+    ``split`` gives parts of a piece that are looked up apart and put together by ``join``.
+    """
 
-    def __init__(self, encode: Callable[[str], object], limit: int = REMEMBER):
+    def __init__(
+        self,
+        encode: Callable[[str], object],
+        join: Callable[[list], object] | None = None,
+        split: Callable[[str], list[str]] = pre_tokens,
+        limit: int = REMEMBER,
+    ):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.join, self.split, self.limit = encode, join, split, limit
 
     def __missing__(self, piece: str):
-        made = self.encode(piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= self.limit:
-                self.clear()
+        parts = self.split(piece) if self.join else [piece]
+        if len(parts) > 1:
+            made = self.join([self[part] for part in parts])
+        else:
+            made = self.encode(piece)
+        if len(self) < self.limit and len(piece) <= LONGEST:
             self[piece] = made
         return made
 
