@@ -14,7 +14,7 @@ from messy import ROWS, empty, messy
 from tokenizers import Tokenizer
 
 from tidemill.llm import bpe, packing, token_counts
-from tidemill.llm.tokens import pieces, words
+from tidemill.llm.tokens import words
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -42,7 +42,6 @@ def as_rows(df):
 
 def test_parts_join_to_the_text():
     for _, text in ROWS:
-        assert "".join(pieces(text or "")) == (text or "")
         assert " ".join(words(text or "")) == (text or "")
 
 

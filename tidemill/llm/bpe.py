@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import store
-from tidemill.llm.tokens import Pieces, per_worker, pieces
+from tidemill.llm.tokens import ByteLevel, Memo, per_worker
 
 #: Characters of a chunk, and of what it shares with the next one.
 CHUNK, OVERLAP = 65_536, 1_024
@@ -40,14 +40,14 @@ class Codec:
         )
         self.pattern = regex.compile(pattern)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.ids = Pieces(
+        self.ids = ByteLevel(
             lambda piece: ",".join(map(str, encoding.encode_ordinary(piece))), ",".join
         )
-        self.raw = Pieces(lambda ids: b"".join(self.bytes_of[int(i)] for i in ids.split(",")))
+        self.raw = Memo(lambda ids: b"".join(self.bytes_of[int(i)] for i in ids.split(",")))
 
     def encode(self, text: str) -> list[str]:
-        """Ids of the parts of ``text`` in turn; no pre-token goes across a part's end."""
-        return list(map(self.ids.__getitem__, pieces(text))) if text else []
+        """Ids of the words of ``text`` in turn; no pre-token goes across a word's end."""
+        return self.ids.parts(text) if text else []
 
     def decode(self, parts: list[str]) -> bytes:
         return b"".join(map(self.raw.__getitem__, parts))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.tokens import Pieces, per_worker, pieces
+from tidemill.llm.tokens import ByteLevel, per_worker
 
 #: Window sizes, powers of two, longest first.
 TIERS = (1024, 512, 256, 128)
@@ -41,21 +41,41 @@ PIECES = pa.schema(
 )
 PIECES_DDL = ", ".join(f"{f.name} long" for f in PIECES)
 
-def id_bytes(tokenizer_path: str) -> Pieces:
-    """Little-endian 32-bit ids of pieces by the tokenizer's library; one per worker."""
 
-    def make() -> Pieces:
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte.
+
+    Printable bytes are themselves, the others follow from 256 on.
+    """
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def id_bytes(tokenizer_path: str) -> ByteLevel:
+    """Little-endian 32-bit ids of texts by the tokenizer's library; one per worker."""
+
+    def packed(ids: list[int]) -> bytes:
+        packed = array("I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def make() -> ByteLevel:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
+        model, letters = tokenizer.model, byte_letters()
 
         def encode(piece: str) -> bytes:
-            ids = array("I", tokenizer.encode(piece, add_special_tokens=False).ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            return ids.tobytes()
+            return packed(tokenizer.encode(piece, add_special_tokens=False).ids)
+
+        def encode_word(word: str) -> bytes:
+            """The model alone, for what needs no pre-tokenising."""
+            written = word.encode().decode("latin-1").translate(letters)
+            return packed([token.id for token in model.tokenize(written)])
 
-        return Pieces(encode, b"".join)
+        return ByteLevel(encode, b"".join, encode_word)
 
     return per_worker(("id_bytes", tokenizer_path), make)
 
@@ -160,7 +180,7 @@ def step_groups(windows: list[Window], step_tokens: int = STEP_TOKENS) -> list[i
 
 def _packed(tokenizer_path: str, tiers: tuple[int, ...], pack_tokens: int, step_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = id_bytes(tokenizer_path).__getitem__
+        parts_of = id_bytes(tokenizer_path).parts
         # sequences and step groups are numbered within the partition
         sequence = group = TaskContext.get().partitionId() << 33
         docs: list[tuple[int | None, bytes]] = []
@@ -191,7 +211,7 @@ def _packed(tokenizer_path: str, tiers: tuple[int, ...], pack_tokens: int, step_
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                ids = b"".join([*map(ids_of, pieces(text)), END]) if text else END
+                ids = b"".join([*parts_of(text), END]) if text else END
                 docs.append((doc_id, ids))
                 held += len(ids) // 4
                 if held >= pack_tokens:

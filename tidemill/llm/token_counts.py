@@ -8,20 +8,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.tokens import Pieces, per_worker, words
+from tidemill.llm.tokens import Memo, per_worker, words
 
 #: Bytes of text that a worker takes on at a time.
 BATCH_BYTES = 4 << 20
 COUNTS = "doc_id long, n_bytes long, n_tokens long"
 
-def piece_lengths(model_path: str) -> Pieces:
+def piece_lengths(model_path: str) -> Memo:
     """Lengths of pieces by the model's library; one per worker."""
 
-    def make() -> Pieces:
+    def make() -> Memo:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=model_path)
-        return Pieces(lambda piece: len(model.encode(piece)))
+        return Memo(lambda piece: len(model.encode(piece)))
 
     return per_worker(("piece_lengths", model_path), make)
 

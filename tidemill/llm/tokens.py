@@ -20,8 +20,8 @@ _BETWEEN = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 _RUNS = re.compile(r"[\s▁] | [\s▁]")
 #: A line break between two characters that aren't white space is a pre-token by itself.
 _LINE = re.compile(r"(?<=\S)(\n)(?=\S)")
-#: Letters, and the marks after them: two pre-tokens.
-_MARKED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
+#: Letters are one pre-token, and marks after them another.
+_MARKED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
 def per_worker(key: object, make: Callable):
@@ -33,49 +33,56 @@ def per_worker(key: object, make: Callable):
     return kept[key]
 
 
-def pre_tokens(piece: str) -> list[str]:
-    """Parts of ``piece`` that byte-level BPE encodes apart, where they are easily told."""
-    if "\n" in piece:
-        return _LINE.split(piece)
-    marked = _MARKED.fullmatch(piece)
-    return list(marked.groups()) if marked else [piece]
+class Memo(dict):
+    """What ``make`` gives for a piece, remembered while there is room."""
 
-
-class Pieces(dict):
-    """What ``encode`` makes of a piece, remembered while there is room.
-
-    ``split`` gives parts of a piece that are looked up apart and put together by ``join``.
-    """
-
-    def __init__(
-        self,
-        encode: Callable[[str], object],
-        join: Callable[[list], object] | None = None,
-        split: Callable[[str], list[str]] = pre_tokens,
-        limit: int = REMEMBER,
-    ):
+    def __init__(self, make: Callable[[str], object], limit: int = REMEMBER):
         super().__init__()
-        self.encode, self.join, self.split, self.limit = encode, join, split, limit
+        self.make, self.limit = make, limit
 
     def __missing__(self, piece: str):
-        parts = self.split(piece) if self.join else [piece]
-        if len(parts) > 1:
-            made = self.join([self[part] for part in parts])
-        else:
-            made = self.encode(piece)
+        made = self.make(piece)
         if len(self) < self.limit and len(piece) <= LONGEST:
             self[piece] = made
         return made
 
 
+class ByteLevel:
+    """Byte-level BPE of whole texts, word by word.
+
+    ``encode`` does any piece of text, ``encode_word`` a piece that is one pre-token of
+    letters; ``join`` puts what they give together.
+    """
+
+    def __init__(self, encode: Callable, join: Callable, encode_word: Callable | None = None):
+        self.encode, self.join, self.encode_word = encode, join, encode_word or encode
+        self.plain = Memo(self._made)
+        #: Pieces that come after a space, without it.
+        self.spaced = Memo(lambda piece: self._made(" " + piece))
+
+    def _made(self, piece: str):
+        marked = _MARKED.fullmatch(piece)
+        if marked:
+            word, marks = marked.groups()
+            if marks:
+                return self.join([self._known(word), self.plain[marks]])
+            return self.encode_word(word)
+        parts = _LINE.split(piece) if "\n" in piece else [piece]
+        if len(parts) > 1:
+            return self.join([self._known(part) for part in parts])
+        return self.encode(piece)
+
+    def _known(self, piece: str):
+        return self.spaced[piece[1:]] if piece[:1] == " " else self.plain[piece]
+
+    def parts(self, text: str) -> list:
+        """What the words of ``text``, which isn't empty, give in turn."""
+        first, *rest = words(text)
+        return [self.plain[first], *map(self.spaced.__getitem__, rest)]
+
+
 def words(text: str) -> list[str]:
     """Parts of ``text`` that joined by single spaces give ``text``."""
     if _RUNS.search(text) or text[:1] == " " or text[-1:] == " ":
         return _BETWEEN.split(text)
     return text.split(" ")
-
-
-def pieces(text: str) -> list[str]:
-    """Parts of ``text`` that joined by nothing give ``text``; all but the first begin with a space."""
-    first, *rest = words(text)
-    return [first, *map(" ".__add__, rest)]
