@@ -1,4 +1,4 @@
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import money
-from tidemill.operators import aggregates
+from tidemill.operators import aggregates, ranges
 
 
 def test_word_count_keeps_empty_tokens_and_sorts_descending(spark):
@@ -67,30 +67,36 @@ def skewed_values(spark, copies: bool):
 
 
 @pytest.mark.parametrize("copies", [False, True])
-@pytest.mark.parametrize("spread_by", [None, ["n"]])
-def test_collect_by_key_cuts_large_groups_and_keeps_all_values(spark, copies, spread_by):
+@pytest.mark.parametrize("rows_per_range", [50, 200_000])
+def test_collect_by_key_pages_by_rank_and_keeps_all_values(spark, monkeypatch, copies, rows_per_range):
+    monkeypatch.setattr(ranges, "ROWS_PER_RANGE", rows_per_range)
     df = skewed_values(spark, copies)
-    lists = aggregates.collect_by_key(
-        df, "k", "v", key_name="k", spread_by=spread_by, max_list=100
-    ).collect()
-    wanted = defaultdict(Counter)
+    lists = aggregates.collect_by_key(df, "k", "v", key_name="k", page_size=100).collect()
+    wanted = defaultdict(list)
     for r in df.collect():
-        wanted[r["k"]][r["v"]] += 1
-    got = defaultdict(Counter)
-    for r in lists:
-        assert r["values"] == sorted(r["values"])
-        assert len(r["values"]) <= 200
-        got[r["k"]].update(r["values"])
-    assert got == wanted
-    pieces = Counter(r["k"] for r in lists)
-    assert pieces["hot"] > 5
-    assert all(n == 1 for k, n in pieces.items() if k != "hot")
+        wanted[r["k"]].append(r["v"])
+    pages = {}
+    for k, values in wanted.items():
+        values.sort()
+        for at in range(0, len(values), 100):
+            pages[k, at // 100] = values[at : at + 100]
+    assert {(r["k"], r["piece"]): r["values"] for r in lists} == pages
+    assert len(lists) == len(pages)
+
+
+def test_collect_by_key_of_a_key_with_more_than_one_page_of_the_default_size(spark):
+    df = spark.range(250_001).select(F.lit("hot").alias("k"), F.col("id").alias("v"))
+    lists = aggregates.collect_by_key(df, "k", "v")
+    got = lists.select("piece", F.size("values"), F.array_min("values")).collect()
+    assert sorted(map(tuple, got)) == [(0, 100_000, 0), (1, 100_000, 100_000), (2, 50_001, 200_000)]
 
 
 def test_collect_by_key_with_one_list_per_key(spark):
-    df = spark.createDataFrame([("a", 3), ("a", 1), (None, 2), ("b", 1)], "k string, v int")
+    df = spark.createDataFrame(
+        [("a", 3), ("a", 1), (None, 2), ("b", 1), ("b", None), ("c", None)], "k string, v int"
+    )
     lists = {r["key"]: (r["piece"], r["values"]) for r in aggregates.collect_by_key(df, "k", "v").collect()}
-    assert lists == {"a": (0, [1, 3]), "b": (0, [1]), None: (0, [2])}
+    assert lists == {"a": (0, [1, 3]), "b": (0, [1]), None: (0, [2]), "c": (0, [])}
 
 
 def test_group_by_expression(spark):

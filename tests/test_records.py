@@ -16,8 +16,8 @@ TRIP_COLUMNS = [
 @pytest.fixture(scope="module")
 def trips(spark):
     rows = [
-        ("1", "2020-07-01 00:25:32", "1", "1.50", "238", "75", "2", "9.3"),
-        ("2", "2020-07-01 00:03:19", "1", "9.50", "138", "216", "1", "-27.8"),
+        ("1", "2031-02-03 04:05:06", "3", "2.25", "11", "12", "2", "6.5"),
+        ("2", "2031-02-03 05:06:07", "4", "7.75", "13", "14", "1", "-8.25"),
     ]
     return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in TRIP_COLUMNS))
 
@@ -45,6 +45,18 @@ def test_bad_number_raises_under_ansi(trips):
         records.ride_rows(broken, F.lit("now")).collect()
 
 
+@pytest.mark.parametrize(
+    "bad", ['{"k": 1, "v": "1.0', '{"k": "x", "v": 1.0}', '{"k": 1, "v": 123456.789}', '{"k": 99999999999}']
+)
+def test_bad_values_raise(spark, bad):
+    schema = spark.createDataFrame([], "k int, v decimal(5,2)").schema
+    topic = spark.createDataFrame([('{"k": 1, "v": 2.5}',), (bad,)], "value string")
+    good = records.from_topic_rows(topic.limit(1), schema).collect()[0]
+    assert (good["k"], str(good["v"])) == (1, "2.50")
+    with pytest.raises(Exception, match="MALFORMED|CANNOT_PARSE|PARSE"):
+        records.from_topic_rows(topic, schema).collect()
+
+
 def test_clean_captions(spark):
     rows = [
         (1, " ".join(["w"] * 49), "2024-01-02 03:04:05"),

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators.skew import PIECE, SkewRule, hot_keys, large_groups, spread_join, with_piece
+from tidemill.operators.skew import PIECE, SkewRule, hot_keys, spread_join, with_piece
 
 RULE = SkewRule(min_rows=0, share=0.05)
 
@@ -77,15 +77,6 @@ def test_spread_join_refuses_other_joins(skewed, lookup):
         spread_join(skewed, lookup, ["k"], "full")
 
 
-def test_large_groups_are_counted_exactly(skewed):
-    found = {r["k"]: r["_pieces"] for r in large_groups(skewed, ["k"], 100).collect()}
-    counted = {r["k"]: r["count"] for r in skewed.groupBy("k").count().collect()}
-    assert found == {k: math.ceil(n * 2 / 100) for k, n in counted.items() if n > 100}
-    assert set(found) == {0, None}
-    assert large_groups(skewed, ["k"], 9000) is None
-    assert large_groups(skewed, ["k"], 5000) is None
-
-
 def test_aqe_splits_a_plain_join_on_a_hot_key(spark):
     """The row-level joins are plain sort-merge joins, which AQE can split."""
     settings = {

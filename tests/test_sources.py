@@ -46,6 +46,8 @@ def test_text_dump_keeps_nulls_and_empty_strings(spark, tmp_path):
             (5, "two\nlines, \\\nand \"more", None),
             (6, "ends with \\", None),
             (7, "line\r\nends\rhere", None),
+            (8, "\\N", None),
+            (9, "\\t \\\\n \\p \\\\", None),
         ],
         "id int, name string, at timestamp_ntz",
     )
@@ -93,13 +95,13 @@ MOVIES = parse_declared(
 
 def test_ingest_binds_by_header_name(spark, tmp_path):
     (tmp_path / "old").mkdir()
-    (tmp_path / "old" / "a.csv").write_text('title,genre,year,id\n"One, Two",Drama,2006,331567813147483648\n')
-    (tmp_path / "b.csv").write_text("title,genre,year,id\nThree,Comedy,2022,493030854147483651\n")
+    (tmp_path / "old" / "a.csv").write_text('title,genre,year,id\n"One, Two",Drama,2006,4100200300400500600\n')
+    (tmp_path / "b.csv").write_text("title,genre,year,id\nThree,Comedy,2022,4100200300400500601\n")
     (tmp_path / "c.txt").write_text("title,genre,year,id\nNot,Read,1,1\n")
     rows = files.ingest_declared(spark, str(tmp_path), MOVIES).orderBy("year").collect()
     assert [tuple(r) for r in rows] == [
-        (331567813147483648, "One, Two", "Drama", 2006),
-        (493030854147483651, "Three", "Comedy", 2022),
+        (4100200300400500600, "One, Two", "Drama", 2006),
+        (4100200300400500601, "Three", "Comedy", 2022),
     ]
 
 
@@ -109,11 +111,41 @@ def test_ingest_fills_missing_columns_and_drops_unknown_ones(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(1, "One", None, None)]
 
 
-def test_ingest_refuses_files_with_different_headers(spark, tmp_path):
+def test_ingest_binds_each_file_by_its_own_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("title,genre,year,id\nOne,Drama,2006,1\n")
-    (tmp_path / "b.csv").write_text("genre,title,year,id\nDrama,Two,2007,2\n")
-    with pytest.raises(Exception):
+    (tmp_path / "b.csv").write_text('genre,title,id\n"Dra,ma",Two,2\n')
+    rows = files.ingest_declared(spark, str(tmp_path), MOVIES).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, "One", "Drama", 2006), (2, "Two", "Dra,ma", None)]
+
+
+@pytest.mark.parametrize("line", ["One,Drama,soon,1", "One,Drama,99999999999,1", "One,Drama", "a,b,1,2,3"])
+def test_rows_that_do_not_fit_raise(spark, tmp_path, line):
+    (tmp_path / "a.csv").write_text(f"title,genre,year,id\nOk,Drama,2006,1\n{line}\n")
+    with pytest.raises(Exception, match="MALFORMED|PARSE"):
         files.ingest_declared(spark, str(tmp_path), MOVIES).collect()
+    with pytest.raises(Exception, match="MALFORMED|PARSE"):
+        files.read_csv(spark, str(tmp_path), "title string, genre string, year int, id long").collect()
+
+
+@pytest.mark.parametrize("line", ["1", "1\t2\t3", "x\ty", "99999999999\ty"])
+def test_dumps_that_do_not_fit_raise(spark, tmp_path, line):
+    (tmp_path / "a.txt").write_text(f"7\tok\n{line}\n")
+    with pytest.raises(Exception, match="CAST|width"):
+        files.load_text(spark, str(tmp_path), "id int, name string").collect()
+
+
+def test_one_large_dump_is_read_by_several_tasks(spark, tmp_path):
+    text = F.concat(F.lit("line\nbreak"), F.col("id"))
+    df = spark.range(200_000).select("id", text.alias("name"))
+    files.dump_text(df.coalesce(1), str(tmp_path / "dump"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        loaded = files.load_text(spark, str(tmp_path / "dump"), df.schema)
+        assert loaded.rdd.getNumPartitions() > 3
+        assert loaded.exceptAll(df).isEmpty() and loaded.count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_insert_by_name(spark, database):

@@ -38,17 +38,14 @@ def test_counts_equal_batch_over_many_batches_and_a_restart(spark, tmp_path, cou
 
     def go():
         lines = sources.text_lines(spark, folder, files_per_batch=1)
-        return sinks.drain(spark, sinks.keyed_table_writer(counted(lines), base, checkpoint))
+        return sinks.drain(spark, sinks.keyed_table_writer(counted(lines), base, checkpoint, ["word"]))
 
     folder = lines_folder(tmp_path, LINES[:4])
     assert len(batches_of(go())) == 4
     lines_folder(tmp_path, LINES[4:])
     assert len(batches_of(go())) == 1
     whole = spark.read.text(folder).select("value")
-    assert sorted(sinks.read_latest(spark, base, ["word"]).collect()) == sorted(counted(whole).collect())
-    target = new_folder(spark, "compact")
-    sinks.compact(spark, base, ["word"], target)
-    assert sorted(sinks.read_latest(spark, target, ["word"]).collect()) == sorted(counted(whole).collect())
+    assert sorted(sinks.read_latest(spark, base).collect()) == sorted(counted(whole).collect())
 
 
 def test_snapshots_hold_the_whole_result_and_old_ones_go(spark, tmp_path):
@@ -67,7 +64,7 @@ def test_state_is_kept_in_rocksdb(spark, tmp_path):
     try:
         lines = sources.text_lines(spark, lines_folder(tmp_path, LINES))
         writer = sinks.keyed_table_writer(
-            count_words(lines), new_folder(spark, "out"), new_folder(spark, "cp")
+            count_words(lines), new_folder(spark, "out"), new_folder(spark, "cp"), ["word"]
         )
         query = sinks.drain(spark, writer)
         metrics = batches_of(query)[0]["stateOperators"][0]["customMetrics"]
@@ -103,8 +100,46 @@ def test_a_repeated_batch_changes_nothing(spark):
     assert sinks.finished_batches(spark, base) == [0, 1]
 
 
+def test_batches_do_not_depend_on_success_markers(spark):
+    base = new_folder(spark, "out")
+    marker = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    write = sinks.write_batch(base)
+    write(spark.range(5), 0)
+    conf.set(marker, "false")
+    try:
+        write(spark.range(3), 1)
+    finally:
+        conf.set(marker, "true")
+    assert sinks.read_appended(spark, base).count() == 8
+    spark.range(2).write.parquet(sinks.batch_folder(base, 2))
+    assert sinks.read_appended(spark, base).count() == 8  # still being written
+    write(spark.range(4), 3)
+    with pytest.raises(RuntimeError, match="not committed"):
+        sinks.read_appended(spark, base)
+
+
+def test_keyed_table_over_many_batches_repeats_and_a_restart(spark):
+    base, rng, truth = new_folder(spark, "keyed"), random.Random(1), {}
+    merge = sinks.merge_batch(base, ["k"], buckets=4)
+    for n in range(50):
+        rows = {(rng.randrange(30) or None): rng.randrange(1000) for _ in range(rng.randrange(6))}
+        truth |= rows
+        batch = spark.createDataFrame(list(rows.items()), "k int, v int")
+        if n == 20:  # cut short before its commit, then run again by a new writer
+            spark.range(3).write.parquet(f"{base}/data/batch_id=20/bucket_id=0")
+            merge = sinks.merge_batch(base, ["k"], buckets=4)
+        merge(batch, n)
+        if n % 10 == 3:
+            merge(spark.createDataFrame([(1, -1)], "k int, v int"), n)
+    assert {r["k"]: r["v"] for r in sinks.read_latest(spark, base).collect()} == truth
+    # what is kept is as large as the table, whatever the number of batches
+    assert len(sinks.matching_paths(spark, f"{base}/data/*/bucket_id=*")) <= 8
+    assert sinks.committed(spark, base) == [48, 49]
+
+
 def test_reading_before_the_first_batch_fails(spark):
-    for read in (sinks.read_appended, sinks.read_snapshot):
+    for read in (sinks.read_appended, sinks.read_snapshot, sinks.read_latest):
         with pytest.raises(FileNotFoundError):
             read(spark, new_folder(spark, "none"))
 
@@ -120,11 +155,22 @@ def test_single_file_table_can_be_streamed(spark, sf_dir):
 
 
 def event(op, key, before, after, position):
+    """An envelope as the connector writes it; ``before`` may be "key" for a key-only image."""
+
     def image(amount):
-        return None if amount is None else {"sale_id": key, "sale_amount": amount}
+        if amount is None:
+            return None
+        return {"sale_id": key, "sale_amount": None if amount == "key" else amount}
 
     return json.dumps(
-        {"op": op, "before": image(before), "after": image(after), "position": position}
+        {
+            "before": image(before),
+            "after": image(after),
+            "source": {"connector": "x", "snapshot": "false", "ts_ms": 5, "lsn": position},
+            "op": op,
+            "ts_ms": 6,
+            "transaction": None,
+        }
     )
 
 
@@ -150,28 +196,34 @@ def row_schema(spark):
     return spark.createDataFrame([], ROW).schema
 
 
-def stream_total(spark, path, base, checkpoint):
+def latest_of(spark, values):
+    events = spark.createDataFrame([(v,) for v in values], "value string")
+    return cdc.latest_changes(cdc.parse_envelopes(events, row_schema(spark)), ["sale_id"])
+
+
+def total_of(spark, values):
+    return cdc.running_total(latest_of(spark, values), "sale_amount", "t").collect()[0]["total"]
+
+
+def stream_latest(spark, path, base, checkpoint):
     events = sources.table_stream(spark, path, files_per_batch=1)
-    changes = cdc.parse_envelopes(events, row_schema(spark))
-    total = cdc.running_total(changes, "sale_amount", "total_sales")
-    sinks.drain(spark, sinks.keyed_table_writer(total, base, checkpoint))
-    return sinks.read_latest(spark, base, ["key_name"]).collect()[0]["total"]
+    latest = cdc.latest_changes(cdc.parse_envelopes(events, row_schema(spark)), ["sale_id"])
+    sinks.drain(spark, sinks.keyed_table_writer(latest, base, checkpoint, ["sale_id"]))
+    return sinks.read_latest(spark, base)
 
 
 def test_running_total_with_update_delete_tombstone_and_repeats(spark):
     base, checkpoint = new_folder(spark, "out"), new_folder(spark, "cp")
     path = change_files(spark, CASES, 3)
-    assert stream_total(spark, path, base, checkpoint) == Decimal("70.00")
-    more = [(event("r", 3, None, 0.1, 5),), (event("u", 1, 100, 70, 3),)]
-    spark.createDataFrame(more, "value string").write.mode("append").parquet(path)
-    assert stream_total(spark, path, base, checkpoint) == Decimal("70.10")
 
+    def total():
+        latest = stream_latest(spark, path, base, checkpoint)
+        return cdc.running_total(latest, "sale_amount", "total_sales").collect()[0]["total"]
 
-def test_seed_rows_give_the_known_total(spark):
-    inserts = [event("c", n, None, 100 * n, n) for n in range(1, 11)]
-    base, checkpoint = new_folder(spark, "out"), new_folder(spark, "cp")
-    path = change_files(spark, inserts, 4)
-    assert stream_total(spark, path, base, checkpoint) == Decimal("5500.00")
+    assert total() == Decimal("70.00")
+    more = [(event("r", 3, None, 0.1, 5),), (event("u", 1, 100, 70, 3),)]
+    spark.createDataFrame(more, "value string").write.mode("append").parquet(path)
+    assert total() == Decimal("70.10")
 
 
 def test_latest_state_over_batches_and_restart(spark):
@@ -179,10 +231,7 @@ def test_latest_state_over_batches_and_restart(spark):
     path = change_files(spark, CASES, 4)
 
     def state():
-        events = sources.table_stream(spark, path, files_per_batch=1)
-        latest = cdc.latest_changes(cdc.parse_envelopes(events, row_schema(spark)), ["sale_id"])
-        sinks.drain(spark, sinks.keyed_table_writer(latest, base, checkpoint))
-        rows = cdc.current_rows(sinks.read_latest(spark, base, ["sale_id"]))
+        rows = cdc.current_rows(stream_latest(spark, path, base, checkpoint))
         return {r["sale_id"]: r["sale_amount"] for r in rows.collect()}
 
     assert state() == {1: Decimal("70.00")}
@@ -191,31 +240,60 @@ def test_latest_state_over_batches_and_restart(spark):
     assert state() == {2: Decimal("8.00")}
 
 
-def test_narrow_total_fails_on_overflow(spark):
-    events = spark.createDataFrame([(event("c", n, None, 99999999, n),) for n in (1, 2)], "value string")
-    changes = cdc.parse_envelopes(events, row_schema(spark))
-    wide = cdc.running_total(changes, "sale_amount", "t").collect()[0]["total"]
-    assert wide == Decimal("199999998.00")
-    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
-        cdc.running_total(changes, "sale_amount", "t", total_type="decimal(10,2)").collect()
+C, U, D, R = "c", "u", "d", "r"
+
+
+@pytest.mark.parametrize(
+    ("values", "total"),
+    [
+        ([event(C, 1, None, 100, 1), event(C, 2, None, 50, 2), event(U, 1, 100, 70, 3)], "120.00"),
+        ([event(C, 1, None, 100, 1), event(U, 1, None, 70, 2)], "70.00"),
+        ([event(R, 1, None, 100, 1), event(R, 1, None, 100, 9)], "100.00"),
+        ([event(C, 1, None, 100, 1), event(C, 2, None, 5, 2), event(D, 1, "key", None, 3)], "5.00"),
+        ([event(C, n, None, 100 * n, n) for n in range(1, 11)], "5500.00"),
+        ([event(U, 1, 100, 70, 3), event(C, 1, None, 100, 1)], "70.00"),
+    ],
+)
+def test_totals_of_incomplete_and_repeated_events(spark, values, total):
+    assert total_of(spark, values) == Decimal(total)
+
+
+def test_a_truncation_removes_what_was_before_it(spark):
+    emptied = json.dumps({"op": "t", "before": None, "after": None, "source": {"lsn": 5}})
+    values = [event("c", 1, None, 3, 1), emptied, event("c", 2, None, 4, 6), event("u", 1, None, 9, 4)]
+    assert total_of(spark, values) == Decimal("4.00")
+    base, path = new_folder(spark, "out"), change_files(spark, values, 4)
+    latest = stream_latest(spark, path, base, new_folder(spark, "cp"))
+    assert [r["sale_id"] for r in cdc.current_rows(latest).collect()] == [2]
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        event("c", 1, None, 100, 1)[:-9],
+        event("c", 1, None, 99999999999, 1),
+        event("c", 1, None, "much", 1),
+        event("c", 1, None, 100, None),
+        json.dumps({"op": "u", "after": {"sale_amount": 1}, "source": {"lsn": 3}}),
+        json.dumps({"after": {"sale_id": 1, "sale_amount": 1}, "source": {"lsn": 3}}),
+    ],
+)
+def test_bad_events_raise(spark, bad):
+    with pytest.raises(Exception, match="MALFORMED|without"):
+        total_of(spark, [event("c", 2, None, 50, 2), bad])
 
 
-def test_bounded_deduplication_needs_an_event_time(spark):
-    path = new_folder(spark, "timed")
-    spark.createDataFrame([(v,) for v in CASES], "value string").withColumn(
-        "at", F.lit("2024-01-01").cast("timestamp")
-    ).write.parquet(path)
-    events = sources.table_stream(spark, path)
-    changes = cdc.parse_envelopes(events, row_schema(spark), "at")
-    total = cdc.running_total(changes, "sale_amount", "t", event_time="at", delay="1 hour")
-    base = new_folder(spark, "out")
-    sinks.drain(spark, sinks.keyed_table_writer(total, base, new_folder(spark, "cp")))
-    assert sinks.read_latest(spark, base, ["key_name"]).collect()[0]["total"] == Decimal("70.00")
+def test_narrow_total_fails_on_overflow(spark):
+    values = [event("c", n, None, 99999999, n) for n in (1, 2)]
+    assert total_of(spark, values) == Decimal("199999998.00")
+    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+        latest = latest_of(spark, values)
+        cdc.running_total(latest, "sale_amount", "t", total_type="decimal(10,2)").collect()
 
 
 @settings(max_examples=8, deadline=None)
 @given(st.integers(0, 10_000))
-def test_signed_deltas_equal_the_sum_of_the_final_rows(spark, seed):
+def test_latest_state_is_the_final_table(spark, seed):
     rng = random.Random(seed)
     table, values = {}, []
     for position in range(40):
@@ -224,15 +302,14 @@ def test_signed_deltas_equal_the_sum_of_the_final_rows(spark, seed):
             table[key] = rng.randrange(1, 100)
             values.append(event("c", key, None, table[key], position))
         elif rng.random() < 0.3:
-            values.append(event("d", key, table.pop(key), None, position))
+            del table[key]
+            values.append(event("d", key, "key", None, position))
             values.append(None)
         else:
-            old, table[key] = table[key], rng.randrange(1, 100)
-            values.append(event("u", key, old, table[key], position))
+            table[key] = rng.randrange(1, 100)
+            values.append(event("u", key, None, table[key], position))
     rng.shuffle(values)
-    events = spark.createDataFrame([(v,) for v in values + values[:5]], "value string")
-    changes = cdc.parse_envelopes(events, row_schema(spark))
-    total = cdc.running_total(changes, "sale_amount", "t").collect()[0]["total"]
-    assert total == sum(table.values())
-    latest = cdc.current_rows(cdc.latest_changes(changes, ["sale_id"])).collect()
-    assert {r["sale_id"]: int(r["sale_amount"]) for r in latest} == table
+    latest = latest_of(spark, values + values[:5])
+    assert {r["sale_id"]: int(r["sale_amount"]) for r in cdc.current_rows(latest).collect()} == table
+    total = cdc.running_total(latest, "sale_amount", "t").collect()[0]["total"]
+    assert (total or 0) == sum(table.values())

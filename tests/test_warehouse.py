@@ -79,13 +79,19 @@ def test_updated_rows_contain_brand_new_rows_that_find_removes(dim, stage):
 @pytest.mark.parametrize("size", [0, 1])
 def test_a_placeholder_dimension_takes_everything(spark, stage, size):
     updated, inserted = warehouse.scd1_find(
-        frame(spark, [(-1, "none", "none")][:size]), stage, ["code"]
+        frame(spark, [(-1, "none", "none")][:size]), stage, ["code"], placeholder_rows=1
     )
     assert rows(updated) == []
     assert updated.columns == stage.columns
     assert rows(inserted) == rows(stage)
 
 
+def test_a_dimension_of_one_row_is_a_dimension(spark, stage):
+    one = stage.limit(1)
+    updated, inserted = warehouse.scd1_find(one, stage, ["code"])
+    assert inserted.count() == stage.count() - 1 and updated.count() == 0
+
+
 def test_special_columns_are_not_compared(spark, stage):
     dim = frame(
         spark, [(1, 77, "same", "A"), (2, 78, "new", "B")], "code int, id int, name string, city string"

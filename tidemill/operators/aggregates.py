@@ -1,21 +1,23 @@
 """Grouped and whole-table aggregates.
 
-All but the list collectors are partial + final aggregates, so a hot key reaches
-its reducer as one row per map task.
+All are partial + final aggregates, so a hot key reaches its reducer as one row per
+map task, or, where its values are listed, one page at a time.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import mean_of, space_tokens
-from tidemill.operators.skew import PIECE, large_groups, with_piece
+from tidemill.operators.ranges import RANGE, find_ranges, with_range
+from tidemill.shared import keep
 
-MAX_LIST = 100_000
+#: Values on a page of a collected list.
+PAGE_SIZE = 100_000
 
 
 def word_count(lines: DataFrame, column: str = "text") -> DataFrame:
@@ -57,51 +59,52 @@ def collect_by_key(
     value: str,
     *,
     key_name: str = "key",
-    spread_by: Sequence[str] | None = None,
-    max_list: int = MAX_LIST,
+    page_size: int = PAGE_SIZE,
 ) -> DataFrame:
-    """Sorted list of the values of every key: columns key, piece, values.
+    """Sorted values of every key in pages of ``page_size``: columns key, piece, values.
 
-    A list has to fit one task. A key with more than ``max_list`` rows therefore
-    gets several lists, numbered by ``piece``, which together are the whole
-    group; every other key has one list, piece 0. ``spread_by`` are columns that
-    tell the rows of one key apart. Without them equal values of a large key are
-    counted first, so that a value repeated without end does not fill one list.
+    The value of rank r, from 0, is on the page r div ``page_size``, whatever the size
+    of the key. Nulls are left out; a key of nulls only has one empty page. Equal values
+    are counted before the shuffle, and ranks are taken over ranges of (key, value), so
+    neither a hot key nor a value repeated without end meets in one task.
     """
     key_column = F.col(key) if isinstance(key, str) else key
-    extra = [c for c in spread_by or () if c != value]
-    keyed = df.select(key_column.alias(key_name), F.col(value).alias("_value"), *extra)
-    large = large_groups(keyed, [key_name], max_list)
-    if large is None or spread_by:
-        spread = ["_value" if c == value else c for c in spread_by or [value]]
-        lists = (
-            with_piece(keyed, [key_name], large, spread)
-            .groupBy(key_name, PIECE)
-            .agg(F.collect_list("_value").alias("_values"))
-        )
-    else:
-        lists = _collect_runs(keyed, key_name, large, max_list)
-    return lists.select(
-        key_name, F.col(PIECE).alias("piece"), F.sort_array("_values").alias("values")
+    keyed = df.select(key_column.alias(key_name), F.col(value).alias("_value"))
+    runs = keep(keyed.groupBy(key_name, "_value").agg(F.count("_value").alias("_n")))
+    order = [key_name, "_value"]
+    cut = with_range(runs, order, find_ranges(runs, order).bounds)
+    so_far = Window.partitionBy(RANGE, key_name).orderBy("_value").rowsBetween(
+        Window.unboundedPreceding, 0
     )
-
-
-def _collect_runs(
-    keyed: DataFrame, key_name: str, large: DataFrame, max_list: int
-) -> DataFrame:
-    """Lists by way of (value, count) runs; a long run is cut into several."""
-    longest = max(1, max_list // 2)
-    runs = keyed.groupBy(key_name, "_value").agg(F.count(F.lit(1)).alias("_n"))
-    last = F.ceil(F.col("_n") / longest) - 1
-    cut = runs.withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumn(
-        "_n", F.least(F.col("_n") - F.col("_cut") * longest, F.lit(longest)).cast("int")
+    # one row per key and range it reaches into
+    earlier = Window.partitionBy(key_name).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(key_name, RANGE).agg(F.sum("_n").alias("_sum"))
+    offsets = sums.select(
+        F.col(key_name).alias("_key"),
+        F.col(RANGE).alias("_in_range"),
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
+    )
+    same = F.col(key_name).eqNullSafe(F.col("_key")) & (F.col(RANGE) == F.col("_in_range"))
+    placed = (
+        cut.withColumn("_end", F.sum("_n").over(so_far))
+        .join(offsets, same)
+        .withColumn("_end", F.col("_before") + F.col("_end"))
+        .withColumn("_start", F.col("_end") - F.col("_n"))
+    )
+    page = f"greatest(_end - 1, _start) div {page_size}"
+    paged = placed.withColumn(
+        "piece", F.explode(F.expr(f"sequence(_start div {page_size}, {page})"))
+    ).withColumn(
+        "_here",
+        F.expr(
+            f"cast(least(_end, (piece + 1) * {page_size}) - greatest(_start, piece * {page_size}) as int)"
+        ),
     )
-    repeated = F.flatten(F.transform("_runs", lambda r: F.array_repeat(r["_value"], r["_n"])))
+    repeated = F.flatten(F.transform("_runs", lambda r: F.array_repeat(r["_value"], r["_here"])))
     return (
-        with_piece(cut, [key_name], large, ["_value", "_cut"])
-        .groupBy(key_name, PIECE)
-        .agg(F.collect_list(F.struct("_value", "_n")).alias("_runs"))
-        .select(key_name, PIECE, repeated.alias("_values"))
+        paged.groupBy(key_name, "piece")
+        .agg(F.sort_array(F.collect_list(F.struct("_value", "_here"))).alias("_runs"))
+        .select(key_name, "piece", repeated.alias("values"))
     )
 
 

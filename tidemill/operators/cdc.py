@@ -1,96 +1,76 @@
-"""Change events of a table: running totals and the latest state of each row.
-
-An event is an envelope with op (c, r, u, d), before, after and a position that
-grows with every change. The functions take batch or streaming frames.
+"""Change events of a table: the latest state of each row, and totals over current rows.
+
+An event is the envelope of a log-based connector: op (c, r, u, d, t), the row before
+and after, and under ``source`` where in the log the change is. Before images may lack,
+or hold the key only, and events may come again or be read anew by a snapshot. So
+nothing is added up from differences: state is kept per key, the event of the highest
+position wins, and totals are sums over the rows as they are. The functions take batch
+or streaming frames.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed value: the op that removes a row.
-DELETE = "d"
+# The ops that remove a row, and all rows.
+DELETE, TRUNCATE = "d", "t"
+STRICT = {"mode": "FAILFAST"}
 
 
 def envelope_schema(row: T.StructType) -> T.StructType:
+    place = T.StructType([T.StructField("lsn", T.LongType()), T.StructField("ts_ms", T.LongType())])
     return T.StructType(
         [
             T.StructField("op", T.StringType()),
             T.StructField("before", row),
             T.StructField("after", row),
-            T.StructField("position", T.LongType()),
+            T.StructField("source", place),
+            T.StructField("ts_ms", T.LongType()),
         ]
     )
 
 
+def _required(value: Column, present: Column, message: str) -> Column:
+    return F.when(present, value).otherwise(F.raise_error(F.lit(message)).cast("string"))
+
+
 def parse_envelopes(events: DataFrame, row: T.StructType, *keep: str) -> DataFrame:
-    """Envelopes from topic rows; tombstones, which have no value, are skipped.
+    """Envelopes from topic rows as op, before, after and position; tombstones are skipped.
 
-    Amounts written as JSON numbers are read straight into the declared
-    decimals.
+    ``position`` orders events: place in the log, time of the change, time of the event.
+    Amounts written as JSON numbers are read straight into the declared decimals. What
+    can't be read, doesn't fit, or has no op or position raises.
     """
     text = F.col("value").cast("string")
+    position = F.struct(
+        F.col("_event.source.lsn").alias("lsn"),
+        F.coalesce("_event.source.ts_ms", F.lit(0)).alias("changed"),
+        F.coalesce("_event.ts_ms", F.lit(0)).alias("sent"),
+    )
+    placed = F.col("_event.op").isNotNull() & F.col("_event.source.lsn").isNotNull()
     return (
         events.filter(F.col("value").isNotNull())
-        .select(*keep, F.from_json(text, envelope_schema(row)).alias("_event"))
-        .select(*keep, "_event.*")
+        .select(*keep, F.from_json(text, envelope_schema(row), STRICT).alias("_event"))
+        .select(
+            *keep,
+            _required(F.col("_event.op"), placed, "change event without op or log position").alias("op"),
+            F.col("_event.before").alias("before"),
+            F.col("_event.after").alias("after"),
+            position.alias("position"),
+        )
     )
 
 
-def once_per_position(
-    changes: DataFrame, event_time: str | None = None, delay: str | None = None
-) -> DataFrame:
-    """Drop events delivered again.
-
-    On a stream this keeps a position per event in state; with an event time
-    and a delay the state is bounded by that delay.
-    """
-    if event_time and delay and changes.isStreaming:
-        return changes.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["position"])
-    return changes.dropDuplicates(["position"])
-
-
-def signed_amounts(changes: DataFrame, amount: str, *keep: str) -> DataFrame:
-    """What each change adds to a total: the new amount less the old one.
-
-    Columns position and delta; ``keep`` passes others on, such as the event time.
-    """
-    kind = changes.schema["after"].dataType[amount].dataType
-    zero = F.lit(0).cast(kind)
-    delta = F.coalesce(F.col(f"after.{amount}"), zero) - F.coalesce(F.col(f"before.{amount}"), zero)
-    return changes.select("position", delta.alias("delta"), *keep)
-
-
-def running_total(
-    changes: DataFrame,
-    amount: str,
-    key_name: str,
-    *,
-    total_type: str | None = None,
-    event_time: str | None = None,
-    delay: str | None = None,
-) -> DataFrame:
-    """One row (key_name, total): the sum over the rows as they are now.
-
-    Retraction by signed amounts needs only one partial + final sum, so it works
-    on a stream in update mode. Events delivered again are counted once.
-    ``total_type`` narrows the total and fails on overflow.
-    """
-    keep = [event_time] if event_time else []
-    deltas = once_per_position(signed_amounts(changes, amount, *keep), event_time, delay)
-    summed = deltas.agg(F.sum("delta").alias("total"))
-    value = F.col("total").cast(total_type) if total_type else F.col("total")
-    return summed.select(F.lit(key_name).alias("key_name"), value.alias("total"))
-
-
 def latest_changes(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Last event of every key as (keys, op, after, position); deletes included.
+    """Last event of every key as (keys, op, after, position).
 
-    Deletes have to stay in a stream's output, so that readers can drop the row.
+    Deletes are included: they have to stay in a stream's output, so that readers can
+    drop the row. The last truncation is the row whose keys are null. State is one event
+    per key, whatever the number of events.
     """
     keyed = changes.select(
         *[F.coalesce(F.col(f"after.{k}"), F.col(f"before.{k}")).alias(k) for k in keys],
@@ -98,12 +78,37 @@ def latest_changes(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
         "after",
         "position",
     )
+    unnamed = F.lit(False)
+    for key in keys:
+        unnamed = unnamed | F.col(key).isNull()
+    named = keyed.withColumn(
+        "op", _required(F.col("op"), ~unnamed | (F.col("op") == TRUNCATE), "change event without key")
+    )
     return (
-        keyed.groupBy(*keys)
+        named.groupBy(*keys)
         .agg(F.max_by(F.struct("op", "after", "position"), "position").alias("_last"))
         .select(*keys, "_last.*")
     )
 
 
 def current_rows(latest: DataFrame) -> DataFrame:
-    return latest.filter(F.col("op") != DELETE).select("after.*")
+    """Rows of the table as it is: no deleted ones, and none from before the last truncation."""
+    emptied = latest.filter(F.col("op") == TRUNCATE).agg(F.max("position")).scalar()
+    there = ~F.col("op").isin(DELETE, TRUNCATE)
+    return latest.filter(
+        there & (emptied.isNull() | (F.col("position") > emptied))
+    ).select("after.*")
+
+
+def running_total(
+    latest: DataFrame, amount: str, key_name: str, *, total_type: str | None = None
+) -> DataFrame:
+    """One row (key_name, total): the sum over the current rows of ``latest_changes``.
+
+    A partial + final sum. On a stream, keep ``latest_changes`` in a keyed table and
+    take the total of what is read from it. ``total_type`` narrows the total and fails
+    on overflow.
+    """
+    summed = current_rows(latest).agg(F.sum(amount).alias("total"))
+    value = F.col("total").cast(total_type) if total_type else F.col("total")
+    return summed.select(F.lit(key_name).alias("key_name"), value.alias("total"))

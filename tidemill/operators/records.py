@@ -56,8 +56,12 @@ def to_topic_rows(df: DataFrame, key: Sequence[str], value: Sequence[str]) -> Da
 
 
 def from_topic_rows(topic: DataFrame, schema: T.StructType, *keep: str) -> DataFrame:
-    """Values as columns in the order of ``schema``; ``keep`` passes columns on."""
-    parsed = topic.select(*keep, F.from_json(F.col("value").cast("string"), schema).alias("_value"))
+    """Values as columns in the order of ``schema``; ``keep`` passes columns on.
+
+    A value that can't be read, or a number that doesn't fit its type, raises.
+    """
+    text = F.col("value").cast("string")
+    parsed = topic.select(*keep, F.from_json(text, schema, {"mode": "FAILFAST"}).alias("_value"))
     return parsed.select(*keep, "_value.*")
 
 

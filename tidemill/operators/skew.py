@@ -73,28 +73,6 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rule: SkewRule = DEFAULT_RULE)
     return F.broadcast(df.sparkSession.createDataFrame(rows, counted.schema))
 
 
-def large_groups(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame | None:
-    """Every key with more than ``max_rows`` rows, with the number of pieces for it.
-
-    Counted exactly, for results that have to fit one task whatever the size of
-    the table. Broadcast only after its rows were counted.
-    """
-    keyed = df.select(*keys)
-    if keyed.count() <= max_rows:
-        return None
-    large = keep(
-        keyed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > max_rows)
-        .withColumn(PIECES, F.ceil(F.col("_rows") * 2 / max_rows).cast("int"))
-        .drop("_rows")
-    )
-    found = large.count()
-    if found == 0:
-        return None
-    return F.broadcast(large) if found <= BROADCAST_ROWS else large
-
-
 def with_piece(
     df: DataFrame, keys: Sequence[str], hot: DataFrame | None, spread_by: Sequence[str]
 ) -> DataFrame:

@@ -1,6 +1,6 @@
 """Warehouse loads: dimension changes, upserts, keyed updates and deletes.
 
-Tables go in and come out as DataFrames; ``sources.tables`` writes results. The
+Tables go in and come out as DataFrames; ``sources.catalog`` writes results. The
 joins put the large or possibly skewed side first, so AQE can split it.
 """
 
@@ -95,7 +95,7 @@ def scd1_changes(
     stage: DataFrame,
     special: Sequence[str],
     *,
-    placeholder_rows: int = 1,
+    placeholder_rows: int = 0,
     null_safe: bool = False,
     by_key: bool = False,
 ) -> DataFrame:

@@ -93,46 +93,63 @@ SALES_ROW = "sale_id bigint, product_id bigint, sale_amount decimal(10,2)"
 def sales_changes(spark, sf_dir):
     """Change events of a sales table, one topic row per event.
 
-    Every order is created, those of status P as a snapshot read. Orders of
-    status F are later reduced by 1.00, and those of status O deleted, which
-    also writes a tombstone. Updates are delivered twice.
+    Every order is created, those of status P as a snapshot read, which a second
+    snapshot repeats. Orders of status F are later reduced by 1.00 by an update that
+    comes twice, every other one without its row before. Those of status O are deleted,
+    with the key alone before, which also writes a tombstone. A row that was there
+    before the table was emptied is written first.
     """
     amount = F.col("o_totalprice").cast("decimal(10,2)")
 
-    def image(value):
+    def image(value, product=F.col("o_custkey")):
         return F.struct(
             F.col("o_orderkey").alias("sale_id"),
-            F.col("o_custkey").alias("product_id"),
+            product.cast("bigint").alias("product_id"),
             value.cast("decimal(10,2)").alias("sale_amount"),
         )
 
     nothing = F.lit(None).cast(f"struct<{SALES_ROW.replace(' ', ':').replace(',:', ', ')}>")
-    position = F.col("o_orderkey") * 4
+    position = F.col("o_orderkey") * 8
 
     def event(op, before, after, step):
+        place = F.struct(
+            (position + step).alias("lsn"), F.lit(1700000000000).alias("ts_ms"),
+            F.lit("false").alias("snapshot"),
+        )
         return F.to_json(
             F.struct(
-                op.alias("op"),
-                before.alias("before"),
-                after.alias("after"),
-                (position + step).alias("position"),
+                op.alias("op"), before.alias("before"), after.alias("after"),
+                place.alias("source"), F.lit(1700000000001).alias("ts_ms"),
             )
-        )
+        )
 
     status = F.col("o_orderstatus")
-    created = event(F.when(status == "P", "r").otherwise("c"), nothing, image(amount), 0)
-    updated = event(F.lit("u"), image(amount), image(amount - 1), 1)
-    deleted = event(F.lit("d"), image(amount), nothing, 2)
+    created = event(F.when(status == "P", "r").otherwise("c"), nothing, image(amount), 1)
+    again = event(F.lit("r"), nothing, image(amount), 2)
+    before = F.when(F.col("o_orderkey") % 2 == 0, image(amount)).otherwise(nothing)
+    updated = event(F.lit("u"), before, image(amount - 1), 3)
+    deleted = event(F.lit("d"), image(F.lit(None), F.lit(None)), nothing, 4)
     tombstone = F.lit(None).cast("string")
     values = (
         F.when(status == "F", F.array(created, updated, updated))
         .when(status == "O", F.array(created, deleted, tombstone))
-        .otherwise(F.array(created))
+        .otherwise(F.array(created, again))
+    )
+    orders = table(spark, sf_dir, "orders")
+    key = F.to_json(F.struct(F.col("o_orderkey").alias("sale_id"))).alias("key")
+    place = F.struct(F.lit(-1).cast("bigint").alias("lsn"), F.lit(1).cast("bigint").alias("ts_ms"))
+    emptied = F.to_json(F.struct(F.lit("t").alias("op"), place.alias("source")))
+    earlier = F.to_json(
+        F.struct(
+            F.lit("c").alias("op"),
+            F.struct((-F.col("n") - 1).alias("sale_id"), F.lit(9).alias("sale_amount")).alias("after"),
+            F.struct((-F.col("n") - 2).alias("lsn")).alias("source"),
+        )
     )
-    return table(spark, sf_dir, "orders").select(
-        F.to_json(F.struct(F.col("o_orderkey").alias("sale_id"))).alias("key"),
-        F.explode(values).alias("value"),
+    old = orders.agg(F.count("*").alias("n")).select(
+        F.lit(None).cast("string").alias("key"), F.explode(F.array(earlier, emptied)).alias("value")
     )
+    return orders.select(key, F.explode(values).alias("value")).union(old)
 
 
 FINAL_SALES_SQL = """SELECT o_orderkey AS sale_id, o_custkey AS product_id,
@@ -229,5 +246,6 @@ def cdc_total_batch(spark, sf_dir):
     """The running total's recipe over the whole change log at once."""
     row = spark.createDataFrame([], SALES_ROW).schema
     changes = cdc.parse_envelopes(sales_changes(spark, sf_dir), row)
-    total = cdc.running_total(changes, "sale_amount", "total_sales")
+    latest = cdc.latest_changes(changes, ["sale_id"])
+    total = cdc.running_total(latest, "sale_amount", "total_sales")
     return total.withColumn("total", F.col("total").cast("double"))

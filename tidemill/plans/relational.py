@@ -138,14 +138,17 @@ def avg_by_key(spark, sf_dir):
 
 
 @plan(
-    """SELECT o_custkey, CAST(0 AS BIGINT) AS piece, count(*) AS n_values,
+    """SELECT o_custkey, rank // 8 AS piece, count(*) AS n_values,
         string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS order_keys
-    FROM orders GROUP BY o_custkey"""
+    FROM (SELECT o_custkey, o_orderkey,
+            row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS rank
+        FROM orders)
+    GROUP BY o_custkey, rank // 8"""
 )
 def collect_by_key(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     lists = aggregates.collect_by_key(
-        orders, "o_custkey", "o_orderkey", key_name="o_custkey", spread_by=["o_orderkey"]
+        orders, "o_custkey", "o_orderkey", key_name="o_custkey", page_size=8
     )
     return lists.select(
         "o_custkey",
@@ -156,9 +159,12 @@ def collect_by_key(spark, sf_dir):
 
 
 @plan(
-    """SELECT p_size % 2 AS odd, CAST(0 AS BIGINT) AS piece, count(*) AS n_values,
+    """SELECT odd, rank // 100 AS piece, count(*) AS n_values,
         string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS part_keys
-    FROM part GROUP BY p_size % 2"""
+    FROM (SELECT p_size % 2 AS odd, p_partkey,
+            row_number() OVER (PARTITION BY p_size % 2 ORDER BY p_partkey) - 1 AS rank
+        FROM part)
+    GROUP BY odd, rank // 100"""
 )
 def group_by_expr(spark, sf_dir):
     lists = aggregates.collect_by_key(
@@ -166,7 +172,7 @@ def group_by_expr(spark, sf_dir):
         F.col("p_size") % 2,
         "p_partkey",
         key_name="odd",
-        spread_by=["p_partkey"],
+        page_size=100,
     )
     return lists.select(
         "odd",
@@ -217,11 +223,13 @@ ACTIVITY_SQL = """SELECT c_custkey AS customer_id, CAST(c_acctbal > 0 AS INTEGER
 )
 def join_three_way(spark, sf_dir):
     rental, payment = rentals(spark, sf_dir), payments(spark, sf_dir)
+    # the join to customers is led by payments, so it is their rows that make a customer hot
+    paid = payment.join(rental, on="rental_id").select("customer_id")
     rows = relational.activity(
         customers(spark, sf_dir),
         rental,
         payment,
-        hot_customers=hot_keys(rental, ["customer_id"]),
+        hot_customers=hot_keys(paid, ["customer_id"]),
         hot_rentals=hot_keys(payment, ["rental_id"]),
     )
     rows.createOrReplaceTempView("activity")
@@ -239,7 +247,10 @@ def join_three_way(spark, sf_dir):
     JOIN (SELECT DISTINCT o_orderkey, o_custkey, o_orderdate FROM orders) ON l_orderkey = o_orderkey"""
 )
 def dedup_join(spark, sf_dir):
-    """Both tables are doubled first, so there are duplicate rows to remove."""
+    """Both tables are doubled first, so there are duplicate rows to remove.
+
+    The copies come of exploding an array, which the optimizer can't see through.
+    """
     payment = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("rental_id"),
         F.col("l_suppkey").alias("staff_id"),
@@ -252,9 +263,13 @@ def dedup_join(spark, sf_dir):
         F.col("o_orderdate").alias("rental_date"),
         F.col("o_custkey").alias("staff_id"),
     )
-    return relational.join_distinct(
-        payment.unionAll(payment), rental.unionAll(rental), ["rental_id"], "rental_"
-    )
+
+    def doubled(df):
+        copies = F.explode(F.array(F.lit(1), F.lit(2))).alias("_copy")
+        # the filter keeps both copies; without it the unused column would be dropped
+        return df.select("*", copies).where("_copy + rental_id <> rental_id").drop("_copy")
+
+    return relational.join_distinct(doubled(payment), doubled(rental), ["rental_id"], "rental_")
 
 
 @plan(

@@ -45,8 +45,8 @@ def count_words(lines: DataFrame) -> DataFrame:
 def stream_line_count(spark, sf_dir):
     base, checkpoint = new_folder(spark, "lines"), new_folder(spark, "checkpoint")
     counts = count_lines(document_lines(spark, sf_dir))
-    sinks.drain(spark, sinks.keyed_table_writer(counts, base, checkpoint))
-    counted = sinks.read_latest(spark, base, ["word"])
+    sinks.drain(spark, sinks.keyed_table_writer(counts, base, checkpoint, ["word"]))
+    counted = sinks.read_latest(spark, base)
     return counted.select(F.concat_ws("|", "word").alias("words"), "count")
 
 
@@ -59,8 +59,8 @@ def stream_line_count(spark, sf_dir):
 def stream_wordcount(spark, sf_dir):
     base, checkpoint = new_folder(spark, "words"), new_folder(spark, "checkpoint")
     counts = count_words(document_lines(spark, sf_dir))
-    sinks.drain(spark, sinks.keyed_table_writer(counts, base, checkpoint))
-    return sinks.read_latest(spark, base, ["word"])
+    sinks.drain(spark, sinks.keyed_table_writer(counts, base, checkpoint, ["word"]))
+    return sinks.read_latest(spark, base)
 
 
 @plan("""SELECT event_type, count(*) AS "count" FROM events GROUP BY event_type""")
@@ -139,16 +139,21 @@ def change_stream(spark, sf_dir) -> DataFrame:
     return cdc.parse_envelopes(table_stream(spark, path, files_per_batch=FILES_PER_BATCH), row)
 
 
+def latest_sales(spark, sf_dir) -> DataFrame:
+    """The change stream's last event of every sale, from the keyed table it is kept in."""
+    base, checkpoint = new_folder(spark, "state"), new_folder(spark, "checkpoint")
+    latest = cdc.latest_changes(change_stream(spark, sf_dir), ["sale_id"])
+    sinks.drain(spark, sinks.keyed_table_writer(latest, base, checkpoint, ["sale_id"]))
+    return sinks.read_latest(spark, base)
+
+
 @plan(
     f"""SELECT 'total_sales' AS key_name, CAST(sum(sale_amount) AS DOUBLE) AS total
     FROM ({FINAL_SALES_SQL})"""
 )
 def cdc_running_total(spark, sf_dir):
-    base, checkpoint = new_folder(spark, "totals"), new_folder(spark, "checkpoint")
-    total = cdc.running_total(change_stream(spark, sf_dir), "sale_amount", "total_sales")
-    sinks.drain(spark, sinks.keyed_table_writer(total, base, checkpoint))
-    latest = sinks.read_latest(spark, base, ["key_name"])
-    return latest.withColumn("total", F.col("total").cast("double"))
+    total = cdc.running_total(latest_sales(spark, sf_dir), "sale_amount", "total_sales")
+    return total.withColumn("total", F.col("total").cast("double"))
 
 
 @plan(
@@ -156,8 +161,5 @@ def cdc_running_total(spark, sf_dir):
     FROM ({FINAL_SALES_SQL})"""
 )
 def cdc_latest_state(spark, sf_dir):
-    base, checkpoint = new_folder(spark, "state"), new_folder(spark, "checkpoint")
-    latest = cdc.latest_changes(change_stream(spark, sf_dir), ["sale_id"])
-    sinks.drain(spark, sinks.keyed_table_writer(latest, base, checkpoint))
-    rows = cdc.current_rows(sinks.read_latest(spark, base, ["sale_id"]))
+    rows = cdc.current_rows(latest_sales(spark, sf_dir))
     return rows.withColumn("sale_amount", F.col("sale_amount").cast("double"))

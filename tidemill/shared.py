@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,7 +25,7 @@ def shared_root(spark: SparkSession) -> str:
             context.setCheckpointDir(root)
         return root.rstrip("/")
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
     return context.getCheckpointDir()
@@ -56,6 +57,29 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop) and fs.getFileStatus(hadoop).isDirectory()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file; it appears whole or not at all."""
+    fs, final = _hadoop_path(spark, path)
+    folder, _, name = path.rpartition("/")
+    _, draft = _hadoop_path(spark, f"{folder}/.{name}-{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(final, False)
+    if not fs.rename(draft, final):
+        raise OSError(f"could not write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """Text of a small file."""
+    fs, hadoop = _hadoop_path(spark, path)
+    stream = fs.open(hadoop)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match a glob pattern, found in one call."""
     fs, hadoop = _hadoop_path(spark, pattern)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +24,8 @@ CSV_RULES = {
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }
-DUMP_RULES = {**CSV_RULES, "sep": "\t", "nullValue": "\\N", "lineSep": "\n"}
+# A row that can't be read, or doesn't fit its schema, raises.
+STRICT = {"mode": "FAILFAST"}
 
 
 def read_csv(
@@ -35,9 +39,9 @@ def read_csv(
     multi_line: bool = False,
 ) -> DataFrame:
     """CSV with a header. Without a schema, types come from a ``sampling`` share
-    of the rows, which costs an extra pass. Fields with line breaks need
-    ``multi_line``, which gives every file to one task."""
-    reader = spark.read.options(**CSV_RULES).option("header", header).option("sep", separator)
+    of the rows, which costs an extra pass; a row that doesn't fit them raises.
+    Fields with line breaks need ``multi_line``, which gives every file to one task."""
+    reader = spark.read.options(**CSV_RULES, **STRICT).option("header", header).option("sep", separator)
     reader = reader.option("multiLine", multi_line)
     if schema is not None:
         return reader.schema(schema).csv(path)
@@ -51,21 +55,59 @@ def write_csv(
     writer.option("header", header).option("sep", separator).csv(path)
 
 
+#: What a dump writes for characters that would end a field or a line, backslashes first.
+ESCAPES = (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"))
+
+
+def _replaced(text: Column, old: str, new: str) -> Column:
+    return F.replace(text, F.lit(old), F.lit(new))
+
+
 def dump_text(df: DataFrame, path: str) -> None:
-    """Dump a table as tab-separated text files, null as ``\\N``."""
-    df.write.options(**DUMP_RULES).csv(path)
+    """Dump a table as tab-separated text, one line for each row, null as ``\\N``.
 
+    Backslashes, tabs and line breaks in fields are escaped, so that files can be split
+    between tasks at any line.
+    """
 
-def load_text(
-    spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True
-) -> DataFrame:
-    """Read what ``dump_text`` wrote, by default with line breaks in fields."""
-    reader = spark.read.schema(schema).options(**DUMP_RULES).option("emptyValue", "")
-    return reader.option("multiLine", multi_line).csv(path)
+    def field(name: str) -> Column:
+        text = F.col(f"`{name}`").cast("string")
+        for meant, written in ESCAPES:
+            text = _replaced(text, meant, written)
+        return F.coalesce(text, F.lit("\\N"))
+
+    df.select(F.concat_ws("\t", *map(field, df.columns)).alias("value")).write.text(path)
+
+
+def _undumped(text: Column) -> Column:
+    """The field that ``dump_text`` wrote as ``text``."""
+    # a written backslash becomes \p first, which is not written otherwise
+    text = _replaced(text, "\\\\", "\\p")
+    for meant, written in ESCAPES[1:]:
+        text = _replaced(text, written, meant)
+    return _replaced(text, "\\p", "\\")
+
+
+def load_text(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Read what ``dump_text`` wrote; a row of another width, or a bad value, raises."""
+    if isinstance(schema, str):
+        schema = spark.createDataFrame([], schema).schema
+    fields = F.split("value", "\t", -1)
+    width = len(schema.fields)
+    wrong = F.raise_error(F.concat(F.lit("row of another width: "), F.col("value")))
+    rows = spark.read.text(path, lineSep="\n").select(
+        F.when(F.size(fields) == width, fields).otherwise(wrong.cast("array<string>")).alias("f")
+    )
+    return rows.select(
+        *[
+            F.when(F.col("f")[i] != "\\N", _undumped(F.col("f")[i])).cast(f.dataType).alias(f.name)
+            for i, f in enumerate(schema.fields)
+        ]
+    )
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return spark.read.options(**STRICT).schema(schema).json(path)
 
 
 def read_table_path(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -97,33 +139,44 @@ def ingest_declared(
 ) -> DataFrame:
     """All matching CSV files under a folder, as the declared columns.
 
-    Columns are bound by header name. The first header gives the order, and a
-    file with another header is an error rather than misread. Declared columns
-    the files lack are null.
+    Each file's columns are bound by its own header; a line equal to its file's header
+    is one. Declared columns that a file lacks are null, others are left out, and a
+    row that doesn't fit raises. Only the different headers come to the driver.
     """
-
-    def reader():
-        return (
-            spark.read.options(**CSV_RULES)
-            .option("header", True)
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", pattern)
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    lines = reader.text(folder).select("value", F.col("_metadata.file_path").alias("file"))
+    first = (
+        reader.text(folder)
+        .where("_metadata.file_block_start = 0")
+        .select("value", F.col("_metadata.file_path").alias("file"))
+        .withColumn("_nth", F.monotonically_increasing_id())
+        .groupBy("file")
+        .agg(F.min_by("value", "_nth").alias("header"))
+    )
+    headers = sorted(row[0] for row in first.select("header").distinct().collect())
+    declared = table.to_struct().fields
+    headed = lines.join(first, on="file").where("value <> header")
+
+    def bound(header: str) -> DataFrame:
+        names = next(csv.reader([header]))
+        kinds = {f.name: f.dataType.simpleString() for f in declared}
+        schema = ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in names)
+        options = {k: str(v) for k, v in CSV_RULES.items()} | STRICT
+        rows = headed.where(F.col("header") == header).select(
+            F.from_csv("value", schema, options).alias("row")
+        )
+        return rows.select(
+            *[
+                (F.col(f"row.`{f.name}`") if f.name in names else F.lit(None))
+                .cast(f.dataType)
+                .alias(f.name, metadata=f.metadata)
+                for f in declared
+            ]
         )
 
-    names = reader().csv(folder).columns
-    declared = {f.name: f for f in table.to_struct().fields}
-    read_schema = T.StructType(
-        [T.StructField(n, declared[n].dataType if n in declared else T.StringType()) for n in names]
-    )
-    rows = reader().schema(read_schema).option("enforceSchema", False).csv(folder)
-    return rows.select(
-        *[
-            (F.col(f"`{f.name}`") if f.name in names else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name, metadata=f.metadata)
-            for f in declared.values()
-        ]
-    )
+    if not headers:
+        return spark.createDataFrame([], table.to_struct())
+    return functools.reduce(DataFrame.unionByName, map(bound, headers))
 
 
 def stream_folder_options(spark: SparkSession, path: str) -> tuple[str, dict[str, str]]:

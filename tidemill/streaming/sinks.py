@@ -1,11 +1,13 @@
 """Streaming outputs. Every query needs a checkpoint folder of its own.
 
-The table sinks write each micro-batch to a folder named after its number and
-overwrite that folder when the batch runs again, so a restart changes nothing.
+The table sinks write each micro-batch to a folder named after its number, and then
+a commit file. They overwrite the folder when the batch runs again, so a restart
+changes nothing, and readers look at committed batches only.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -14,10 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidemill.session import ROCKSDB_STATE
-from tidemill.shared import matching_paths, remove_folder
+from tidemill.shared import keep, matching_paths, read_text, remove_folder, write_text
 
-BATCH = "batch_id"
-DONE = "_SUCCESS"
+BATCH, BUCKET = "batch_id", "bucket_id"
+COMMITS = "_commits"
+#: Buckets of a keyed table.
+BUCKETS = 64
 HEAP_STATE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 
 
@@ -74,8 +78,11 @@ def batch_folder(base: str, batch_id: int) -> str:
 
 
 def write_batch(base: str) -> Callable[[DataFrame, int], None]:
+    """Write each micro-batch to its folder, then its commit."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(batch_folder(base, batch_id))
+        write_text(batch.sparkSession, f"{base}/{COMMITS}/{batch_id}", "")
 
     return write
 
@@ -104,13 +111,87 @@ def appended_table_writer(
 
 
 def keyed_table_writer(
-    aggregate: DataFrame, base: str, checkpoint: str, trigger: str = "1 second"
+    aggregate: DataFrame,
+    base: str,
+    checkpoint: str,
+    keys: Sequence[str],
+    trigger: str = "1 second",
+    buckets: int = BUCKETS,
 ) -> DataStreamWriter:
-    """Write the changed rows of an aggregate; read with ``read_latest``.
+    """Keep the current row of every key of an aggregate; read it with ``read_latest``."""
+    merge = merge_batch(base, keys, buckets)
+    return batch_writer(aggregate, checkpoint, merge, mode="update", trigger=trigger)
 
-    A batch costs what it changed, not the size of the whole result.
+
+def merge_batch(
+    base: str, keys: Sequence[str], buckets: int = BUCKETS, keep_last: int = 2
+) -> Callable[[DataFrame, int], None]:
+    """Rows of each batch replace the rows of their keys in the table at ``base``.
+
+    Keys are dealt to a fixed number of buckets. A batch writes the buckets it touches
+    to a folder of its own and then a manifest that says where each bucket now lies; a
+    reader sees either manifest. A batch that has its manifest is passed over, and one
+    that was cut short is written again. Folders that no manifest of the last
+    ``keep_last`` names are removed, so the table is as large as its rows.
     """
-    return batch_writer(aggregate, checkpoint, write_batch(base), mode="update", trigger=trigger)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        done = committed(spark, base)
+        if batch_id in done:
+            return
+        places = _manifest(spark, base, done[-1]) if done else {}
+        number = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        changed = keep(batch.withColumn(BUCKET, number))
+        touched = [r[0] for r in changed.select(BUCKET).distinct().collect()]
+        rows = changed.withColumn("_new", F.lit(True))
+        old = sorted({places[b] for b in map(str, touched) if b in places})
+        if old:
+            kept = spark.read.option("basePath", f"{base}/data")
+            before = kept.parquet(*[f"{base}/{folder}" for folder in old]).drop(BATCH)
+            rows = rows.unionByName(before.withColumn("_new", F.lit(False)))
+        folder = f"data/{BATCH}={batch_id}"
+        if touched:
+            rest = [c for c in batch.columns if c not in keys]
+            merged = rows.groupBy(*keys, BUCKET).agg(
+                F.max_by(F.struct(F.lit(1).alias("_"), *rest), "_new").alias("_row")
+            )
+            merged = merged.select(*[k for k in keys], *[f"_row.{c}" for c in rest], BUCKET)
+            (
+                merged.repartition(buckets, BUCKET)
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "static")
+                .partitionBy(BUCKET)
+                .parquet(f"{base}/{folder}")
+            )
+        # a touched bucket is never empty: it has the batch's own rows
+        places = places | {str(b): f"{folder}/{BUCKET}={b}" for b in touched}
+        write_text(spark, f"{base}/{COMMITS}/{batch_id}", json.dumps(places))
+        _remove_unused(spark, base, keep_last)
+
+    return merge
+
+
+def _manifest(spark: SparkSession, base: str, batch_id: int) -> dict[str, str]:
+    return json.loads(read_text(spark, f"{base}/{COMMITS}/{batch_id}") or "{}")
+
+
+def _remove_unused(spark: SparkSession, base: str, keep_last: int) -> None:
+    done = committed(spark, base)
+    used = {
+        place for n in done[-keep_last:] for place in _manifest(spark, base, n).values()
+    }
+    for n in done[:-keep_last]:
+        remove_folder(spark, f"{base}/{COMMITS}/{n}")
+    folders = {place.rsplit("/", 1)[0] for place in used}
+    for path in matching_paths(spark, f"{base}/data/{BATCH}=*"):
+        batch = path.rsplit("/", 1)[1]
+        if f"data/{batch}" not in folders and int(batch.split("=")[1]) <= done[-1]:
+            remove_folder(spark, path)
+    for path in matching_paths(spark, f"{base}/data/{BATCH}=*/{BUCKET}=*"):
+        batch, bucket = path.rsplit("/", 2)[1:]
+        if f"data/{batch}/{bucket}" not in used and int(batch.split("=")[1]) <= done[-1]:
+            remove_folder(spark, path)
 
 
 def snapshot_writer(
@@ -132,14 +213,31 @@ def snapshot_writer(
         spark = batch.sparkSession
         for old in finished_batches(spark, base)[:-keep_last]:
             remove_folder(spark, batch_folder(base, old))
+            remove_folder(spark, f"{base}/{COMMITS}/{old}")
 
     return batch_writer(aggregate, checkpoint, each_batch, mode="complete", trigger=trigger)
 
 
+def committed(spark: SparkSession, base: str) -> list[int]:
+    """Numbers of the batches whose commit is written, ascending."""
+    return sorted(int(p.rsplit("/", 1)[1]) for p in matching_paths(spark, f"{base}/{COMMITS}/[0-9]*"))
+
+
 def finished_batches(spark: SparkSession, base: str) -> list[int]:
-    """Numbers of the batches written completely, ascending."""
-    done = matching_paths(spark, f"{base}/{BATCH}=*/{DONE}")
-    return sorted(int(path.rsplit("/", 2)[1].split("=", 1)[1]) for path in done)
+    """Numbers of the batch folders written completely, ascending.
+
+    Commits are files of their own, so they don't depend on markers that a file system
+    or a setting may leave out. A folder without a commit is an error unless it is the
+    last one, which may be being written.
+    """
+    done = committed(spark, base)
+    there = {
+        int(path.rsplit("=", 1)[1]) for path in matching_paths(spark, f"{base}/{BATCH}=*")
+    }
+    lost = [n for n in there - set(done) if done and n < done[-1]]
+    if lost:
+        raise RuntimeError(f"batches {sorted(lost)} in {base} were not committed")
+    return done
 
 
 def read_appended(spark: SparkSession, base: str) -> DataFrame:
@@ -153,15 +251,14 @@ def read_snapshot(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(batch_folder(base, batches[-1]))
 
 
-def read_latest(spark: SparkSession, base: str, keys: Sequence[str]) -> DataFrame:
-    """The last written row of every key."""
-    written = _read_batches(spark, base)
-    rest = [c for c in written.columns if c not in (*keys, BATCH)]
-    return (
-        written.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), BATCH).alias("_row"))
-        .select(*keys, "_row.*")
-    )
+def read_latest(spark: SparkSession, base: str) -> DataFrame:
+    """The current row of every key of a keyed table: one folder per bucket is read."""
+    done = committed(spark, base)
+    places = _manifest(spark, base, done[-1]) if done else {}
+    if not places:
+        raise FileNotFoundError(f"no finished batch in {base}")
+    folders = [f"{base}/{place}" for place in sorted(places.values())]
+    return spark.read.option("basePath", f"{base}/data").parquet(*folders).drop(BATCH, BUCKET)
 
 
 def _read_batches(spark: SparkSession, base: str) -> DataFrame:
@@ -172,16 +269,6 @@ def _read_batches(spark: SparkSession, base: str) -> DataFrame:
     return rows.parquet(*[batch_folder(base, n) for n in batches])
 
 
-def compact(spark: SparkSession, base: str, keys: Sequence[str], target: str) -> None:
-    """Write the last row of every key to ``target``, as its batch 0 or later.
-
-    The result takes the number of the last batch read, so later batches of the
-    same query may be written beside it.
-    """
-    last = finished_batches(spark, base)[-1]
-    read_latest(spark, base, keys).write.mode("overwrite").parquet(batch_folder(target, last))
-
-
 @contextmanager
 def rocksdb_state(spark: SparkSession) -> Iterator[None]:
     """Start queries with their state on RocksDB instead of the executor heap.
@@ -198,11 +285,15 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(setting, before)
 
 
-def drain(spark: SparkSession, writer: DataStreamWriter, timeout: int = 3600) -> StreamingQuery:
-    """Process everything that is there, then stop."""
+def drain(
+    spark: SparkSession, writer: DataStreamWriter, timeout: float | None = None
+) -> StreamingQuery:
+    """Process everything that is there, then stop; by default without a time limit."""
     with rocksdb_state(spark):
         query = writer.trigger(availableNow=True).start()
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream did not finish within {timeout} seconds")
     return query
