@@ -1,5 +1,6 @@
 """Quality rules, line dedup, licences, URL verdicts and shards against brute force."""
 
+import hashlib
 import math
 import random
 import re
@@ -29,9 +30,14 @@ def labels(spark):
     rows = [(7, 1, 0, "x"), (10, 1, 0, "x"), (11, 1, None, "x"), (13, 1, 0, "x"), (15, 0, 0, "x"),
             (16, 1, 0, "x"), (16, 0, 0, "x"), (None, 1, 0, "x"), (12, 1, 1, "x"), (19, None, 0, "x"),
             (7, 1, 0, "x")]
+    assert {held_out(i) for i in (7, 10, 11, 13)} == {True, False}
     return spark.createDataFrame(rows, LABELS), {7, 10, 11, 13}
 
 
+def held_out(doc_id):
+    return hashlib.md5(str(doc_id).encode()).hexdigest()[-1] in quality.HELD_OUT
+
+
 def llr_truth(rows, trusted):
     def features(text):
         codes = [zlib.crc32(w.encode()) % quality.BUCKETS for w in WORD.findall(text or "")]
@@ -40,7 +46,7 @@ def llr_truth(rows, trusted):
     corpus, target = Counter(), Counter()
     for i, t in rows:
         corpus.update(features(t))
-        if i in trusted:
+        if i in trusted and not held_out(i):
             target.update(features(t))
     c, t = corpus.total() + quality.BUCKETS, target.total() + quality.BUCKETS
 
@@ -51,7 +57,7 @@ def llr_truth(rows, trusted):
     scores = [sum(map(weight, features(text))) for _, text in rows]
     rates = sorted(
         s // len(features(x)) for (i, x), s in zip(rows, scores)
-        if i in trusted and len(WORD.findall(x)) >= quality.LEAST_WORDS
+        if i in trusted and held_out(i) and len(WORD.findall(x)) >= quality.LEAST_WORDS
     )
     place = quality.LOW_SHARE * (len(rates) - 1)
     low = rates[int(place)] + (place % 1) * (rates[min(int(place) + 1, len(rates) - 1)] - rates[int(place)])

@@ -287,12 +287,14 @@ def op7_byte_bpe(spark, sf_dir):
       SELECT a.doc_id, (a.code * 31 + b.code) & {quality.BUCKETS - 1}
       FROM items a JOIN items b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
     trusted AS (
-      SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+      SELECT doc_id, md5(doc_id::VARCHAR)[32] IN ('0', '4', '8', 'c') AS held_out
+      FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
       HAVING min(quality) = 1 AND coalesce(max(toxic), 0) = 0
       ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {quality.TRUSTED_ROWS}),
     counts AS (
       SELECT bucket, count(*) AS corpus, count(t.doc_id) AS target
-      FROM features f LEFT JOIN trusted t ON t.doc_id = f.doc_id GROUP BY bucket),
+      FROM features f LEFT JOIN trusted t ON t.doc_id = f.doc_id AND NOT held_out
+      GROUP BY bucket),
     totals AS (SELECT sum(corpus)::DOUBLE AS c, sum(target)::DOUBLE AS t FROM counts),
     weights AS (
       SELECT bucket, round((ln((target + 1) / (t + {quality.BUCKETS}))
@@ -325,7 +327,7 @@ def op7_byte_bpe(spark, sf_dir):
     least AS (
       SELECT floor(quantile_cont(floor(llr / n_features::DOUBLE), {quality.LOW_SHARE}))
              - {int(quality.UNITS * quality.MARGIN)} AS low
-      FROM base JOIN trusted USING (doc_id) WHERE n_words >= {quality.LEAST_WORDS})
+      FROM base JOIN trusted USING (doc_id) WHERE held_out AND n_words >= {quality.LEAST_WORDS})
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, n_features,
            n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
            NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
