@@ -27,7 +27,7 @@ HISTORY_COLUMNS = ("id", "rowIsCurrent", "rowEndDate")
 STAGE_MODE = "stage"
 SCD1_MODE = "scd-type1"
 
-CHANGE, INSERTED, UPDATED = "change", "inserted", "updated"
+CHANGE, CHANGED, INSERTED, UPDATED = "change", "changed", "inserted", "updated"
 
 
 def with_load_time(df: DataFrame, now: Column | None = None) -> DataFrame:
@@ -41,38 +41,45 @@ def compared_columns(columns: Sequence[str], special: Sequence[str]) -> list[str
     return [c for c in columns if c not in special]
 
 
-def _staged_rows(joined: DataFrame, condition: Column, key: str, compared: Sequence[str]):
-    return joined.filter(condition).select(key, *[F.col(f"{c}{NEW}").alias(c) for c in compared])
+def classified(
+    joined: DataFrame,
+    key: str,
+    compared: Sequence[str],
+    *,
+    null_safe: bool = False,
+    known: str | None = None,
+) -> DataFrame:
+    """What each staged row of a join is to the dimension, decided once per row.
 
+    ``joined`` has the dimension's columns and, with the suffix ``_new``, the staged
+    ones. The result has the key, the staged values, ``changed``, the names of the
+    columns whose value is another one, and ``change``: inserted, updated or null. A
+    change to null counts with ``null_safe`` only. A row is inserted if the dimension's
+    column ``known`` is null, or without ``known`` if all compared ones are.
+    """
 
-def _is_updated(compared: Sequence[str], null_safe: bool) -> Column:
-    if null_safe:
-        return fold_any([~F.col(c).eqNullSafe(F.col(f"{c}{NEW}")) for c in compared])
-    return fold_any(
-        [
-            (F.col(c).isNull() & F.col(f"{c}{NEW}").isNotNull()) | (F.col(c) != F.col(f"{c}{NEW}"))
-            for c in compared
-        ]
+    def differs(c: str) -> Column:
+        old, new = F.col(c), F.col(f"{c}{NEW}")
+        # a null on either side leaves the comparison open: then a value that is staged is news
+        return ~old.eqNullSafe(new) if null_safe else F.coalesce(old != new, new.isNotNull())
+
+    names = F.array(*[F.when(differs(c), F.lit(c)) for c in compared]).cast("array<string>")
+    there = [known] if known is not None else list(compared)
+    held = F.array_max(F.array(*[F.col(c).isNotNull() for c in there]))
+    marked = joined.withColumns({CHANGED: F.array_compact(names), "_held": held})
+    kind = F.when(~F.col("_held"), INSERTED).when(F.size(CHANGED) > 0, UPDATED)
+    return marked.select(
+        key, *[F.col(f"{c}{NEW}").alias(c) for c in compared], CHANGED, kind.alias(CHANGE)
     )
 
 
-def _is_new(compared: Sequence[str], known: str | None) -> Column:
-    if known is not None:
-        return F.col(known).isNull()
-    return fold_all([F.col(c).isNull() for c in compared])
-
-
 def scd1_updated_rows(
     joined: DataFrame, columns: Sequence[str], special: Sequence[str], null_safe: bool = False
 ) -> DataFrame:
-    """Staged rows where some compared column differs from the old value.
-
-    ``joined`` is the dimension right-joined to the stage, staged columns with
-    the suffix ``_new``. A change to null is not a difference unless
-    ``null_safe``.
-    """
+    """Staged rows where some compared column differs from the old value, new rows among them."""
     compared = compared_columns(columns, special)
-    return _staged_rows(joined, _is_updated(compared, null_safe), special[0], compared)
+    rows = classified(joined, special[0], compared, null_safe=null_safe)
+    return rows.filter(F.size(CHANGED) > 0).drop(CHANGE, CHANGED)
 
 
 def scd1_new_rows(
@@ -81,13 +88,13 @@ def scd1_new_rows(
     special: Sequence[str],
     known: str | None = None,
 ) -> DataFrame:
-    """Staged rows where every compared old column is null.
+    """Staged rows that the dimension lacks.
 
-    With ``known``, a column that is null only for rows without a match, a
-    matched row whose attributes are all null is not taken for a new one.
+    With ``known``, a column that is null only for rows without a match, a matched row
+    whose attributes are all null is not taken for a new one.
     """
-    compared = compared_columns(columns, special)
-    return _staged_rows(joined, _is_new(compared, known), special[0], compared)
+    rows = classified(joined, special[0], compared_columns(columns, special), known=known)
+    return rows.filter(F.col(CHANGE) == INSERTED).drop(CHANGE, CHANGED)
 
 
 def scd1_changes(
@@ -101,10 +108,10 @@ def scd1_changes(
 ) -> DataFrame:
     """Staged rows to load, with a column ``change``: inserted or updated.
 
-    ``special[0]`` is the key of the dimension, where it is unique; no column of
-    ``special`` is compared, and all other columns have to be staged. A
-    dimension with at most ``placeholder_rows`` rows is taken as empty, so that
-    every staged row is an insert. One join decides on both kinds of change.
+    ``special[0]`` is the key of the dimension; rows of it that repeat a key and differ
+    raise. No column of ``special`` is compared, and all other columns have to be
+    staged. On request a dimension with at most ``placeholder_rows`` rows is taken as
+    empty, so that every staged row is an insert. One join decides on both kinds.
     """
     key = special[0]
     compared = compared_columns(dim.columns, special)
@@ -112,16 +119,14 @@ def scd1_changes(
     if absent:
         raise ValueError(f"stage lacks the dimension columns {absent}")
     staged = stage.select(key, *compared)
-    if dim.limit(placeholder_rows + 1).count() <= placeholder_rows:
+    if placeholder_rows and dim.limit(placeholder_rows + 1).count() <= placeholder_rows:
         return staged.select(F.lit(INSERTED).alias(CHANGE), "*")
-    old = dim.select(key, *compared)
-    if by_key:
-        old = old.withColumn("_known", F.lit(True))
+    old = one_per_key(dim.select(key, *compared), [key]).withColumn("_known", F.lit(True))
     joined = join_right_suffix(old, staged, [key], NEW, hot=hot_keys(staged, [key]))
-    is_new = _is_new(compared, "_known" if by_key else None)
-    change = F.when(is_new, INSERTED).when(_is_updated(compared, null_safe), UPDATED)
-    marked = joined.withColumn(CHANGE, change).filter(F.col(CHANGE).isNotNull())
-    return marked.select(CHANGE, key, *[F.col(f"{c}{NEW}").alias(c) for c in compared])
+    rows = classified(
+        joined, key, compared, null_safe=null_safe, known="_known" if by_key else None
+    )
+    return rows.filter(F.col(CHANGE).isNotNull()).select(CHANGE, key, *compared)
 
 
 def scd1_find(
@@ -229,9 +234,9 @@ def one_per_key(
     """At most one row per key, of the rows whose key is not null.
 
     With ``latest_by`` the row with its highest (``first``: lowest) value stays.
-    Without it a repeated key raises an error when the rows are read. Runs as a
-    partial aggregate, so repeated rows of a hot key are merged before the
-    shuffle.
+    Without it equal copies are one row, and rows of a key that differ raise an error
+    when they are read. Runs as a partial aggregate, so repeated rows of a hot key are
+    merged before the shuffle.
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
@@ -240,9 +245,10 @@ def one_per_key(
     if latest_by is None:
         key_text = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
         repeated = F.raise_error(F.concat(F.lit("repeated key: "), key_text)).cast("boolean")
-        merged = grouped.agg(F.first(row).alias("_row"), F.count(F.lit(1)).alias("_n")).filter(
-            F.when(F.col("_n") > 1, repeated).otherwise(True)
-        )
+        content = F.xxhash64(*rest) if rest else F.lit(0)
+        merged = grouped.agg(
+            F.first(row).alias("_row"), F.min(content).alias("_low"), F.max(content).alias("_high")
+        ).filter(F.when(F.col("_low") != F.col("_high"), repeated).otherwise(True))
     else:
         pick = F.min_by if first else F.max_by
         merged = grouped.agg(pick(row, F.col(latest_by)).alias("_row"))
@@ -254,7 +260,7 @@ def upsert(
 ) -> DataFrame:
     """Source rows replace target rows with the same key; other rows stay.
 
-    Null keys conflict with nothing. A key twice in the source is an error
+    Null keys conflict with nothing. Different rows of a key in the source are an error
     unless ``latest_by`` says which row is the last. A small source is broadcast
     to the target, which then is not shuffled.
     """
