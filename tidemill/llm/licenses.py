@@ -78,7 +78,8 @@ def template_sizes(spark: SparkSession, templates, least_dice: int) -> DataFrame
 
 def passages(docs: DataFrame) -> DataFrame:
     """doc_id, kind, words and number of pairs of the lines, blocks and whole texts of ``docs``."""
-    blank = "\\\\n(?:[ \\\\t\\\\r\\\\f\\\\x0B]*\\\\n)+"
+    # one class of characters, which takes no stack however many blank lines there are
+    blank = "\\\\n[ \\\\t\\\\r\\\\f\\\\x0B\\\\n]*\\\\n"
     lined = docs.where("text <> ''").withColumn(
         "lines", F.expr(f"transform(split(text, '\\n'), l -> {words_of('l')})")
     )

@@ -38,17 +38,22 @@ APART = 6.635
 PRIOR, LEAST_GOOD = 8.0, 0.5
 
 
+def _after_scheme(url: str) -> Column:
+    """What follows the first ``://``; empty if there is none."""
+    text = F.coalesce(F.col(url), F.lit(""))
+    spot = F.instr(text, "://")
+    return F.when(spot > 0, F.substring(text, spot + 3, F.length(text))).otherwise("")
+
+
 def host_of(url: str = "url") -> Column:
     """The host, A-Z in lower case: after the first ``://``; empty if there is none."""
-    host = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?s)(?:(?!://).)*://([^/?#]*)", 1)
+    host = F.regexp_extract(_after_scheme(url), r"^[^/?#]*", 0)
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: str = "url") -> Column:
     """The path, from the host's end up to ``?`` or ``#``."""
-    return F.regexp_extract(
-        F.coalesce(F.col(url), F.lit("")), r"^(?s)(?:(?!://).)*://[^/?#]*([^?#]*)", 1
-    )
+    return F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
 def rule_of(rules=RULES) -> Column:
