@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators import quality
+from tidemill.operators import aggregates, quality
 from tidemill.plans.registry import TABLES, plan, table, table_path
 from tidemill.schema import parse_declared
 from tidemill.shared import new_folder
@@ -54,6 +54,73 @@ def csv_with_header(spark, sf_dir):
     return read.withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
 
 
+@plan("SELECT * FROM supplier")
+def csv_full_inference(spark, sf_dir):
+    """Types found from all rows of the files."""
+    path = new_folder(spark, "supplier-csv")
+    files.write_csv(table(spark, sf_dir, "supplier"), path)
+    read = files.read_csv(spark, path)
+    return read.withColumn("s_suppkey", F.col("s_suppkey").cast("bigint"))
+
+
+@plan(
+    """SELECT word, count(*) AS "count"
+    FROM (SELECT unnest(string_split(value, ' ')) AS word
+        FROM (SELECT unnest(string_split(text, chr(10))) AS value FROM documents))
+    GROUP BY word ORDER BY word DESC"""
+)
+def text_wordcount(spark, sf_dir):
+    """The lines of all documents as text files, read as one column and counted."""
+    path = new_folder(spark, "lines")
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")))
+    lines.write.text(path)
+    return aggregates.word_count(files.read_lines(spark, path))
+
+
+@plan(
+    """SELECT c_nationkey, sum(strlen(c_name) + 1)::BIGINT AS n_bytes,
+        sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS checksum
+    FROM customer GROUP BY c_nationkey"""
+)
+def object_checksums(spark, sf_dir):
+    """Names of customers in a file for each nation, the files read as objects."""
+    path = new_folder(spark, "names")
+    ordered = table(spark, sf_dir, "customer").repartition("c_nationkey")
+    ordered = ordered.sortWithinPartitions("c_nationkey", "c_custkey")
+    ordered.select("c_name", "c_nationkey").write.partitionBy("c_nationkey").text(path)
+    found = files.load_objects(spark, path, "*.txt", recursive=True)
+    return found.select(
+        F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("bigint").alias("c_nationkey"),
+        F.octet_length("content").cast("bigint").alias("n_bytes"),
+        F.sha2("content", 256).alias("checksum"),
+    )
+
+
+@plan(
+    """SELECT col_name, data_type, (SELECT count(*) FROM customer) AS n_rows, true AS here, true AS listed
+    FROM (VALUES ('c_custkey', 'bigint'), ('c_name', 'string'), ('c_nationkey', 'int'),
+        ('c_mktsegment', 'string'), ('c_acctbal', 'double')) v(col_name, data_type)"""
+)
+def table_described(spark, sf_dir):
+    """A saved table as the current database and the description of the table see it."""
+    database = new_database(spark, "described")
+    before = catalog.current_database(spark).first()[0]
+    customer = table(spark, sf_dir, "customer")
+    catalog.use_database(spark, database)
+    try:
+        catalog.save_table(customer, "customer")
+        here = catalog.current_database(spark).first()[0] == database
+        listed = catalog.show_databases(spark).where(F.col("namespace") == database).count() == 1
+        described = catalog.describe_table(spark, "customer").select("col_name", "data_type")
+        n_rows = spark.table("customer").count()
+    finally:
+        catalog.use_database(spark, before)
+    return described.where(F.col("col_name").isin(customer.columns)).select(
+        "col_name", "data_type", F.lit(n_rows).alias("n_rows"),
+        F.lit(here).alias("here"), F.lit(listed).alias("listed"),
+    )
+
+
 @plan(
     """SELECT 'path' AS place, * FROM customer UNION ALL SELECT 'table' AS place, * FROM customer"""
 )
@@ -93,7 +160,7 @@ def partitioned_append(spark, sf_dir):
     finished = F.col("o_orderstatus") == "F"
     for part in (orders.where(finished), orders.where(~finished)):
         catalog.append_partitioned(part, location, ["order_year"])
-    catalog.refresh_partitions(spark, name)
+        catalog.add_partitions(part, name, ["order_year"])
     return spark.table(name)
 
 

@@ -101,8 +101,25 @@ def append_partitioned(
     balanced_writer(df, partition_by).format(fmt).mode("append").save(path)
 
 
+def add_partitions(df: DataFrame, table: str, partition_by: Sequence[str]) -> None:
+    """Make the partitions that ``df`` was written to known to the catalog.
+
+    Costs the partitions of ``df``, however many the table has.
+    """
+
+    def spec(row) -> str:
+        values = ("NULL" if v is None else "'" + str(v).replace("'", "\\'") + "'" for v in row)
+        pairs = ", ".join(f"`{c}` = {v}" for c, v in zip(partition_by, values, strict=True))
+        return f"PARTITION ({pairs})"
+
+    written = df.select(*partition_by).distinct().collect()
+    if written:
+        specs = " ".join(map(spec, written))
+        df.sparkSession.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {specs}")
+
+
 def refresh_partitions(spark: SparkSession, table: str) -> None:
-    """Make partitions written to the table's path known to the catalog."""
+    """Look for all partitions under the table's path; ``add_partitions`` is cheaper."""
     spark.sql(f"MSCK REPAIR TABLE {table}")
 
 
