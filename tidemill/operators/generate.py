@@ -61,7 +61,9 @@ def closest_vocabulary(column: str) -> str | None:
 
 
 def _hash(row_id: Column, column: str, seed: int, part: int = 0) -> Column:
-    return F.xxhash64(row_id, F.lit(column), F.lit(seed), F.lit(part))
+    """60 bits of the MD5 of row, column, seed and part, joined by bars."""
+    name = F.concat_ws("|", row_id.cast("string"), F.lit(f"{column}|{seed}|{part}"))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def _choice(words: tuple[str, ...], hashed: Column) -> Column:

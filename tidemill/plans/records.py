@@ -189,14 +189,67 @@ def generated(spark, sf_dir):
     return generate.generate_for(orders, generated_table(), now=F.lit(NOW).cast("timestamp"))
 
 
-@plan()
+def _hashed(column: str, part: int = 0) -> str:
+    return f"('0x' || substr(md5(o_orderkey || '|{column}|0|{part}'), 1, 15))::BIGINT"
+
+
+def _chosen(words, column: str, part: int = 0) -> str:
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"([{listed}])[{_hashed(column, part)} % {len(words)} + 1]"
+
+
+def _phrase(column: str, start: int) -> str:
+    kinds = (generate.VERBS, generate.QUALITIES, generate.NOUNS)
+    return " || ' ' || ".join(_chosen(w, column, start + i) for i, w in enumerate(kinds))
+
+
+def _sentences(column: str) -> str:
+    def capital(part: str) -> str:
+        return f"upper({part}[1]) || substr({part}, 2)"
+
+    kinds = (generate.VERBS, generate.QUALITIES, generate.NOUNS)
+    words = [
+        [capital(_chosen(w, column, 3 * n + i)) for i, w in enumerate(kinds)] for n in range(3)
+    ]
+    return " || '. ' || ".join(" || ' ' || ".join(three) for three in words) + " || '.'"
+
+
+def _digits_sql(column: str, part: int, count: int) -> str:
+    return f"lpad(({_hashed(column, part)} % {10**count})::VARCHAR, {count}, '0')"
+
+
+_CODE = " || ".join(
+    f"substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    f"({_hashed('serial')} % {generate.CODES} // {36**i} % 36)::INTEGER + 1, 1)"
+    for i in reversed(range(generate.CODE_LENGTH))
+)
+_UNIT = f"({_hashed('score')} % {generate.FRACTIONS})::DOUBLE / {float(generate.FRACTIONS)}::DOUBLE"
+_SPREAD = generate.DOUBLE_HIGH - generate.DOUBLE_LOW
+GENERATED_SQL = f"""SELECT ({_hashed("reading")} % {generate.DEFAULT_ROWS + 1})::INTEGER AS reading,
+        {_CODE} AS serial,
+        {_chosen(generate.VOCABULARIES["device_types"], "device_type")} AS device_type,
+        {_chosen(generate.VOCABULARIES["browser_versions"], "browser_version")} AS browser_version,
+        {_phrase("company", 0)} AS company,
+        {_digits_sql("phone", 0, 3)} || '-' || {_digits_sql("phone", 1, 3)} || '-'
+            || {_digits_sql("phone", 2, 4)} AS phone,
+        {_sentences("description")} AS description,
+        DATE '2024-06-01' AS day, '12:00:00.000000' AS clock, 'unknown' AS payload,
+        {generate.DOUBLE_LOW}::DOUBLE + {_UNIT} * {_SPREAD!r}::DOUBLE AS score,
+        1717243200000 AS ts
+    FROM orders"""
+
+
+@plan(GENERATED_SQL)
 def generate_table(spark, sf_dir):
     return generated(spark, sf_dir)
 
 
-@plan()
+@plan(f"SELECT serial AS key, * FROM ({GENERATED_SQL})")
 def generate_records(spark, sf_dir):
-    return generate.as_records(generated(spark, sf_dir), generated_table())
+    """Generated rows as keyed records, and the records read again."""
+    rows = generated(spark, sf_dir)
+    topic = generate.as_records(rows, generated_table())
+    return records.from_topic_rows(topic, rows.schema, "key")
 
 
 PROFILE_SQL = """SELECT count(*) AS n_rows, true AS readings_in_range, true AS scores_in_range,
