@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import sys
 import tempfile
 import uuid
 
@@ -31,9 +33,31 @@ def shared_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Folders given out by ``new_folder``, and what removes them after the session has ended.
+_scratch: dict[str, tuple] = {}
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that nothing uses yet."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder that nothing uses yet.
+
+    It is scratch: ``remove_scratch`` removes it, at the latest when the program ends.
+    """
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    _scratch[path] = (context._jvm, context._jsc.hadoopConfiguration())
+    return path
+
+
+@atexit.register
+def remove_scratch() -> None:
+    """Remove all folders of ``new_folder``; results read from them must have been used."""
+    while _scratch:
+        path, (jvm, settings) = _scratch.popitem()
+        try:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(settings).delete(folder, True)
+        except Exception as failed:  # the JVM may be gone by now
+            print(f"scratch folder {path} is left: {failed}", file=sys.stderr)
 
 
 def keep(df: DataFrame) -> DataFrame:
