@@ -31,9 +31,10 @@ PER_DOUBLING, CHUNK = 8, 1 << 16
 NO_ID = 9223372036854775807
 
 LINES = (
-    "doc_id long, line int, n int, set_a long, set_b long, alone int, prefix array<long>"
+    "doc_id long, line int, n int, set_a long, set_b long, alone int, bits long, prefix array<int>"
 )
-TOKENS = "doc_id long, line int, tokens array<long>"
+LINE_NAMES = [field.split()[0] for field in LINES.split(", ")]
+TOKENS = "doc_id long, line int, set_a long, tokens array<long>"
 
 
 def line_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +111,7 @@ def prefix_length(n: np.ndarray, similar: int) -> np.ndarray:
 
 def _listed(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
 def _signed(codes, similar: int, least_words: int):
@@ -127,6 +128,10 @@ def _signed(codes, similar: int, least_words: int):
                 set_a = sums[ends] - sums[ends - counts]
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(sets + np.uint64(1)))])
                 set_b = sums[ends] - sums[ends - counts]
+                bits = np.zeros(n_lines, np.uint64)
+                if len(sets):
+                    flips = np.uint64(1) << (sets >> np.uint64(58))
+                    bits[counts > 0] = np.bitwise_xor.reduceat(flips, (ends - counts)[counts > 0])
                 rank = table[(sets & np.uint64(COUNTS - 1)).astype(np.int64)]
                 order = np.argsort(rank, kind="stable")
                 order = order[np.argsort(of[order], kind="stable")]
@@ -147,9 +152,11 @@ def _signed(codes, similar: int, least_words: int):
                         pa.array(set_a[own].view(np.int64)),
                         pa.array(set_b[own].view(np.int64)),
                         pa.array(alone[own].astype(np.int32)),
-                        _listed(sets[taken], kept),
+                        pa.array(bits[own].view(np.int64)),
+                        # half of a hash will do to find candidates
+                        _listed((sets[taken] >> np.uint64(32)).astype(np.uint32).view(np.int32), kept),
                     ],
-                    names=["doc_id", "line", "n", "set_a", "set_b", "alone", "prefix"],
+                    names=LINE_NAMES,
                 )
                 # and a row for each document: line -1, n its number of lines
                 none = np.zeros(len(lines), np.int64)
@@ -160,9 +167,10 @@ def _signed(codes, similar: int, least_words: int):
                         pa.array(lines.astype(np.int32)),
                         *[pa.array(none)] * 2,
                         pa.array(none.astype(np.int32)),
-                        _listed(np.zeros(0, np.uint64), none),
+                        pa.array(none),
+                        _listed(np.zeros(0, np.int32), none),
                     ],
-                    names=["doc_id", "line", "n", "set_a", "set_b", "alone", "prefix"],
+                    names=LINE_NAMES,
                 )
 
     return sign
@@ -182,31 +190,81 @@ def _chosen_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.zeros(n_lines, bool)
             keep[picked] = True
             sets, counts = line_sets(hashes[keep[of]], of[keep[of]], n_lines)
+            ends = np.cumsum(counts)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(sets))])
+            set_a = sums[ends] - sums[ends - counts]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[start + row]),
                     pa.array((picked - first[row]).astype(np.int32)),
-                    _listed(sets, counts[picked]),
+                    pa.array(set_a[picked].view(np.int64)),
+                    _listed(sets.view(np.int64), counts[picked]),
                 ],
-                names=["doc_id", "line", "tokens"],
+                names=["doc_id", "line", "set_a", "tokens"],
             )
 
 
 def _candidates(classes: DataFrame, similar: int) -> DataFrame:
-    """Pairs of classes, the earlier first, that the filters let pass."""
+    """Pairs of classes (earlier, later), by their numbers, that the filters let pass.
+
+    Besides size and place there is a bound by bitmaps: each word that only one of two
+    sets has flips one bit of 64, so sets differ in at least as many words as bits.
+    """
     heads = classes.where("size(prefix) > 0").select(
-        F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "n",
-        "alone", F.posexplode("prefix").alias("nth", "token"),
-    ).select("doc_id", "line", "n", "token", F.expr("n - alone - nth").alias("left"))
+        "id", "n", "alone", "bits", F.posexplode("prefix").alias("nth", "token")
+    ).select(
+        "id", "token", "bits",
+        # size, and words from this one on, in one number
+        F.expr("shiftleft(cast(n as bigint), 32) | (n - alone - nth)").alias("sized"),
+    )
     a = heads.select(*[F.col(c).alias(f"{c}_a") for c in heads.columns])
     b = heads.select(*[F.col(c).alias(f"{c}_b") for c in heads.columns])
-    need = f"ceil({similar} * (n_a + n_b) / {100 + similar}.0)"
+    n_a, n_b = "shiftright(sized_a, 32)", "shiftright(sized_b, 32)"
+    left = "least(sized_a & 4294967295L, sized_b & 4294967295L)"
+    need = f"cast(ceil({similar} * ({n_a} + {n_b}) / {100 + similar}.0) as bigint)"
     on = (
-        "token_a = token_b and (doc_id_a < doc_id_b or (doc_id_a = doc_id_b and line_a < line_b))"
-        f" and least(n_a, n_b) * 100 >= {similar} * greatest(n_a, n_b)"
-        f" and least(left_a, left_b) >= {need}"
+        "token_a = token_b and id_a < id_b"
+        f" and least({n_a}, {n_b}) * 100 >= {similar} * greatest({n_a}, {n_b})"
+        f" and {left} >= {need} and bit_count(bits_a ^ bits_b) <= {n_a} + {n_b} - 2 * {need}"
     )
-    return a.join(b, F.expr(on)).select("doc_id_a", "line_a", "doc_id_b", "line_b").distinct()
+    return a.join(b, F.expr(on)).select("id_a", "id_b").distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Later classes of those of ``pairs`` whose sets are similar."""
+    left = sets.select(F.col("id").alias("id_a"), F.col("tokens").alias("tokens_a"))
+    right = sets.select(F.col("id").alias("id_b"), F.col("tokens").alias("tokens_b"))
+    both = pairs.join(left, "id_a").join(right, "id_b")
+    return both.where(linked("tokens_a", "tokens_b", similar)).select("id_b").distinct()
+
+
+def _later(chosen: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
+    """Numbers of the classes that have a similar class before them."""
+    pairs = store(_candidates(classes, similar), "line-pairs")
+    ids = store(
+        pairs.select(F.col("id_a").alias("id")).union(pairs.select("id_b")).distinct(), "line-ids"
+    )
+    places = store(classes.join(ids, "id").select("id", "doc_id", "line", "set_a"), "line-places")
+    wanted = store(
+        places.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("wanted")), "wanted"
+    )
+    found = (
+        chosen.join(small_side(wanted), "doc_id")
+        .select("doc_id", "text", "wanted")
+        .mapInArrow(_chosen_sets, TOKENS)
+    )
+    sets = store(
+        # rows that repeat an id may have other words in a line of that number
+        found.dropDuplicates(["doc_id", "line", "set_a"])
+        .join(places, ["doc_id", "line", "set_a"])
+        .select("id", "tokens"),
+        "line-sets",
+    )
+    # one earlier line is enough: the first candidate of each, then all others of the rest
+    firsts = store(pairs.groupBy("id_b").agg(F.min("id_a").alias("id_a")), "first-pairs")
+    later = store(_confirmed(firsts, sets, similar), "later-lines")
+    rest = pairs.join(later, "id_b", "left_anti").join(firsts, ["id_b", "id_a"], "left_anti")
+    return store(later.union(_confirmed(rest, sets, similar)), "later-lines")
 
 
 def matched_lines(
@@ -227,41 +285,22 @@ def matched_lines(
     lines = store(chosen.mapInArrow(_signed(codes, similar, least_words), LINES), "lines")
     rows = lines.where("line >= 0")
     same = ["set_a", "set_b", "n"]
+    # classes are numbered in the order of their first lines
     classes = store(
-        rows.groupBy(*same).agg(
-            F.min(F.struct("doc_id", "line", "alone", "prefix")).alias("first")
-        ).select(*same, "first", F.col("first.alone").alias("alone"), F.col("first.prefix").alias("prefix")),
+        rows.groupBy(*same)
+        .agg(F.min(F.struct("doc_id", "line", "alone", "bits", "prefix")).alias("first"))
+        .select(*same, "first.*")
+        .orderBy("doc_id", "line")
+        .withColumn("id", F.monotonically_increasing_id()),
         "classes",
-    )
-    pairs = store(_candidates(classes, similar), "line-pairs")
-    ends = pairs.select(F.col("doc_id_a").alias("doc_id"), F.col("line_a").alias("line")).union(
-        pairs.select("doc_id_b", "line_b")
-    )
-    wanted = store(
-        ends.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("wanted")), "wanted"
-    )
-    sets = store(
-        chosen.join(small_side(wanted), "doc_id")
-        .select("doc_id", "text", "wanted")
-        .mapInArrow(_chosen_sets, TOKENS),
-        "line-sets",
-    )
-    left = sets.select(*[F.col(c).alias(f"{c}_a") for c in sets.columns])
-    right = sets.select(*[F.col(c).alias(f"{c}_b") for c in sets.columns])
-    later = (
-        pairs.join(left, ["doc_id_a", "line_a"])
-        .join(right, ["doc_id_b", "line_b"])
-        .where(linked("tokens_a", "tokens_b", similar))
-        .select(F.col("doc_id_b").alias("first_doc"), F.col("line_b").alias("first_line"))
-        .distinct()
-        .withColumn("later", F.lit(True))
     )
+    later = _later(chosen, classes, similar).withColumn("later", F.lit(True))
     firsts = classes.select(
-        *same, F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line")
-    )
+        *same, "id", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")
+    ).join(later.withColumnRenamed("id_b", "id"), "id", "left")
     gone = (
         rows.select("doc_id", "line", *same)
-        .join(firsts.join(later, ["first_doc", "first_line"], "left"), same)
+        .join(firsts.drop("id"), same)
         .where("later or doc_id <> first_doc or line <> first_line")
         .select("doc_id", "line")
         .distinct()
