@@ -153,6 +153,20 @@ def test_lines_of_near_copies_and_of_nothing(spark):
     assert line_dedup.line_report(empty(spark)).count() == 0
 
 
+def test_short_lines_are_compared(spark):
+    rows = [
+        (1, "Share this page\nAll rights reserved.\n\none two three four five\nok"),
+        (2, "share THIS page\nall rights kept\n\nfour three two one\nok"),
+        (3, "one two three\n \nOK ok\nthis page"),
+    ]
+    got = {
+        r.doc_id: r.removed
+        for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    }
+    # equal sets of 1 and 3 words, and 4 of 5 words; 3 of 4 and lines without words stay
+    assert got == {1: "", 2: "0,3,4", 3: "2"}
+
+
 def dice_truth(text):
     def pairs(t):
         words = [w for w in re.split(r"[\W_]+", t.lower()) if w]

@@ -22,8 +22,9 @@ from tidemill.llm.common import small_side, store
 from tidemill.llm.hashing import mix, row_blocks, text_bytes, word_hashes
 from tidemill.llm.setjoin import linked
 
-#: Least Jaccard similarity, in hundredths, and words that a line must have to be compared.
-SIMILAR, LEAST_WORDS = 80, 5
+#: Least Jaccard similarity, in hundredths, and words that a line must have to be compared:
+#: every line that has a word is.
+SIMILAR, LEAST_WORDS = 80, 1
 #: Hashed counts of words: a fixed table of bytes, 8 for each doubling of the count.
 COUNTS = 1 << 23
 PER_DOUBLING, CHUNK = 8, 1 << 16
@@ -273,9 +274,9 @@ def matched_lines(
     """Lines of every document, and those of them that go: (doc_id, n_lines), (doc_id, line).
 
     A line goes if a line before it, in the order of doc_id and line number, is as
-    similar as asked for, whether that one goes or not. Lines of fewer different words
-    than ``least_words`` are left alone. A null or empty text is one line without
-    words. A row without an id comes after all others, under the id ``NO_ID``; rows that
+    similar as asked for, whether that one goes or not. Every line that has a word is
+    compared; only lines of fewer different words than ``least_words``, if more are asked
+    for, are left alone. A null or empty text is one line without words. A row without an id comes after all others, under the id ``NO_ID``; rows that
     repeat an id share the numbers of their lines, and what goes, goes in all of them.
     """
     chosen = docs.select(
