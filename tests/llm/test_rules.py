@@ -10,7 +10,7 @@ from collections import Counter
 from messy import ROWS, WORD, edited, empty, messy, prose
 from pyspark.sql import functions as F
 
-from tidemill.llm import licenses, line_dedup, quality, sharding, url_filter
+from tidemill.llm import license_runs, licenses, line_dedup, quality, sharding, url_filter
 
 
 def base_truth(text):
@@ -210,6 +210,41 @@ def test_license_matches(spark):
     assert licenses.license_matches(empty(spark)).count() == 0
 
 
+def runs_truth(text):
+    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    pairs, best = list(zip(words, words[1:])), {}
+    for name, body in licenses.TEMPLATES:
+        t = [w for w in re.split(r"[\W_]+", body.lower()) if w]
+        t = Counter(zip(t, t[1:]))
+        n = t.total()
+        for i in range(len(pairs) - n + 1):
+            both = (Counter(pairs[i : i + n]) & t).total()
+            if both * 100 >= n * licenses.LEAST_DICE:
+                best[name] = max(best.get(name, 0), both * 1_000_000 // n)
+    return best
+
+
+def test_licences_that_fill_no_line_or_block(spark):
+    a, b = licenses.MIT.index("The above copyright"), licenses.MIT.index("THE SOFTWARE IS")
+    mit = "\n\n".join([licenses.MIT[:a], licenses.MIT[a:b], licenses.MIT[b:]])
+    rows = [
+        (1, f"{prose(1, 300)}\n\n{mit}\n\n{prose(2, 300)}"),
+        (2, "This project is released under the MIT License. See LICENSE."),
+        (3, "some words of prose that are released under\nthe MIT License, and more words of prose\n" + prose(3, 40)),
+        (4, "Released under the MIT License. " * 40), (5, prose(4, 500)), (None, "x Released under the MIT License y z u v"),
+        (6, None), (7, ""), (8, "under the MIT umbrella"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    truth = {(i, name): dice for i, t in rows for name, dice in runs_truth(t or "").items()}
+    got = {(r.doc_id, r.license): r for r in license_runs.license_runs(docs).collect()}
+    assert {k: r.dice for k, r in got.items()} == truth
+    assert {(i, "MIT") for i in (1, 2, 3, 4, None)} <= set(got) and got[4, "MIT"].passages == 40
+    units = {(r.doc_id, r.license) for r in licenses.license_matches(docs).collect()}
+    assert not units & {(i, "MIT") for i in (1, 2, 3, 4)}
+    assert {(r.doc_id, r.license) for r in license_runs.license_scan(docs).collect()} == units | set(got)
+    assert license_runs.license_scan(empty(spark)).count() == 0
+
+
 def test_urls_are_cut_and_ruled(spark):
     rows = [
         (1, "http://A.Example.COM/en/1?x=/"), (2, "https://www.example.com/en/2#y"),

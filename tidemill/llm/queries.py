@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemill.llm import (
     bpe,
     exact_dedup,
+    license_runs,
     licenses,
     line_dedup,
     near_dup,
@@ -394,4 +395,4 @@ def _quoted(text: str) -> str:
     """
 )
 def op10_license_scan(spark, sf_dir):
-    return licenses.license_matches(documents(spark, sf_dir))
+    return license_runs.license_scan(documents(spark, sf_dir))
