@@ -245,6 +245,19 @@ def test_licences_that_fill_no_line_or_block(spark):
     assert license_runs.license_scan(empty(spark)).count() == 0
 
 
+def test_headers_and_texts_of_common_licences(spark):
+    names = ["Apache-2.0", "GPL-2.0-or-later", "GPL-3.0-or-later", "AGPL-3.0-or-later", "LGPL-2.1-or-later",
+             "LGPL-3.0-or-later", "MPL-2.0", "BSD-3-Clause", "BSD-2-Clause", "ISC"]
+    texts = {name: max((t for n, t in licenses.TEMPLATES if n == name), key=len) for name in names}
+    rows = [(i, f"# head {prose(i, 90)}\n# " + texts[name].replace("\n", "\n# ") + "\nx = 1\n" + prose(i + 50, 90))
+            for i, name in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    best = {}
+    for r in license_runs.license_scan(docs).collect():
+        best[r.doc_id] = max(best.get(r.doc_id, (0, "")), (r.dice, r.license))
+    assert best == {i: (1_000_000, name) for i, name in enumerate(names)}
+
+
 def test_urls_are_cut_and_ruled(spark):
     rows = [
         (1, "http://A.Example.COM/en/1?x=/"), (2, "https://www.example.com/en/2#y"),
