@@ -306,6 +306,21 @@ def test_templates_merge_what_is_alike_and_reject_bad_ones(spark):
     assert {"/news/*/*", "/blog/*/*", "/shop/*/*"} <= templates and len(templates) < 12
 
 
+def test_small_and_deep_branches_are_kept_apart(spark):
+    urls = [f"http://h.org/s{'abcdefghijklmnopqrstuvwxy'[i % 25]}/{i}" for i in range(1200)]
+    urls += [f"http://h.org/spam/{i}" for i in range(1200, 1240)]  # 3 % of the host's pages
+    urls += [f"http://d.org/a/b/c/d/e/f/{'spam' if i % 2 else 'news'}/{i}" for i in range(1240, 1300)]
+    bad = {i for i, u in enumerate(urls) if "/spam/" in u}
+    got = url_filter.url_verdicts(
+        spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"),
+        spark.createDataFrame([(str(i), int(i not in bad)) for i in range(len(urls))], "name string, good int"),
+    ).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == bad and len(got) == len(urls)
+    assert {r.template for r in got} == {
+        "/*/*", "/spam/*", "/*/*/*/*/*/*/spam/*", "/*/*/*/*/*/*/news/*"
+    }
+
+
 def test_shards(spark):
     got = sharding.shard_by_bytes(messy(spark), shards=4, slots=64).collect()
     assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got) == sorted(

@@ -2,7 +2,7 @@
 
 Each host has a tree of the segments of its paths. A segment that varies from page to
 page is a wildcard: digits within a segment become ``#`` at once, and below a node
-whatever is not common there becomes ``*``. A branch whose share of good labels does
+what has only one or two pages there becomes ``*``. A branch, however small its share, whose share of good labels does
 not differ from that of all its siblings by more than chance is merged into ``*`` as
 well. What remains are templates; one is rejected if the share of good labels among
 its pages, smoothed towards that of all pages, is too low.
@@ -18,7 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import store
+from tidemill.llm.common import small_side, store
+from tidemill.shared import new_folder
 
 #: (verdict, rule): a rule is a host, and all its subdomains, and the beginning of a path.
 RULES = (
@@ -28,10 +29,11 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-#: Levels of the tree; what lies deeper is one wildcard.
+#: Levels that the SQL beside the query spells out; the tree itself goes down to the longest path.
 DEPTH = 4
-#: A segment stays as it is if it has this share (in hundredths) of its node's pages, and so many pages.
-COMMON_SHARE, COMMON_PAGES = 5, 3
+#: A segment stays as it is if it has this share (in hundredths) of its node's pages (none is
+#: asked for: its labels decide), and so many pages.
+COMMON_SHARE, COMMON_PAGES = 0, 3
 #: Branches merge unless their squared z-score is above this (about 1 in 100 by chance).
 APART = 6.635
 #: Weight of the share of good labels of all pages, in labels, and the share below which a template goes.
@@ -71,18 +73,15 @@ def rule_of(rules=RULES) -> Column:
 
 
 def masked_segments() -> Column:
-    """Segments of ``path`` with digits masked; levels beyond the tree's are one wildcard."""
+    """Segments of ``path`` with digits masked."""
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    masked = F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", "#"))
-    return F.when(
-        F.size(masked) > DEPTH, F.concat(F.slice(masked, 1, DEPTH), F.array(F.lit("**")))
-    ).otherwise(masked)
+    return F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", "#"))
 
 
 def _level(paths: DataFrame, depth: int) -> DataFrame:
-    """Extends ``template`` of every path by its segment at ``depth``, or by a wildcard."""
-    node, segment = ["host", "template"], F.col("segments")[depth]
-    deeper = paths.where(F.size("segments") > depth).withColumn("segment", segment)
+    """Extends ``template`` of every path, all deeper than ``depth``, by its segment there or a wildcard."""
+    node = ["host", "template"]
+    deeper = paths.withColumn("segment", F.col("segments")[depth])
     branches = deeper.groupBy(*node, "segment").agg(
         F.sum("pages").alias("pages"), F.sum("good").alias("good"), F.sum("labels").alias("labels")
     )
@@ -100,31 +99,51 @@ def _level(paths: DataFrame, depth: int) -> DataFrame:
         F.sum("good").alias("all_good"),
         F.sum("labels").alias("all_labels"),
     )
-    # at most 100 / COMMON_SHARE branches of a node stay
     kept = (
         branches.join(totals, node)
         .where(common & differs)
         .select(*node, "segment", F.lit(True).alias("stays"))
     )
     step = F.when(F.col("stays"), F.col("segment")).otherwise(F.lit("*"))
-    named = deeper.join(kept, [*node, "segment"], "left").select(
+    return deeper.join(kept, [*node, "segment"], "left").select(
         *[c for c in paths.columns if c != "template"],
         F.concat("template", F.lit("/"), step).alias("template"),
     )
-    return named.unionByName(paths.where(F.size("segments") <= depth))
 
 
 def path_templates(pages: DataFrame) -> DataFrame:
-    """host, segments and template of every masked path, from rows of host, segments and good (0, 1, null)."""
+    """host, segments and template of every masked path, from rows of host, segments and good (0, 1, null).
+
+    Below a node of one path, or whose labels are all alike, no branch can differ: what is
+    left of its paths is wildcards at once, so the levels end with the evidence.
+    """
     paths = pages.groupBy("host", "segments").agg(
         F.count("*").alias("pages"),
         F.coalesce(F.sum("good"), F.lit(0)).alias("good"),
         F.count("good").alias("labels"),
     )
     now = store(paths.withColumn("template", F.lit("")), "paths")
-    for depth in range(DEPTH + 1):
-        now = store(_level(now, depth), "paths")
-    return now
+    schema, closed, depth = now.schema, new_folder(pages.sparkSession, "closed-paths"), 0
+    while True:
+        deeper = F.size("segments") > depth
+        nodes = now.where(deeper).groupBy("host", "template").agg(
+            F.count("*").alias("n"), F.sum("good").alias("g"), F.sum("labels").alias("l")
+        )
+        mixed = store(
+            nodes.where("n > 1 and g > 0 and g < l").select("host", "template", F.lit(True).alias("mixed")),
+            "mixed-nodes",
+        )
+        marked = now.join(small_side(mixed), ["host", "template"], "left").withColumn(
+            "open", deeper & F.col("mixed").isNotNull()
+        )
+        rest = F.expr(f"repeat('/*', greatest(size(segments) - {depth}, 0))")
+        marked.where("not open").select(
+            *[c for c in schema.names if c != "template"], F.concat("template", rest).alias("template")
+        ).select(*schema.names).write.mode("append").parquet(closed)
+        if mixed.isEmpty():
+            return pages.sparkSession.read.schema(schema).parquet(closed)
+        now = store(_level(marked.where("open").select(*schema.names), depth).select(*schema.names), "paths")
+        depth += 1
 
 
 def template_verdicts(paths: DataFrame) -> DataFrame:
