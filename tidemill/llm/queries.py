@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import (
+    alignment,
     bpe,
+    divergence,
     exact_dedup,
+    language,
     license_runs,
     licenses,
     line_dedup,
@@ -396,3 +399,69 @@ def _quoted(text: str) -> str:
 )
 def op10_license_scan(spark, sf_dir):
     return license_runs.license_scan(documents(spark, sf_dir))
+
+
+@query()
+def op11_token_alignment(spark, sf_dir):
+    aligned = alignment.align_documents(
+        documents(spark, sf_dir),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    found = alignment.with_pair_sums(alignment.alignment_digests(aligned))
+    return found.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+@query()
+def op12_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn("held_out", language.held_out())
+    model = language.learn(docs.where("doc_id is not null and not held_out"))
+    found = language.predict(docs, model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    rf"""
+    WITH docs AS (
+      SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+      FROM documents),
+    counted AS (
+      SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs
+      FROM (SELECT r, lang, source, unnest(terms) AS term FROM docs) GROUP BY ALL),
+    kept AS (
+      SELECT lang, term, sum(n) AS total FROM counted
+      GROUP BY ALL HAVING sum(docs) >= {divergence.LEAST_DOCS}),
+    groups AS (SELECT DISTINCT lang, source FROM docs),
+    grid AS (
+      SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.total
+      FROM groups g JOIN kept k USING (lang)
+      LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    sized AS (
+      SELECT *, sum(n) OVER w + count(*) OVER w AS own, sum(total) OVER w + count(*) OVER w AS whole
+      FROM grid WINDOW w AS (PARTITION BY lang, source)),
+    rated AS (
+      SELECT lang, source, term, n, 1 + {divergence.UNIT}::HUGEINT * (n + 1) // own AS p,
+             1 + {divergence.UNIT}::HUGEINT * (total + 1) // whole AS q
+      FROM sized),
+    apart AS (
+      SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM rated a JOIN rated b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+      GROUP BY ALL),
+    valued AS (
+      SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+      FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+      LEFT JOIN apart x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source
+      UNION ALL
+      SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM rated WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+    FROM (SELECT *, row_number() OVER (
+            PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM valued)
+    WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}
+    """
+)
+def op13_source_divergence(spark, sf_dir):
+    return divergence.divergence(documents(spark, sf_dir))
