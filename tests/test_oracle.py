@@ -22,7 +22,7 @@ def test_query_agrees_with_sql(spark, sf_dir, connection, name):
 
 SPREAD = [
     "join_inner", "join_three_way", "pct_of_month", "join_right_suffix",
-    "scd1_find", "keyed_update", "scd2_apply",
+    "scd1_find", "keyed_update_spread", "scd2_apply_spread",
 ]
 
 
@@ -43,11 +43,6 @@ def test_spreading_hot_keys_changes_nothing(spark, sf_dir, connection, monkeypat
     assert found and all(hot.count() == 400 for hot in found)
 
 
-@pytest.mark.parametrize("name", [n for n, p in PLANS.items() if not p.sql])
-def test_rows_only_queries_give_a_row_per_order(spark, sf_dir, name):
-    assert PLANS[name].run(spark, sf_dir).count() == 15000
-
-
 def test_entry_gives_rows(spark):
     import __spark_entry__
 

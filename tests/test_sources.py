@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill import shared
 from tidemill.schema import parse_declared
-from tidemill.sources import catalog, connectors, files
+from tidemill.sources import catalog, connectors, documents, files
 
 
 @pytest.fixture
@@ -80,9 +80,9 @@ def test_listing_does_not_read_contents(spark, sf_dir):
     assert "content" not in plan
 
 
-MOVIES = parse_declared(
+FILMS = parse_declared(
     {
-        "schemaName": "movies",
+        "schemaName": "films",
         "dimensionFieldSpecs": [
             {"name": "id", "dataType": "LONG"},
             {"name": "title", "dataType": "STRING"},
@@ -98,7 +98,7 @@ def test_ingest_binds_by_header_name(spark, tmp_path):
     (tmp_path / "old" / "a.csv").write_text('title,genre,year,id\n"One, Two",Drama,2006,4100200300400500600\n')
     (tmp_path / "b.csv").write_text("title,genre,year,id\nThree,Comedy,2022,4100200300400500601\n")
     (tmp_path / "c.txt").write_text("title,genre,year,id\nNot,Read,1,1\n")
-    rows = files.ingest_declared(spark, str(tmp_path), MOVIES).orderBy("year").collect()
+    rows = files.ingest_declared(spark, str(tmp_path), FILMS).orderBy("year").collect()
     assert [tuple(r) for r in rows] == [
         (4100200300400500600, "One, Two", "Drama", 2006),
         (4100200300400500601, "Three", "Comedy", 2022),
@@ -107,14 +107,14 @@ def test_ingest_binds_by_header_name(spark, tmp_path):
 
 def test_ingest_fills_missing_columns_and_drops_unknown_ones(spark, tmp_path):
     (tmp_path / "a.csv").write_text("extra,id,title\nx,1,One\n")
-    rows = files.ingest_declared(spark, str(tmp_path), MOVIES).collect()
+    rows = files.ingest_declared(spark, str(tmp_path), FILMS).collect()
     assert [tuple(r) for r in rows] == [(1, "One", None, None)]
 
 
 def test_ingest_binds_each_file_by_its_own_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("title,genre,year,id\nOne,Drama,2006,1\n")
     (tmp_path / "b.csv").write_text('genre,title,id\n"Dra,ma",Two,2\n')
-    rows = files.ingest_declared(spark, str(tmp_path), MOVIES).orderBy("id").collect()
+    rows = files.ingest_declared(spark, str(tmp_path), FILMS).orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, "One", "Drama", 2006), (2, "Two", "Dra,ma", None)]
 
 
@@ -122,7 +122,7 @@ def test_ingest_binds_each_file_by_its_own_header(spark, tmp_path):
 def test_rows_that_do_not_fit_raise(spark, tmp_path, line):
     (tmp_path / "a.csv").write_text(f"title,genre,year,id\nOk,Drama,2006,1\n{line}\n")
     with pytest.raises(Exception, match="MALFORMED|PARSE"):
-        files.ingest_declared(spark, str(tmp_path), MOVIES).collect()
+        files.ingest_declared(spark, str(tmp_path), FILMS).collect()
     with pytest.raises(Exception, match="MALFORMED|PARSE"):
         files.read_csv(spark, str(tmp_path), "title string, genre string, year int, id long").collect()
 
@@ -176,7 +176,7 @@ def test_partitions_are_pruned(spark, database, tmp_path):
     df = spark.range(100).select(F.col("id").alias("v"), (F.col("id") % 4).cast("int").alias("y"))
     catalog.append_partitioned(df, location, ["y"])
     catalog.append_partitioned(df, location, ["y"])
-    catalog.refresh_partitions(spark, table)
+    catalog.add_partitions(df, table, ["y"])
     one = spark.table(table).where("y = 2")
     assert one.count() == 50
     plan = one._jdf.queryExecution().executedPlan().toString()
@@ -248,3 +248,102 @@ def test_shared_folder(spark):
     assert shared.matching_paths(spark, f"{path}/none/x*") == []
     shared.remove_folder(spark, path)
     assert not shared.path_exists(spark, path)
+
+
+def test_ingest_drops_first_lines_by_place(spark, tmp_path):
+    header = "title,genre,year,id"
+    (tmp_path / "a.csv").write_text(f"{header}\nOne,Drama,2006,1\n")
+    # a column's names as data, and a file of nothing but a header
+    (tmp_path / "b.csv").write_text("title,genre\nOne,Drama\ntitle,genre\n")
+    (tmp_path / "c.csv").write_text(f"{header}\n")
+    rows = files.ingest_declared(spark, str(tmp_path), FILMS).orderBy("id", "title").collect()
+    assert [tuple(r) for r in rows] == [
+        (None, "One", "Drama", None), (None, "title", "genre", None), (1, "One", "Drama", 2006)
+    ]
+
+
+def test_ingest_reads_lines_once_for_all_headers(spark, tmp_path):
+    for i, header in enumerate(["title,id", "id,title", "id,title,extra", "genre,id"]):
+        (tmp_path / f"{i}.csv").write_text(f"{header}\n" + ",".join("7" for _ in header.split(",")) + "\n")
+    df = files.ingest_declared(spark, str(tmp_path), FILMS)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1 and plan.count("FileScan text") == 0
+    assert [r["id"] for r in df.collect()] == [7, 7, 7, 7]
+
+
+def test_ingest_refuses_fields_with_line_breaks_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('title,genre,year,id\n"One\nTwo",Drama,2006,1\n')
+    with pytest.raises(Exception, match="line break"):
+        files.ingest_declared(spark, str(tmp_path), FILMS).collect()
+
+
+def test_ingest_of_a_file_in_several_splits(spark, tmp_path):
+    lines = "".join(f"t{i},{i}\n" for i in range(5000))
+    (tmp_path / "a.csv").write_text("title,id\n" + lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        df = files.ingest_declared(spark, str(tmp_path), FILMS)
+        assert df.rdd.getNumPartitions() > 3
+        assert sorted(r["id"] for r in df.collect()) == list(range(5000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+MIXED = [
+    '{"_id": 1, "name": "a", "tags": ["x", "y"], "at": {"lat": 1.5}}',
+    '{"_id": "2", "name": null, "tags": "none"}',
+    '{"name": 7}',
+    "{}",
+]
+
+
+def test_documents_of_differing_shape(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(MIXED) + "\n")
+    docs = documents.read_documents(spark, str(tmp_path / "in"))
+    fields = {
+        "id": ("$._id", "bigint"), "name": ("$.name", "string"),
+        "tag": ("$.tags[1]", "string"), "lat": ("$.at.lat", "double"),
+    }
+    wanted = {(1, "a", "y", 1.5), (2, None, None, None), (None, "7", None, None), (None, None, None, None)}
+    assert {tuple(r) for r in documents.with_fields(docs, fields).drop("document").collect()} == wanted
+    schema = documents.collection_schema(docs)
+    assert "at: STRUCT<lat: DECIMAL(2,1)>" in schema.replace("`", "") and "tags: VARIANT" in schema
+    documents.write_documents(docs, str(tmp_path / "out"))
+    again = documents.read_documents(spark, str(tmp_path / "out"))
+    assert {tuple(r) for r in documents.with_fields(again, fields).drop("document").collect()} == wanted
+    bare = documents.without_fields(docs, "_id", "at")
+    assert {r["id"] for r in documents.with_fields(bare, fields).collect()} == {None}
+    assert {r["name"] for r in documents.with_fields(bare, fields).collect()} == {"a", None, "7"}
+    rows = documents.typed_rows(docs)
+    assert set(rows.columns) == {"_id", "name", "tags", "at"} and rows.count() == 4
+
+
+def test_documents_that_can_not_be_read(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1}\n{"a": \n')
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        documents.read_documents(spark, str(tmp_path)).collect()
+    texts = spark.createDataFrame([('{"a": 1}',), ("{",)], "text string")
+    lenient = documents.parse_documents(texts, "text", strict=False)
+    assert lenient.where("document IS NULL").count() == 1
+    with pytest.raises(Exception, match="MALFORMED"):
+        documents.parse_documents(texts, "text").collect()
+    with pytest.raises(Exception, match="INVALID_VARIANT_CAST"):
+        one = documents.parse_documents(spark.createDataFrame([('{"a": "x"}',)], "text string"), "text")
+        documents.with_fields(one, {"a": ("$.a", "int")}, strict=True).collect()
+    rows = spark.createDataFrame([(1, None), (None, "x")], "a int, b string")
+    assert sorted(r[0] for r in documents.as_documents(rows).selectExpr("to_json(document)").collect()) == [
+        '{"a":1}', '{"b":"x"}'
+    ]
+
+
+def test_a_profile_is_taken_while_a_table_is_saved(spark, database):
+    df = spark.range(10).selectExpr("id", "if(id < 4, null, 'x') AS `odd name`", "array(id) AS xs")
+    profile = catalog.save_profiled(df, f"{database}.profiled")
+    assert [tuple(r) for r in profile.collect()] == [
+        (0, "id", "bigint", 10, 0), (1, "odd name", "string", 10, 4), (2, "xs", "array<bigint>", 10, 0)
+    ]
+    assert spark.table(f"{database}.profiled").count() == 10
+    nothing = catalog.save_profiled(df.where("false"), f"{database}.empty")
+    assert {r["n_rows"] for r in nothing.collect()} == {0}

@@ -216,7 +216,7 @@ def scd2_apply(
         return value.cast(types[c]).alias(c)
 
     added = without_match(one_per_key(stage, [key]), still_current, [key]).unionByName(
-        stage.filter(~_has_key([key]))
+        stage.filter(~has_key([key]))
     )
     return after.unionByName(added.select(*[added_column(c) for c in dim.columns]))
 
@@ -224,7 +224,7 @@ def scd2_apply(
 # -- keyed writes -----------------------------------------------------------
 
 
-def _has_key(keys: Sequence[str]) -> Column:
+def has_key(keys: Sequence[str]) -> Column:
     return fold_all([F.col(k).isNotNull() for k in keys])
 
 
@@ -241,7 +241,7 @@ def one_per_key(
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
     row = F.struct(*rest) if rest else F.struct(F.lit(1).alias("_"))
-    grouped = df.filter(_has_key(keys)).groupBy(*keys)
+    grouped = df.filter(has_key(keys)).groupBy(*keys)
     if latest_by is None:
         key_text = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
         repeated = F.raise_error(F.concat(F.lit("repeated key: "), key_text)).cast("boolean")
@@ -265,7 +265,7 @@ def upsert(
     to the target, which then is not shuffled.
     """
     rows = one_per_key(source, keys, latest_by).select(*target.columns)
-    unkeyed = source.filter(~_has_key(keys)).select(*target.columns)
+    unkeyed = source.filter(~has_key(keys)).select(*target.columns)
     return without_match(target, source, keys).unionByName(rows).unionByName(unkeyed)
 
 
@@ -278,7 +278,7 @@ def insert_if_absent(
     can be broadcast to a large target instead of the target being shuffled.
     """
     rows = one_per_key(source, keys, first_by, first=True).select(*target.columns)
-    unkeyed = source.filter(~_has_key(keys)).select(*target.columns)
+    unkeyed = source.filter(~has_key(keys)).select(*target.columns)
     taken = target.select(*keys).join(source.select(*keys), on=list(keys), how="left_semi")
     return target.unionByName(without_match(rows, taken, keys)).unionByName(unkeyed)
 

@@ -12,7 +12,7 @@ from tidemill.operators import aggregates, quality
 from tidemill.plans.registry import TABLES, plan, table, table_path
 from tidemill.schema import parse_declared
 from tidemill.shared import new_folder
-from tidemill.sources import catalog, files
+from tidemill.sources import catalog, documents, files
 
 CUSTOMER_DECLARED = {
     "schemaName": "customer",
@@ -288,3 +288,78 @@ def check_results(spark, sf_dir):
     return results.unionByName(
         tables.withColumn("check", F.regexp_replace("check", f"{database}\\.", ""))
     )
+
+
+@plan(
+    """WITH people AS (
+        SELECT c_custkey, CASE WHEN c_nationkey <> 5 THEN c_name END AS c_name,
+            CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS c_acctbal, c_mktsegment FROM customer)
+    SELECT 0 AS position, 'c_custkey' AS "column", 'bigint' AS type, count(*) AS n_rows,
+        count(*) - count(c_custkey) AS n_nulls FROM people
+    UNION ALL SELECT 1, 'c_name', 'string', count(*), count(*) - count(c_name) FROM people
+    UNION ALL SELECT 2, 'c_acctbal', 'double', count(*), count(*) - count(c_acctbal) FROM people
+    UNION ALL SELECT 3, 'c_mktsegment', 'string', count(*), count(*) - count(c_mktsegment) FROM people"""
+)
+def table_columns_profile(spark, sf_dir):
+    """Columns of a table, their types, rows and nulls, counted while it is saved."""
+    people = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(F.col("c_nationkey") != 5, F.col("c_name")).alias("c_name"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("c_acctbal"), "c_mktsegment",
+    )
+    return catalog.save_profiled(people, f"{new_database(spark, 'profiled')}.people")
+
+
+def mixed_documents(spark, sf_dir) -> DataFrame:
+    """Events as documents whose fields and types differ by kind."""
+    events = table(spark, sf_dir, "events")
+    kind, value = F.col("event_type"), F.col("value")
+    return documents.as_documents(
+        events.select(
+            F.col("event_id").alias("_id"), F.col("event_type").alias("kind"),
+            # a number, a text, or nothing
+            F.when(kind == "purchase", F.to_json(F.struct(value.alias("amount")))).alias("price"),
+            F.when(kind == "click", F.array(F.lit("a"), F.col("user_id").cast("string"))).alias("tags"),
+            F.when(kind != "click", F.struct(F.col("user_id"), F.col("ts").cast("string").alias("at"))).alias("user"),
+        )
+    )
+
+
+@plan(
+    """SELECT event_id AS id, event_type AS kind, CASE WHEN event_type = 'click' THEN 2 END AS n_tags,
+        CASE WHEN event_type <> 'click' THEN user_id END AS user_id,
+        CASE WHEN event_type = 'click' THEN user_id::VARCHAR END AS second_tag,
+        CASE WHEN event_type = 'purchase' THEN value END AS amount, true AS id_gone
+    FROM events"""
+)
+def json_docs_mixed(spark, sf_dir):
+    """Documents of differing shape written, read without a schema, changed, written and read again."""
+    first, second = new_folder(spark, "documents"), new_folder(spark, "documents")
+    documents.write_documents(mixed_documents(spark, sf_dir), first)
+    read = documents.with_fields(documents.read_documents(spark, first), {"id": ("$._id", "bigint")})
+    bare = documents.without_fields(read, "_id")
+    bare.write.parquet(second)
+    again = documents.with_fields(
+        spark.read.parquet(second),
+        {
+            "kind": ("$.kind", "string"), "tags": ("$.tags", "array<string>"),
+            "user_id": ("$.user.user_id", "bigint"), "second_tag": ("$.tags[1]", "string"),
+            "price": ("$.price", "string"), "gone": ("$._id", "bigint"),
+        },
+    )
+    return again.select(
+        "id", "kind", F.when(F.col("tags").isNotNull(), F.size("tags")).alias("n_tags"), "user_id",
+        "second_tag", F.get_json_object("price", "$.amount").cast("double").alias("amount"),
+        F.col("gone").isNull().alias("id_gone"),
+    )
+
+
+@plan(
+    """SELECT event_id AS _id, event_type AS kind,
+        CASE WHEN event_type <> 'click' THEN user_id END AS user_id FROM events"""
+)
+def json_docs_typed(spark, sf_dir):
+    """The rows of documents without a declared schema, by the types found in them."""
+    path = new_folder(spark, "documents")
+    documents.write_documents(mixed_documents(spark, sf_dir), path)
+    rows = documents.typed_rows(documents.read_documents(spark, path))
+    return rows.select(F.col("_id").cast("bigint").alias("_id"), "kind", F.col("user.user_id").cast("bigint").alias("user_id"))

@@ -1,7 +1,8 @@
 """Dimension loads, keyed writes and load audit.
 
-The dimension and the stage are both derived from ``customer``: some customers
-are only in one of them, some attributes differ or are null.
+The dimension and the stage are both made of all rows of ``customer``: some keys are
+only in one of them, some attributes differ or are null. Loads that write are applied to
+a stored keyed table, which is read again.
 """
 
 from __future__ import annotations
@@ -12,10 +13,16 @@ from tidemill.operators import audit as audits
 from tidemill.operators import relational, warehouse
 from tidemill.operators.skew import hot_keys
 from tidemill.plans.registry import plan, table
+from tidemill.plans.tables import new_database
+from tidemill.sources import keyed
 
 NOW = "2024-06-01 12:00:00"
 COLUMNS = ["code", "name", "segment", "balance"]
 SPECIAL = ["code"]
+#: Codes from here on are staged only; negative ones are in the dimension only.
+NEW_CODES = 1_000_000_000
+#: Partitions of a stored dimension.
+PARTS = 8
 
 
 def now():
@@ -26,9 +33,10 @@ def dimension(spark, sf_dir):
     nation = F.col("c_nationkey")
     return (
         table(spark, sf_dir, "customer")
-        .where(F.col("c_mktsegment") != "MACHINERY")
         .select(
-            F.col("c_custkey").alias("code"),
+            F.when(F.col("c_mktsegment") == "MACHINERY", -F.col("c_custkey"))
+            .otherwise(F.col("c_custkey"))
+            .alias("code"),
             F.when(nation != 5, F.col("c_name")).alias("name"),
             F.when(~nation.isin(5, 6), F.col("c_mktsegment")).alias("segment"),
             F.when(nation != 5, F.col("c_acctbal")).alias("balance"),
@@ -39,9 +47,10 @@ def dimension(spark, sf_dir):
 def staged(spark, sf_dir):
     return (
         table(spark, sf_dir, "customer")
-        .where(F.col("c_mktsegment") != "FURNITURE")
         .select(
-            F.col("c_custkey").alias("code"),
+            F.when(F.col("c_mktsegment") == "FURNITURE", F.col("c_custkey") + NEW_CODES)
+            .otherwise(F.col("c_custkey"))
+            .alias("code"),
             F.col("c_name").alias("name"),
             F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("segment"),
             F.when(F.col("c_nationkey") < 5, F.col("c_acctbal") + 1)
@@ -51,17 +60,18 @@ def staged(spark, sf_dir):
     )
 
 
-DIM_STAGE_SQL = """WITH dim AS (
-    SELECT c_custkey AS code,
+DIM_STAGE_SQL = f"""WITH dim AS (
+    SELECT CASE WHEN c_mktsegment = 'MACHINERY' THEN -c_custkey ELSE c_custkey END AS code,
         CASE WHEN c_nationkey <> 5 THEN c_name END AS name,
         CASE WHEN c_nationkey NOT IN (5, 6) THEN c_mktsegment END AS segment,
         CASE WHEN c_nationkey <> 5 THEN c_acctbal END AS balance
-    FROM customer WHERE c_mktsegment <> 'MACHINERY'),
+    FROM customer),
 stage AS (
-    SELECT c_custkey AS code, c_name AS name,
+    SELECT CASE WHEN c_mktsegment = 'FURNITURE' THEN c_custkey + {NEW_CODES} ELSE c_custkey END AS code,
+        c_name AS name,
         CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment,
         CASE WHEN c_nationkey < 5 THEN c_acctbal + 1 ELSE c_acctbal END AS balance
-    FROM customer WHERE c_mktsegment <> 'FURNITURE'),
+    FROM customer),
 joined AS (
     SELECT s.code, d.name, d.segment, d.balance,
         s.name AS name_new, s.segment AS segment_new, s.balance AS balance_new
@@ -113,6 +123,13 @@ def scd1_find(spark, sf_dir):
     return warehouse.scd1_changes(dimension(spark, sf_dir), staged(spark, sf_dir), SPECIAL)
 
 
+def stored(spark, df, keys=("code",), *, unique=True) -> str:
+    """``df`` as a keyed table of a database of its own."""
+    name = f"{new_database(spark, 'dimension')}.rows"
+    keyed.create_keyed(df, name, keys, keyed.hashed_part(keys, PARTS), unique=unique)
+    return name
+
+
 LOADED_SQL = f"""TIMESTAMP '{NOW}' AS "modifiedDate" """
 
 
@@ -124,8 +141,9 @@ LOADED_SQL = f"""TIMESTAMP '{NOW}' AS "modifiedDate" """
 )
 def scd1_upsert(spark, sf_dir):
     first_load = F.lit("2024-01-01").cast("timestamp_ntz")
-    dim = warehouse.with_load_time(dimension(spark, sf_dir), first_load)
-    return warehouse.upsert(dim, warehouse.with_load_time(staged(spark, sf_dir), now()), ["code"])
+    name = stored(spark, warehouse.with_load_time(dimension(spark, sf_dir), first_load))
+    keyed.upsert_keyed(spark, name, warehouse.with_load_time(staged(spark, sf_dir), now()))
+    return spark.table(name)
 
 
 INSERTED_SQL = """SELECT * FROM dim
@@ -134,7 +152,9 @@ INSERTED_SQL = """SELECT * FROM dim
 
 @plan(DIM_STAGE_SQL + INSERTED_SQL)
 def insert_if_absent(spark, sf_dir):
-    return warehouse.insert_if_absent(dimension(spark, sf_dir), staged(spark, sf_dir), ["code"])
+    name = stored(spark, dimension(spark, sf_dir))
+    keyed.insert_absent_keyed(spark, name, staged(spark, sf_dir))
+    return spark.table(name)
 
 
 @plan(
@@ -146,11 +166,11 @@ def insert_if_absent(spark, sf_dir):
     SELECT 'scd-type1', * FROM dim WHERE code NOT IN (SELECT code FROM stage)"""
 )
 def load_by_mode(spark, sf_dir):
-    dim, stage = dimension(spark, sf_dir), staged(spark, sf_dir)
-    loads = [
-        warehouse.load_by_mode(mode, dim, stage, ["code"]).select(F.lit(mode).alias("mode"), *COLUMNS)
-        for mode in (warehouse.STAGE_MODE, warehouse.SCD1_MODE)
-    ]
+    loads = []
+    for mode in (warehouse.STAGE_MODE, warehouse.SCD1_MODE):
+        name = stored(spark, dimension(spark, sf_dir))
+        keyed.load_keyed_by_mode(spark, mode, name, staged(spark, sf_dir))
+        loads.append(spark.table(name).select(F.lit(mode).alias("mode"), *COLUMNS))
     return loads[0].unionByName(loads[1])
 
 
@@ -161,16 +181,29 @@ def load_by_mode(spark, sf_dir):
     FROM dim d LEFT JOIN stage s ON d.code = s.code"""
 )
 def keyed_update(spark, sf_dir):
+    name = stored(spark, dimension(spark, sf_dir))
+    keyed.update_keyed(spark, name, staged(spark, sf_dir), ["segment", "balance"])
+    return spark.table(name)
+
+
+@plan(
+    DIM_STAGE_SQL
+    + """SELECT d.code, d.name, CASE WHEN s.code IS NULL THEN d.segment ELSE s.segment END AS segment,
+        d.balance
+    FROM dim d LEFT JOIN stage s ON d.code = s.code"""
+)
+def keyed_update_spread(spark, sf_dir):
+    """The update of a table whose keys may repeat: hot keys are spread over tasks."""
     return warehouse.keyed_update(
-        dimension(spark, sf_dir), staged(spark, sf_dir), ["code"], ["segment", "balance"]
+        dimension(spark, sf_dir), staged(spark, sf_dir), ["code"], ["segment"]
     )
 
 
 @plan(DIM_STAGE_SQL + "SELECT * FROM dim WHERE code NOT IN (SELECT code FROM stage)")
 def keyed_delete(spark, sf_dir):
-    return warehouse.keyed_delete(
-        dimension(spark, sf_dir), "code", staged(spark, sf_dir).select("code")
-    )
+    name = stored(spark, dimension(spark, sf_dir))
+    keyed.delete_keyed(spark, name, staged(spark, sf_dir).select("code"))
+    return spark.table(name)
 
 
 def history(spark, sf_dir):
@@ -196,12 +229,14 @@ def history(spark, sf_dir):
 
 
 def staged_versions(spark, sf_dir):
-    """Most customers, some in another segment."""
+    """A version for each customer, some in another segment and some of other customers."""
     return (
         table(spark, sf_dir, "customer")
-        .where(F.col("c_mktsegment") != "FURNITURE")
         .select(
-            F.concat(F.lit("u-"), F.col("c_custkey").cast("string")).alias("uuid"),
+            F.concat(
+                F.when(F.col("c_mktsegment") == "FURNITURE", "n-").otherwise("u-"),
+                F.col("c_custkey").cast("string"),
+            ).alias("uuid"),
             F.when(F.col("c_nationkey") < 5, F.lit("MOVED"))
             .otherwise(F.col("c_mktsegment"))
             .alias("segment"),
@@ -216,9 +251,10 @@ HISTORY_SQL = f"""WITH history AS (
     SELECT c_custkey * 2 + 1, 'u-' || CAST(c_custkey AS VARCHAR), c_mktsegment, c_acctbal >= 0,
         CASE WHEN c_acctbal < 0 THEN TIMESTAMP '2023-01-01' END FROM customer),
 stage AS (
-    SELECT 'u-' || CAST(c_custkey AS VARCHAR) AS uuid,
+    SELECT CASE WHEN c_mktsegment = 'FURNITURE' THEN 'n-' ELSE 'u-' END
+            || CAST(c_custkey AS VARCHAR) AS uuid,
         CASE WHEN c_nationkey < 5 THEN 'MOVED' ELSE c_mktsegment END AS segment
-    FROM customer WHERE c_mktsegment <> 'FURNITURE'),
+    FROM customer),
 replaced AS (
     SELECT h.uuid FROM history h JOIN stage s ON h.uuid = s.uuid
     WHERE h.current AND h.segment <> s.segment),
@@ -236,7 +272,22 @@ after_load AS (
     FROM history WHERE current AND uuid IN (SELECT uuid FROM stage)"""
 )
 def scd2_close(spark, sf_dir):
-    return warehouse.scd2_close(history(spark, sf_dir), staged_versions(spark, sf_dir), now())
+    """The rows that a load ended, as the stored dimension has them afterwards."""
+    name = stored(spark, history(spark, sf_dir), ["uuid"], unique=False)
+    keyed.load_history(spark, name, staged_versions(spark, sf_dir), now())
+    return spark.table(name).where(F.col("rowEndDate") == now()).select(*warehouse.HISTORY_COLUMNS)
+
+
+@plan(
+    HISTORY_SQL
+    + f"""SELECT id, false AS "rowIsCurrent", TIMESTAMP '{NOW}' AS "rowEndDate"
+    FROM history WHERE uuid IN (SELECT uuid FROM replaced) AND current"""
+)
+def scd2_changed(spark, sf_dir):
+    """The current rows that a load would end, for a table that is kept elsewhere."""
+    return warehouse.scd2_close(
+        history(spark, sf_dir), staged_versions(spark, sf_dir), now(), compare=["segment"]
+    )
 
 
 @plan(
@@ -248,10 +299,23 @@ def scd2_close(spark, sf_dir):
 )
 def scd2_apply(spark, sf_dir):
     """New versions, whose id the target would assign, are shown with id -1."""
+    name = stored(spark, history(spark, sf_dir), ["uuid"], unique=False)
+    keyed.load_history(spark, name, staged_versions(spark, sf_dir), now(), compare=["segment"])
+    return spark.table(name).withColumn("id", F.coalesce("id", F.lit(-1)))
+
+
+@plan(
+    HISTORY_SQL
+    + """SELECT uuid, segment, current AS "rowIsCurrent" FROM after_load
+    UNION ALL
+    SELECT uuid, segment, true FROM stage WHERE uuid NOT IN (SELECT uuid FROM after_load WHERE current)"""
+)
+def scd2_apply_spread(spark, sf_dir):
+    """The load of a dimension whose current rows may repeat a key: hot keys are spread over tasks."""
     after = warehouse.scd2_apply(
         history(spark, sf_dir), staged_versions(spark, sf_dir), now(), compare=["segment"]
     )
-    return after.withColumn("id", F.coalesce("id", F.lit(-1)))
+    return after.select("uuid", "segment", "rowIsCurrent")
 
 
 def audit_rows(spark, sf_dir):

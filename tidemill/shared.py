@@ -82,16 +82,19 @@ def is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file; it appears whole or not at all."""
+    """Write a small file; it appears whole, or what was there before stays."""
     fs, final = _hadoop_path(spark, path)
     folder, _, name = path.rpartition("/")
     _, draft = _hadoop_path(spark, f"{folder}/.{name}-{uuid.uuid4().hex}")
     out = fs.create(draft, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(final, False)
-    if not fs.rename(draft, final):
-        raise OSError(f"could not write {path}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    final, draft = fs.makeQualified(final), fs.makeQualified(draft)
+    hadoop.FileContext.getFileContext(final.toUri(), settings).rename(draft, final, over)
 
 
 def read_text(spark: SparkSession, path: str) -> str:

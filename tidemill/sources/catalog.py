@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.sources.files import load_text
@@ -68,6 +68,26 @@ def save_table(
     balanced_writer(df, partition_by).format(fmt).mode(mode).saveAsTable(table)
 
 
+PROFILE = "position int, column string, type string, n_rows long, n_nulls long"
+
+
+def save_profiled(df: DataFrame, table: str, **options) -> DataFrame:
+    """``save_table``, and of each column its name, type, rows and nulls.
+
+    They are counted while the rows go by on their way to the table, so nothing is read
+    a second time. Columns of the result are those of ``PROFILE``.
+    """
+    seen = Observation()
+    nulls = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]
+    save_table(df.observe(seen, F.count(F.lit(1)).alias("rows"), *nulls), table, **options)
+    counted = seen.get
+    rows = [
+        (i, f.name, f.dataType.simpleString(), counted["rows"], counted[f"n{i}"])
+        for i, f in enumerate(df.schema.fields)
+    ]
+    return df.sparkSession.createDataFrame(rows, PROFILE)
+
+
 def create_table(
     spark: SparkSession,
     table: str,
@@ -118,11 +138,6 @@ def add_partitions(df: DataFrame, table: str, partition_by: Sequence[str]) -> No
         df.sparkSession.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {specs}")
 
 
-def refresh_partitions(spark: SparkSession, table: str) -> None:
-    """Look for all partitions under the table's path; ``add_partitions`` is cheaper."""
-    spark.sql(f"MSCK REPAIR TABLE {table}")
-
-
 def insert_by_name(df: DataFrame, table: str) -> None:
     """Append to a table, matching columns by name.
 

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import csv
-import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.schema import DeclaredTable
-from tidemill.shared import is_folder
+from tidemill.shared import is_folder, new_folder
 
 
 def read_lines(spark: SparkSession, path: str, column: str = "text") -> DataFrame:
@@ -134,49 +133,89 @@ def _objects(spark: SparkSession, folder: str, pattern: str, recursive: bool) ->
     return reader.option("recursiveFileLookup", recursive).load(folder)
 
 
+#: What no line of a CSV file holds: lines are read as one column parted by it.
+NO_SEPARATOR = "\x00"
+MALFORMED = "MALFORMED row"
+
+
+def _headers(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """file and header of every matching file: the first line of its first block."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    first = reader.text(folder).where("_metadata.file_block_start = 0")
+    placed = first.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("nth")
+    )
+    return placed.groupBy("file").agg(F.min_by("value", "nth").alias("header"))
+
+
+def _lines_below_headers(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """file and value of every line but each file's first one, which the reader passes over."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    options = {"header": "true", "sep": NO_SEPARATOR, "quote": "", "escape": "", **STRICT}
+    lines = reader.options(**options, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return lines.schema("value string").csv(folder).select(
+        "value", F.col("_metadata.file_path").alias("file")
+    )
+
+
+def _cells(widths: list[int]) -> Column:
+    """The fields of a line, as many as its file's header has; another number raises."""
+    cells = F.lit(None).cast("array<string>")
+    for width in widths:
+        schema = ", ".join(f"_{i} string" for i in range(width))
+        options = {k: str(v) for k, v in CSV_RULES.items()} | STRICT
+        row = F.from_csv("value", schema, options)
+        cells = F.when(F.col("width") == width, F.array(*[row[f"_{i}"] for i in range(width)])).otherwise(cells)
+    return cells
+
+
+def _checked(value: Column, bad: Column, message: str) -> Column:
+    raised = F.raise_error(F.concat(F.lit(f"{MALFORMED}, {message}: "), F.col("value")))
+    return F.when(bad, raised.cast("string")).otherwise(value)
+
+
 def ingest_declared(
     spark: SparkSession, folder: str, table: DeclaredTable, pattern: str = "*.csv"
 ) -> DataFrame:
     """All matching CSV files under a folder, as the declared columns.
 
-    Each file's columns are bound by its own header; a line equal to its file's header
-    is one. Declared columns that a file lacks are null, others are left out, and a
-    row that doesn't fit raises. Only the different headers come to the driver.
+    Each file's columns are bound by its own header, its first line: a small table
+    says in which place a file has each column, and a line's cells are taken from
+    there, so lines are read once, however many headers there are. Declared columns
+    that a file lacks are null, others are left out. A row of another width or with a
+    cell that doesn't fit its type raises, and so does a field with a line break, as
+    files are split at lines. Only the different headers come to the driver.
     """
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    lines = reader.text(folder).select("value", F.col("_metadata.file_path").alias("file"))
-    first = (
-        reader.text(folder)
-        .where("_metadata.file_block_start = 0")
-        .select("value", F.col("_metadata.file_path").alias("file"))
-        .withColumn("_nth", F.monotonically_increasing_id())
-        .groupBy("file")
-        .agg(F.min_by("value", "_nth").alias("header"))
-    )
-    headers = sorted(row[0] for row in first.select("header").distinct().collect())
     declared = table.to_struct().fields
-    headed = lines.join(first, on="file").where("value <> header")
-
-    def bound(header: str) -> DataFrame:
-        names = next(csv.reader([header]))
-        kinds = {f.name: f.dataType.simpleString() for f in declared}
-        schema = ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in names)
-        options = {k: str(v) for k, v in CSV_RULES.items()} | STRICT
-        rows = headed.where(F.col("header") == header).select(
-            F.from_csv("value", schema, options).alias("row")
-        )
-        return rows.select(
-            *[
-                (F.col(f"row.`{f.name}`") if f.name in names else F.lit(None))
-                .cast(f.dataType)
-                .alias(f.name, metadata=f.metadata)
-                for f in declared
-            ]
-        )
-
-    if not headers:
+    headed = _headers(spark, folder, pattern)
+    path = new_folder(spark, "headers")
+    headed.write.parquet(path)
+    headed = spark.read.parquet(path)
+    found = sorted(row[0] for row in headed.select("header").distinct().collect())
+    if not found:
         return spark.createDataFrame([], table.to_struct())
-    return functools.reduce(DataFrame.unionByName, map(bound, headers))
+    names = {header: next(csv.reader([header])) for header in found}
+    places = [
+        (header, len(own), [own.index(f.name) if f.name in own else None for f in declared])
+        for header, own in names.items()
+    ]
+    bound = headed.join(
+        spark.createDataFrame(places, "header string, width int, places array<int>"), "header"
+    ).select("file", "width", "places")
+    lines = _lines_below_headers(spark, folder, pattern).join(bound, "file")
+    quotes = F.length(F.regexp_replace("value", '[^"]+', ""))
+    whole = lines.withColumn(
+        "value", _checked(F.col("value"), quotes % 2 == 1, "a field with a line break or an open quote")
+    )
+    rows = whole.select("value", "places", _cells(sorted({len(own) for own in names.values()})).alias("cells"))
+
+    def column(i: int, f: T.StructField) -> Column:
+        cell = F.when(F.col("places")[i].isNotNull(), F.get("cells", F.col("places")[i]))
+        typed = cell.try_cast(f.dataType)
+        checked = _checked(F.lit(None), cell.isNotNull() & typed.isNull(), f"no {f.dataType.simpleString()}")
+        return F.coalesce(typed, checked.cast(f.dataType)).alias(f.name, metadata=f.metadata)
+
+    return rows.select(*[column(i, f) for i, f in enumerate(declared)])
 
 
 def stream_folder_options(spark: SparkSession, path: str) -> tuple[str, dict[str, str]]:

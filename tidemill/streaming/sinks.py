@@ -7,21 +7,25 @@ changes nothing, and readers look at committed batches only.
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidemill.session import ROCKSDB_STATE
-from tidemill.shared import keep, matching_paths, read_text, remove_folder, write_text
+from tidemill.shared import matching_paths, remove_folder, write_text
+from tidemill.sources.catalog import add_partitions, balanced_writer, create_table
 
-BATCH, BUCKET = "batch_id", "bucket_id"
+BATCH = "batch_id"
 COMMITS = "_commits"
-#: Buckets of a keyed table.
-BUCKETS = 64
+#: Batches of a keyed table after which earlier ones are compacted.
+COMPACT_AFTER = 20
+#: The type of a running total.
+TOTAL_TYPE = "decimal(38,2)"
 HEAP_STATE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 
 
@@ -95,7 +99,8 @@ def insert_batch(table: str, base: str) -> Callable[[DataFrame, int], None]:
     """
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_folder(base, batch_id))
+        # gathered into files by size, however many tasks the stream's state has
+        batch.hint("rebalance").write.mode("overwrite").parquet(batch_folder(base, batch_id))
         batch.sparkSession.sql(
             f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({BATCH} = {batch_id})"
         )
@@ -103,6 +108,40 @@ def insert_batch(table: str, base: str) -> Callable[[DataFrame, int], None]:
     return insert
 
 
+def table_batch(table: str, base: str, partition_by: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """Append each micro-batch to a catalog table partitioned by its columns and, last, ``batch_id``.
+
+    A batch that runs again overwrites its own partitions, rows of a partition value
+    are gathered in few files, and the catalog learns of the partitions written.
+    """
+    parts = [*partition_by, BATCH]
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+        writer = balanced_writer(rows, parts).mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").parquet(base)
+        add_partitions(rows, table, parts)
+
+    return append
+
+
+def table_writer(
+    stream: DataFrame,
+    table: str,
+    base: str,
+    checkpoint: str,
+    partition_by: Sequence[str],
+    trigger: str = "5 seconds",
+) -> DataStreamWriter:
+    """Stream rows into the catalog table ``table`` at ``base``, which is made if it isn't there."""
+    spark = stream.sparkSession
+    columns = dict(stream.dtypes) | {BATCH: "bigint"}
+    placed = {c: columns[c] for c in columns if c not in partition_by and c != BATCH}
+    placed |= {c: columns[c] for c in (*partition_by, BATCH)}
+    create_table(spark, table, placed, partition_by=[*partition_by, BATCH], location=base)
+    return batch_writer(stream, checkpoint, table_batch(table, base, partition_by), trigger=trigger)
+
+
 def appended_table_writer(
     stream: DataFrame, base: str, checkpoint: str, trigger: str = "5 seconds"
 ) -> DataStreamWriter:
@@ -112,86 +151,100 @@ def appended_table_writer(
 
 def keyed_table_writer(
     aggregate: DataFrame,
+    table: str,
     base: str,
     checkpoint: str,
     keys: Sequence[str],
+    *,
     trigger: str = "1 second",
-    buckets: int = BUCKETS,
+    compact_after: int = COMPACT_AFTER,
 ) -> DataStreamWriter:
-    """Keep the current row of every key of an aggregate; read it with ``read_latest``."""
-    merge = merge_batch(base, keys, buckets)
-    return batch_writer(aggregate, checkpoint, merge, mode="update", trigger=trigger)
+    """Keep the current row of every key of an aggregate; read it with ``read_latest``.
+
+    The rows that a micro-batch changes are the partition ``batch_id`` of the catalog
+    table, which lies at ``base`` and is made if it isn't there. After every
+    ``compact_after`` batches the earlier ones are compacted.
+    """
+    spark = aggregate.sparkSession
+    columns = dict(aggregate.dtypes) | {BATCH: "bigint"}
+    create_table(spark, table, columns, partition_by=[BATCH], location=base)
+    write = change_batch(table, base, keys, compact_after)
+    return batch_writer(aggregate, checkpoint, write, mode="update", trigger=trigger)
 
 
-def merge_batch(
-    base: str, keys: Sequence[str], buckets: int = BUCKETS, keep_last: int = 2
+def change_batch(
+    table: str, base: str, keys: Sequence[str], compact_after: int = COMPACT_AFTER
 ) -> Callable[[DataFrame, int], None]:
-    """Rows of each batch replace the rows of their keys in the table at ``base``.
+    insert = insert_batch(table, base)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        insert(batch, batch_id)
+        if batch_id % compact_after == compact_after - 1:
+            # a batch that has a successor is not written again
+            compact(batch.sparkSession, table, base, keys, batch_id - 1)
 
-    Keys are dealt to a fixed number of buckets. A batch writes the buckets it touches
-    to a folder of its own and then a manifest that says where each bucket now lies; a
-    reader sees either manifest. A batch that has its manifest is passed over, and one
-    that was cut short is written again. Folders that no manifest of the last
-    ``keep_last`` names are removed, so the table is as large as its rows.
+    return write
+
+
+def latest_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of every key the row of its last batch, with its number; a partial + final aggregate."""
+    rest = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("_row"))
+    return last.select(*keys, "_row.*").select(*rows.columns)
+
+
+def compact(spark: SparkSession, table: str, base: str, keys: Sequence[str], up_to: int) -> None:
+    """Gather the last rows of all batches up to one in the partition of that batch.
+
+    The partition is pointed at the gathered rows before older ones are dropped. In
+    between older rows are there twice, which changes no key's last row; so the job may
+    be cut short and run again at any point. The number of files follows the size.
+    """
+    earlier = spark.table(table).where(F.col(BATCH) <= up_to)
+    parts = [
+        number for number in batch_partitions(spark, table) if number <= up_to
+    ]
+    if len(parts) < 2:
+        return
+    places = {file.rsplit("/", 1)[0] for file in earlier.inputFiles()}
+    last = parts[-1]
+    target = f"{base}/compacted-{last}-{uuid.uuid4().hex}"
+    latest_rows(earlier, keys).drop(BATCH).hint("rebalance").write.parquet(target)
+    spark.sql(f"ALTER TABLE {table} PARTITION ({BATCH} = {last}) SET LOCATION '{target}'")
+    older = ", ".join(f"PARTITION ({BATCH} = {n})" for n in parts[:-1])
+    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {older}")
+    for place in places:
+        remove_folder(spark, unquote(place))
+
+
+def batch_partitions(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the batches that the catalog knows of, ascending."""
+    rows = spark.sql(f"SHOW PARTITIONS {table}").collect()
+    return sorted(int(row[0].rsplit("=", 1)[1]) for row in rows)
+
+
+def total_writer(
+    changes: DataFrame, base: str, checkpoint: str, amount: str, *, trigger: str = "1 second"
+) -> DataStreamWriter:
+    """The sum of ``amount`` over all batches so far, one row (batch_id, change, total) per batch.
+
+    A batch adds its own sum to the total of the batch before, so its work is that
+    of its rows; a batch that runs again gives the same row. Read with ``read_totals``.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = committed(spark, base)
-        if batch_id in done:
-            return
-        places = _manifest(spark, base, done[-1]) if done else {}
-        number = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-        changed = keep(batch.withColumn(BUCKET, number))
-        touched = [r[0] for r in changed.select(BUCKET).distinct().collect()]
-        rows = changed.withColumn("_new", F.lit(True))
-        old = sorted({places[b] for b in map(str, touched) if b in places})
-        if old:
-            kept = spark.read.option("basePath", f"{base}/data")
-            before = kept.parquet(*[f"{base}/{folder}" for folder in old]).drop(BATCH)
-            rows = rows.unionByName(before.withColumn("_new", F.lit(False)))
-        folder = f"data/{BATCH}={batch_id}"
-        if touched:
-            rest = [c for c in batch.columns if c not in keys]
-            merged = rows.groupBy(*keys, BUCKET).agg(
-                F.max_by(F.struct(F.lit(1).alias("_"), *rest), "_new").alias("_row")
-            )
-            merged = merged.select(*[k for k in keys], *[f"_row.{c}" for c in rest], BUCKET)
-            (
-                merged.repartition(buckets, BUCKET)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "static")
-                .partitionBy(BUCKET)
-                .parquet(f"{base}/{folder}")
-            )
-        # a touched bucket is never empty: it has the batch's own rows
-        places = places | {str(b): f"{folder}/{BUCKET}={b}" for b in touched}
-        write_text(spark, f"{base}/{COMMITS}/{batch_id}", json.dumps(places))
-        _remove_unused(spark, base, keep_last)
-
-    return merge
-
-
-def _manifest(spark: SparkSession, base: str, batch_id: int) -> dict[str, str]:
-    return json.loads(read_text(spark, f"{base}/{COMMITS}/{batch_id}") or "{}")
-
-
-def _remove_unused(spark: SparkSession, base: str, keep_last: int) -> None:
-    done = committed(spark, base)
-    used = {
-        place for n in done[-keep_last:] for place in _manifest(spark, base, n).values()
-    }
-    for n in done[:-keep_last]:
-        remove_folder(spark, f"{base}/{COMMITS}/{n}")
-    folders = {place.rsplit("/", 1)[0] for place in used}
-    for path in matching_paths(spark, f"{base}/data/{BATCH}=*"):
-        batch = path.rsplit("/", 1)[1]
-        if f"data/{batch}" not in folders and int(batch.split("=")[1]) <= done[-1]:
-            remove_folder(spark, path)
-    for path in matching_paths(spark, f"{base}/data/{BATCH}=*/{BUCKET}=*"):
-        batch, bucket = path.rsplit("/", 2)[1:]
-        if f"data/{batch}/{bucket}" not in used and int(batch.split("=")[1]) <= done[-1]:
-            remove_folder(spark, path)
+        before = [n for n in committed(spark, base) if n < batch_id]
+        carried = F.lit(0)
+        if before:
+            carried = F.lit(spark.read.parquet(batch_folder(base, before[-1])).first()["total"])
+        change = F.coalesce(F.sum(amount), F.lit(0)).cast(TOTAL_TYPE)
+        row = batch.agg(change.alias("change")).select(
+            "change", (F.col("change") + carried.cast(TOTAL_TYPE)).cast(TOTAL_TYPE).alias("total")
+        )
+        write_batch(base)(row, batch_id)
+
+    return batch_writer(changes, checkpoint, each_batch, mode="update", trigger=trigger)
 
 
 def snapshot_writer(
@@ -251,14 +304,17 @@ def read_snapshot(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(batch_folder(base, batches[-1]))
 
 
-def read_latest(spark: SparkSession, base: str) -> DataFrame:
-    """The current row of every key of a keyed table: one folder per bucket is read."""
-    done = committed(spark, base)
-    places = _manifest(spark, base, done[-1]) if done else {}
-    if not places:
-        raise FileNotFoundError(f"no finished batch in {base}")
-    folders = [f"{base}/{place}" for place in sorted(places.values())]
-    return spark.read.option("basePath", f"{base}/data").parquet(*folders).drop(BATCH, BUCKET)
+def read_latest(spark: SparkSession, table: str, keys: Sequence[str]) -> DataFrame:
+    """The current row of every key of a keyed table."""
+    if not spark.catalog.tableExists(table) or not batch_partitions(spark, table):
+        raise FileNotFoundError(f"no finished batch in {table}")
+    spark.catalog.refreshTable(table)
+    return latest_rows(spark.table(table), keys).drop(BATCH)
+
+
+def read_totals(spark: SparkSession, base: str) -> DataFrame:
+    """Rows of ``total_writer``: batch_id, change and total."""
+    return _read_batches(spark, base).select(F.col(BATCH).cast("bigint").alias(BATCH), "change", "total")
 
 
 def _read_batches(spark: SparkSession, base: str) -> DataFrame:
