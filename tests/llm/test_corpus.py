@@ -79,7 +79,9 @@ def alignment_truth(rows):
 
 
 def scored(docs, **options):
-    digests = alignment.alignment_digests(alignment.align_documents(docs, A, B))
+    digests = alignment.align_digests(docs, A, B)
+    apart = alignment.alignment_digests(alignment.align_documents(docs, A, B))
+    assert sorted(map(str, digests.collect())) == sorted(map(str, apart.collect()))
     return sorted(
         (r.doc_id or -1, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256)
         for r in alignment.with_pair_sums(digests, **options).collect()
@@ -120,9 +122,20 @@ def test_alignment_gives_ids_and_links(spark, monkeypatch):
         assert bytes_a[i] in bytes_b[j] or bytes_b[j] in bytes_a[i]
     monkeypatch.setattr(alignment, "SEGMENT", 2)
     both = alignment.Tokenizers(A, B)
-    cut = both.aligned("hello alignment, welcome to all of it")
+    (cut,) = both.aligned(["hello alignment, welcome to all of it"])
     monkeypatch.setattr(alignment, "SEGMENT", 100)
-    assert all((x == y).all() for x, y in zip(cut, both.aligned("hello alignment, welcome to all of it"), strict=True))
+    monkeypatch.setattr(alignment, "REMEMBER", 0)
+    (whole,) = alignment.Tokenizers(A, B).aligned(["hello alignment, welcome to all of it"])
+    assert all((x == y).all() for x, y in zip(cut, whole, strict=True))
+
+
+def test_ids_by_ranks_are_the_library_s():
+    rng, both = random.Random(8), alignment.Tokenizers(A, B)
+    letters = "abcdefeinstÀéßÿÖAB019.,;:!?'\"()/\n-"
+    assert both.a_ranks is not None
+    for _ in range(5000):
+        part = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 15)))
+        assert both._a_ids(part) == both.a.encode(" " + part, add_special_tokens=False).ids
 
 
 def test_run_skipping_on_end_arrays():

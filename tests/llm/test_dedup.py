@@ -13,6 +13,8 @@ from tidemill.llm import exact_dedup, near_dup, setjoin
 from tidemill.llm.components import components
 from tidemill.llm.exact_dedup import CuckooFilter, DigestIndex
 from tidemill.llm.hashing import shingle_sets, text_bytes, word_hashes
+from tidemill.plans.tables import new_database
+from tidemill.sources import keyed
 
 
 def digest(text):
@@ -67,34 +69,86 @@ def test_cuckoo_filter_grows_forgets_and_has_no_false_negatives():
     assert sum(built.contains(d) for d in digests[:1500]) < 15
 
 
+def new_index(spark, **options):
+    return DigestIndex.create(spark, f"{new_database(spark, 'digests')}.live", **options)
+
+
+def live_of(index):
+    return {bytes(r.digest).hex(): (r.keep_id, r["rows"]) for r in index.content().collect()}
+
+
 def test_index_inserts_and_deletes_live_digests(spark):
     rows = exact_dedup.digest_rows(messy(spark))
-    index = DigestIndex(spark, 2)
+    index = new_index(spark, partitions=2)
     index.insert(rows.where("doc_id < 10"))
     index.insert(rows.where("doc_id >= 10 or doc_id is null"))
-    assert index.version == 2
-    live = {bytes(r.digest).hex(): (r.keep_id, r["rows"]) for r in index.content().collect()}
+    live = live_of(DigestIndex(spark, index.name))  # opened again by its name
     assert live == exact_truth(ROWS)
-    gone = {digest(t) for i, t in ROWS if i in (7, 13, 4)}
-    index.delete(rows.where("doc_id in (7, 13, 4)"))
+    left = [r for r in ROWS if r[0] not in (7, 13, 4)]
     index.delete(rows.where("doc_id in (7, 13, 4)"))
-    left = {bytes(r.digest).hex() for r in index.content().collect()}
-    assert left == set(live) - gone
+    assert {d: n for d, (_, n) in live_of(index).items()} == {d: n for d, (_, n) in exact_truth(left).items()}
+    index.settle(rows.where("doc_id not in (7, 13, 4) or doc_id is null"))
+    assert live_of(index) == exact_truth(left)
     index.insert(rows.where("doc_id = 13"))
-    found = index.lookup(rows.where("doc_id in (13, 14, 7)")).collect()
-    assert {r.doc_id: r.keep_id for r in found} == {13: 13, 14: 14, 7: None}
+    found = index.lookup(rows.where("doc_id in (13, 14, 4)")).collect()
+    assert {r.doc_id: r.keep_id for r in found} == {13: 13, 14: 14, 4: 6}
+
+
+def test_deleting_one_of_two_copies_keeps_the_other(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c"), (3, "c")], "doc_id long, text string")
+    rows, index = exact_dedup.digest_rows(docs), new_index(spark)
+    index.insert(rows)
+    index.delete(rows.where("doc_id = 1"))
+    assert live_of(index) == {digest("ab"): (None, 1), digest("c"): (3, 2)}
+    index.settle(rows.where("doc_id = 2"))
+    assert live_of(index) == {digest("ab"): (2, 1), digest("c"): (3, 2)}
+    index.delete(rows.where("doc_id = 3").limit(1))
+    assert live_of(index) == {digest("ab"): (2, 1), digest("c"): (3, 1)}
+    index.delete(rows.where("doc_id in (2, 3)").dropDuplicates(["doc_id"]))
+    assert live_of(index) == {}
+
+
+def test_a_batch_rewrites_its_buckets_only(spark):
+    docs = spark.range(500).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    rows, index = exact_dedup.digest_rows(docs), new_index(spark, partitions=32)
+    index.insert(rows)
+    table = keyed.keyed_table(spark, index.name)
+    before = keyed._places(spark, table.current)
+    index.insert(rows.where("doc_id = 7"))
+    after = keyed._places(spark, keyed.keyed_table(spark, index.name).current)
+    assert len(before) == len(after) == 32
+    assert sum(before[p] != after[p] for p in before) == 1
+    assert index.lookup(rows.where("doc_id = 7")).first()["rows"] == 2
+
+
+def test_buckets_are_split_as_digests_become_more(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", 10)
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    rows, index = exact_dedup.digest_rows(docs), new_index(spark, partitions=2)
+    truth = {}
+    for low, high in ((0, 15), (15, 60), (60, 61), (61, 400), (0, 5)):
+        part = rows.where(f"doc_id >= {low} and doc_id < {high}")
+        index.insert(part)
+        for i in range(low, high):
+            key = digest(f"text {i}")
+            truth[key] = (i, truth.get(key, (i, 0))[1] + 1)
+        assert live_of(index) == truth
+        found = index.lookup(rows).collect()
+        assert {r.doc_id for r in found if r.keep_id is not None} == {i for i, _ in truth.values()}
+    sizes = index.content().withColumn("b", exact_dedup.bucket_of(64)).groupBy("b").count().collect()
+    assert index._buckets() == 64 and max(r["count"] for r in sizes) < 30
 
 
 def test_a_full_filter_is_built_anew_from_the_stored_digests():
-    schema, n = exact_dedup.ARRIVALS, 2000
+    n = 2000
     rng = random.Random(1)
-    rows = [(0, rng.randbytes(32), 1, 1, i, i, 1) for i in range(n)]
-    arrivals = pa.Table.from_batches([exact_dedup._table(rows, schema)])
+    rows = [(rng.randbytes(32), 1, 1, i, i, 1) for i in range(n)]
+    arrivals = pa.Table.from_batches([exact_dedup._table(rows, pa.schema(exact_dedup.CONTENT))])
     none = exact_dedup.STATE.empty_table()
     key = (pa.scalar(0, pa.int64()),)
-    first = exact_dedup._insert(key, none, arrivals.slice(0, 50))
-    grown = exact_dedup._insert(key, first, arrivals)
-    content, index = exact_dedup._read_bucket(grown)
+    first = exact_dedup._insert(1)(key, none, arrivals.slice(0, 50))
+    grown = exact_dedup._insert(1)(key, first, arrivals)
+    content, index = exact_dedup._read_bucket(grown, 1)
     assert len(content) == n and all(index.contains(d) for d in content)
     assert sum(entry[0] for entry in content.values()) == n + 50
 

@@ -7,10 +7,12 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
 from messy import ROWS, WORD, edited, empty, messy, prose
 from pyspark.sql import functions as F
 
 from tidemill.llm import license_runs, licenses, line_dedup, quality, sharding, url_filter
+from tidemill.shared import new_folder
 
 
 def base_truth(text):
@@ -321,16 +323,62 @@ def test_small_and_deep_branches_are_kept_apart(spark):
     }
 
 
-def test_shards(spark):
-    got = sharding.shard_by_bytes(messy(spark), shards=4, slots=64).collect()
+def check_shards(got, rows, shards):
     assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got) == sorted(
-        (i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in ROWS
+        (i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows
     )
-    for shard in range(4):
+    for shard in range(shards):
         own = sorted(r.slot for r in got if r.shard == shard)
         assert own == list(range(len(own)))
     assert all(len({r.shard for r in got if r.vslot == v}) == 1 for v in {r.vslot for r in got})
-    assert sharding.shard_by_bytes(empty(spark)).count() == 0
+
+
+def test_shards(spark):
+    got = sharding.shard_by_bytes(messy(spark), new_folder(spark, "map"), shards=4, slots=64).collect()
+    check_shards(got, ROWS, 4)
+    assert sharding.shard_by_bytes(empty(spark), new_folder(spark, "map")).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, None])
+def test_rows_that_repeat_an_id_are_spread(spark, hot, monkeypatch):
+    """Half of the rows have one id, or none, and one text."""
+    monkeypatch.setattr(sharding, "PIECE", 700)
+    rows = [(hot, "the same text over and over")] * 10_000
+    rows += [(i, f"text {i} " + "x" * (i % 60)) for i in range(10, 10_010)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard_by_bytes(docs, new_folder(spark, "map"), slots=512).collect()
+    check_shards(got, rows, 16)
+    sizes, in_slot = Counter(), Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+        in_slot[r.vslot] += 1
+    assert max(sizes.values()) < 1.01 * min(sizes.values())
+    assert max(in_slot.values()) < 90
+    again = sharding.shard_by_bytes(docs.repartition(3), new_folder(spark, "map"), slots=512).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_a_stored_map_is_opened_and_edited_again(spark):
+    folder = new_folder(spark, "map")
+    rows = [(i, f"text {i} " + "x" * (i % 90)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {r.doc_id: r for r in sharding.shard_by_bytes(docs, folder).collect()}
+    same = {r.doc_id: r for r in sharding.shard_by_bytes(docs, folder).collect()}
+    moved = sum(r.size for i, r in same.items() if r.shard != first[i].shard)
+    total = sum(r.size for r in first.values())
+    assert moved < 0.02 * total
+    grown = {r.doc_id: r for r in sharding.shard_by_bytes(docs, folder, shards=17).collect()}
+    assert sharding.map_versions(spark, folder) == [1, 2, 3]
+    sizes = Counter()
+    for r in grown.values():
+        sizes[r.shard] += r.size
+    assert set(sizes) == set(range(17)) and max(sizes.values()) < 1.05 * min(sizes.values())
+    # what moves is what the new shard holds, and little more
+    moved = sum(r.size for i, r in grown.items() if r.shard != same[i].shard)
+    assert moved < 1.3 * total / 17
+    # a version that was not written whole is passed over
+    spark.range(1).write.parquet(f"{folder}/version=9")
+    assert sharding.map_versions(spark, folder) == [1, 2, 3]
 
 
 def test_shard_map_edits(spark):
@@ -346,11 +394,12 @@ def test_shard_map_edits(spark):
             total[r.shard] += r.slot_bytes
         return total
 
-    first = sharding.store_map(sharding.edit_map(sharding.empty_map(table(sizes)), table(sizes), 8))
+    folder = new_folder(spark, "map")
+    first = sharding.store_map(sharding.edit_map(sharding.last_map(table(sizes), folder), table(sizes), 8), folder)
     total = loads(first)
     assert set(total) == set(range(8)) and max(total.values()) - min(total.values()) <= 10
     # grown: only what a shard has above the new mean moves
-    grown = sharding.store_map(sharding.edit_map(first, table(sizes), 9))
+    grown = sharding.store_map(sharding.edit_map(sharding.last_map(first, folder), table(sizes), 9), folder)
     moved = first.join(grown.select("vslot", F.col("shard").alias("now")), "vslot").where("shard <> now")
     assert {r.version for r in grown.collect()} == {2}
     assert max(loads(grown).values()) - min(loads(grown).values()) <= max(sizes.values())

@@ -60,7 +60,35 @@ def test_bpe_of_runs_longer_than_the_overlap(spark):
     assert as_rows(got) == sorted(bpe_truth(rows))
 
 
+@pytest.mark.parametrize("chunk", [65_536, 90])
+def test_ids_come_out_and_go_in(spark, chunk):
+    encoding = library()
+    encoded = bpe.encode_documents(messy(spark), RANKS, P.PATTERN, chunk, 30)
+    assert sorted((r.doc_id or -1, r.ids) for r in encoded.collect()) == sorted(
+        (i or -1, encoding.encode_ordinary(t or "")) for i, t in ROWS
+    )
+    raw = bpe.decode_documents(encoded, RANKS, P.PATTERN).collect()
+    assert sorted((r.doc_id or -1, bytes(r.raw)) for r in raw) == sorted(
+        (i or -1, (t or "").encode()) for i, t in ROWS
+    )
+    lists = spark.createDataFrame([(1, None), (2, []), (3, [65, 300])], "doc_id long, ids array<int>")
+    found = {r.doc_id: bytes(r.raw) for r in bpe.decode_documents(lists, RANKS, P.PATTERN).collect()}
+    assert found == {1: b"", 2: b"", 3: encoding.decode_bytes([65, 300])}
+    unknown = spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>")
+    with pytest.raises(Exception, match="KeyError"):
+        bpe.decode_documents(unknown, RANKS, P.PATTERN).collect()
+
+
+def test_bpe_of_a_text_of_many_chunks(spark):
+    text = " ".join(f"word{i} and 日本 {i % 7}\n" for i in range(60_000))
+    docs = spark.createDataFrame([(1, text), (2, "x" * 300_000)], "doc_id long, text string")
+    got = bpe.encode_all(docs, RANKS, P.PATTERN)
+    assert as_rows(got) == sorted(bpe_truth([(1, text), (2, "x" * 300_000)]))
+
+
 def test_bpe_of_nothing(spark):
+    nothing = bpe.encode_documents(empty(spark), RANKS, P.PATTERN)
+    assert bpe.decode_documents(nothing, RANKS, P.PATTERN).count() == 0
     assert bpe.encode_all(empty(spark), RANKS, P.PATTERN).count() == 0
 
 
@@ -124,6 +152,10 @@ def test_packing(spark):
         if r.doc_id is not None:
             part = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4")
             assert r.ids_crc32 == zlib.crc32(part.tobytes())
+    with_ids = packing.pack_documents(messy(spark), P.path("byte_bpe_50k.json"), with_ids=True)
+    assert with_ids.count() == len(got)
+    for r in with_ids.collect():
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and len(r.ids) == r.length
     assert packing.pack_documents(empty(spark), P.path("byte_bpe_50k.json")).count() == 0
 
 

@@ -9,6 +9,9 @@ don't go one to one is walked through, which gives the new shift.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,12 +22,19 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import BROADCAST_ROWS, store
 from tidemill.llm.packing import byte_letters
 from tidemill.llm.token_counts import balanced
-from tidemill.llm.tokens import Memo, per_worker, words
+from tidemill.llm.tokens import per_worker, words
 
 #: Bytes of text that a worker takes on at a time, and parts of a text that are aligned at a time.
 BATCH_BYTES, SEGMENT = 1 << 20, 100_000
 #: Parts of texts that a worker remembers.
 REMEMBER = 200_000
+#: Tokens that are compared at first.
+FIRST_STEP = 4
+
+# Fixed value: how byte-level tokenizers cut text before their merges.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Parts of characters that are the same letters, digits and marks to every library.
+_PLAIN = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ.,;:!?'\"()/\n-]+")
 
 ALIGNED = (
     "doc_id long, a_ids array<int>, b_ids array<int>, link_a array<int>, link_b array<int>"
@@ -46,18 +56,18 @@ def align(a_ends: Sequence[int], b_ends: Sequence[int]) -> tuple[list[int], list
     n = len(a_ends)
     while i < n:
         # tokens that go one to one at this shift
-        first, shift, step, doubling = i, j - i, 1, True
-        while step:
-            ours = a_ends[i : i + step]
-            if ours and ours == b_ends[i + shift : i + shift + step]:
-                i += len(ours)
-                step = step * 2 if doubling else step // 2
-            else:
-                doubling = False
-                step //= 2
+        first, shift, step = i, j - i, FIRST_STEP
+        while i < n and a_ends[i : i + step] == b_ends[i + shift : i + shift + step]:
+            i += step
+            step += step
+        while step > 1 and i < n:
+            step >>= 1
+            if a_ends[i : i + step] == b_ends[i + shift : i + shift + step]:
+                i += step
+        i = min(i, n)
         j = i + shift
-        link_a.extend(range(first, i))
-        link_b.extend(range(first + shift, j))
+        link_a += range(first, i)
+        link_b += range(first + shift, j)
         if i == n:
             break
         # a group of others, up to the next end in common
@@ -77,6 +87,17 @@ def align(a_ends: Sequence[int], b_ends: Sequence[int]) -> tuple[list[int], list
     return link_a, link_b
 
 
+class Parts(dict):
+    """What is known of parts of texts: those remembered, and those of the batch at hand."""
+
+    def __init__(self):
+        super().__init__()
+        self.batch: dict[str, tuple[bytes, bytes, bool]] = {}
+
+    def __missing__(self, part: str) -> tuple[bytes, bytes, bool]:
+        return self.batch[part]
+
+
 class Tokenizers:
     """Tokens of parts of texts by a byte-level BPE (A) and a sentencepiece model (B)."""
 
@@ -98,46 +119,79 @@ class Tokenizers:
         ]
         self.a_lengths = np.array([len(b) for b in self.a_bytes])
         self.b_lengths = np.array([len(b) for b in self.b_bytes])
-        self.parts = Memo(self._part, REMEMBER)
-
-    def _part(self, part: str) -> tuple[list[int], list[int], bool]:
-        """Ids of a part of a text that comes after a space, and whether they spell it."""
-        a = self.a.encode(" " + part, add_special_tokens=False).ids
-        b = self.b.encode(part)
-        spelt = (" " + part).encode()
-        return a, b, self.spell(self.a_bytes, a) == spelt == self.spell(self.b_bytes, b)
+        self.a_ranks = self._ranks(a_path, vocabulary)
+        self.parts = Parts()
+
+    def _ranks(self, a_path: str, vocabulary: dict[str, int]):
+        """A's encoding by ranks, if its merges come in the order of their ids and nothing else is special."""
+        import tiktoken
+
+        with open(a_path, encoding="utf-8") as file:
+            told = json.load(file)
+        cut = told.get("pre_tokenizer") or {}
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in told["model"].get("merges", ())]
+        made = [vocabulary.get("".join(pair)) for pair in merges]
+        if told.get("normalizer") or plain.items() - cut.items() or None in made or made != sorted(made):
+            return None
+        special = {t["id"] for t in told.get("added_tokens", ())}
+        ranks = {self.a_bytes[i]: i for i in vocabulary.values() if i not in special}
+        return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+    def _a_ids(self, part: str) -> list[int]:
+        if self.a_ranks is not None and _PLAIN.fullmatch(part):
+            return self.a_ranks.encode_ordinary(" " + part)
+        return self.a.encode(" " + part, add_special_tokens=False).ids
+
+    def learn(self, parts: set[str]) -> None:
+        """Encode the parts that aren't remembered: ids of A and B, and whether they spell the part."""
+        unknown = [part for part in parts if part not in self.parts]
+        made = {}
+        for part, b in zip(unknown, self.b.encode(unknown, num_threads=1), strict=True):
+            a, spelt = self._a_ids(part), (" " + part).encode()
+            same = self.spell(self.a_bytes, a) == spelt == self.spell(self.b_bytes, b)
+            made[part] = array("i", a).tobytes(), array("i", b).tobytes(), same
+        if len(self.parts) + len(made) <= REMEMBER:
+            self.parts.update(made)
+            made = {}
+        self.parts.batch = made
 
     @staticmethod
     def spell(table: list[bytes], ids: Sequence[int]) -> bytes:
         return b"".join(map(table.__getitem__, ids))
 
-    def aligned(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of A and of B, and the indexes of linked tokens; all empty if either doesn't spell the text.
+    def aligned(self, texts: Sequence[str]) -> list[tuple[np.ndarray, ...]]:
+        """Ids of A and of B, and the indexes of linked tokens, for each text."""
+        cut = [words(text) if text else [] for text in texts]
+        self.learn({part for parts in cut for part in parts})
+        return [self._aligned(text, parts) for text, parts in zip(texts, cut, strict=True)]
+
+    def _aligned(self, text: str, parts: list[str]) -> tuple[np.ndarray, ...]:
+        """All empty if either tokenizer's tokens don't spell the text.
 
         A part ends in both tokenizations where the next begins, so runs of parts are
         aligned apart from each other.
         """
-        cut = words(text)
-        made = [self.parts[part] for part in cut]
-        if not all(spelt for _, _, spelt in made):
+        if not parts:
+            return (NOTHING,) * 4
+        ids_a, ids_b, spelt = zip(*map(self.parts.__getitem__, parts), strict=True)
+        if not all(spelt):
             whole = (" " + text).encode()
-            if any(
-                b"".join(self.spell(table, one[side]) for one in made) != whole
-                for side, table in enumerate((self.a_bytes, self.b_bytes))
-            ):
-                return (NOTHING,) * 4
+            for table, ids in ((self.a_bytes, ids_a), (self.b_bytes, ids_b)):
+                if self.spell(table, np.frombuffer(b"".join(ids), np.int32).tolist()) != whole:
+                    return (NOTHING,) * 4
         out: list[list[np.ndarray]] = [[], [], [], []]
         n_a = n_b = 0
-        for start in range(0, len(made), SEGMENT):
-            run = made[start : start + SEGMENT]
-            a = np.array([i for one in run for i in one[0]], np.int32)
-            b = np.array([i for one in run for i in one[1]], np.int32)
-            links = align(
+        for start in range(0, len(parts), SEGMENT):
+            a, b = (
+                np.frombuffer(b"".join(ids[start : start + SEGMENT]), np.int32) for ids in (ids_a, ids_b)
+            )
+            link_a, link_b = align(
                 np.cumsum(self.a_lengths[a]).tolist(), np.cumsum(self.b_lengths[b]).tolist()
             )
-            found = (a, b, *(np.array(x, np.int32) + n for x, n in zip(links, (n_a, n_b))))
+            found = a, b, np.array(link_a, np.int32) + np.int32(n_a), np.array(link_b, np.int32) + np.int32(n_b)
             for column, values in zip(out, found, strict=True):
-                column.append(values.astype(np.int32, copy=False))
+                column.append(values)
             n_a, n_b = n_a + len(a), n_b + len(b)
         return tuple(column[0] if len(column) == 1 else np.concatenate(column) for column in out)
 
@@ -159,10 +213,7 @@ def _aligned(a_path: str, b_path: str, batch_bytes: int):
             n_bytes = pa.compute.binary_length(text).to_numpy(zero_copy_only=False)
             offsets = np.concatenate([[0], np.cumsum(n_bytes)])
             for start, end in balanced(offsets, batch_bytes):
-                found = [
-                    both.aligned(t) if t else (NOTHING,) * 4
-                    for t in text.slice(start, end - start).to_pylist()
-                ]
+                found = both.aligned(text.slice(start, end - start).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(start, end - start),
@@ -186,11 +237,14 @@ def align_documents(
     the tokens of both (one that holds U+2581, say) has none. Repeated rows and rows
     without an id are aligned each by itself; other columns are not read.
     """
-    chosen = docs.select(
+    return _chosen(docs).mapInArrow(_aligned(a_path, b_path, batch_bytes), ALIGNED)
+
+
+def _chosen(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    return chosen.mapInArrow(_aligned(a_path, b_path, batch_bytes), ALIGNED)
 
 
 class Written(list):
@@ -261,6 +315,18 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _aligned_digests(a_path: str, b_path: str, batch_bytes: int):
+    aligned = _aligned(a_path, b_path, batch_bytes)
+    return lambda batches: _digests(aligned(batches))
+
+
+def align_digests(
+    docs: DataFrame, a_path: str, b_path: str, batch_bytes: int = BATCH_BYTES
+) -> DataFrame:
+    """``alignment_digests`` of ``align_documents`` in one pass: ids and links don't leave the worker."""
+    return _chosen(docs).mapInArrow(_aligned_digests(a_path, b_path, batch_bytes), DIGESTS)
+
+
 def alignment_digests(aligned: DataFrame) -> DataFrame:
     """Numbers and the digest of the groups of ``align_documents``' rows.
 

@@ -12,22 +12,33 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import store
-from tidemill.llm.tokens import ByteLevel, Memo, per_worker
+from tidemill.llm.token_counts import balanced
+from tidemill.llm.tokens import ByteLevel, per_worker
 
 #: Characters of a chunk, and of what it shares with the next one.
 CHUNK, OVERLAP = 65_536, 1_024
-ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Bytes of text that a worker takes on at a time.
+BATCH_BYTES = 1 << 20
+
+ENCODED = "doc_id long, ids array<int>"
+DECODED = "doc_id long, raw binary"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+CHUNKS = "row long, doc_id long, chunk long, text string"
+MARKED = "row long, doc_id long, chunk long, head array<int>, tail array<int>"
+CHUNK_IDS = "row long, doc_id long, chunk long, ids array<int>"
 
 
 class Codec:
-    """Encodes and decodes by a file of ranks; ids are decimal text joined by commas."""
+    """Encodes and decodes by a file of ranks; ids are 32-bit numbers."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import regex
@@ -40,17 +51,17 @@ class Codec:
         )
         self.pattern = regex.compile(pattern)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.ids = ByteLevel(
-            lambda piece: ",".join(map(str, encoding.encode_ordinary(piece))), ",".join
+        self.written = {rank: str(rank) for rank in ranks.values()}
+        self.parts = ByteLevel(
+            lambda piece: array("i", encoding.encode_ordinary(piece)).tobytes(), b"".join
         )
-        self.raw = Memo(lambda ids: b"".join(self.bytes_of[int(i)] for i in ids.split(",")))
 
-    def encode(self, text: str) -> list[str]:
-        """Ids of the words of ``text`` in turn; no pre-token goes across a word's end."""
-        return self.ids.parts(text) if text else []
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of ``text``, word by word; no pre-token goes across a word's end."""
+        return np.frombuffer(b"".join(self.parts.parts(text)) if text else b"", np.int32)
 
-    def decode(self, parts: list[str]) -> bytes:
-        return b"".join(map(self.raw.__getitem__, parts))
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def starts(self, text: str, start: int, end: int) -> list[int]:
         """Places from ``start`` up to ``end`` where a pre-token begins, read from ``start`` on."""
@@ -62,46 +73,105 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return per_worker(("codec", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
 
 
-def digest(parts: list[str], raw: bytes) -> tuple[int, str, str]:
-    joined = ",".join(parts)
-    return (
-        joined.count(",") + 1 if joined else 0,
-        hashlib.sha256(joined.encode()).hexdigest(),
-        hashlib.sha256(raw).hexdigest(),
-    )
+def _lists(arrays: list, kind: pa.DataType = pa.int32()) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of at most ``limit`` bytes of text, or one row."""
+    for batch in batches:
+        lengths = pa.compute.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
+        for start, end in balanced(offsets, limit):
+            yield batch.slice(start, end - start)
 
 
-def _whole(ranks_path: str, pattern: str):
+def _encoded(ranks_path: str, pattern: str, names: tuple[str, ...] = ("doc_id",)):
+    """The columns ``names`` as they are, and the ids of the text after them."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(ranks_path, pattern)
+        for batch in _in_blocks(batches, len(names), BATCH_BYTES):
+            ids = [coder.encode(text.as_py()) for text in batch.column(len(names))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(names)], _lists(ids)], names=[*names, "ids"]
+            )
+
+    return encode
+
+
+def _id_lists(batch: pa.RecordBatch) -> Iterator[list[int]]:
+    ids = batch.column(1)
+    values = ids.flatten().to_numpy()
+    ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
+    for start, end in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+        yield values[start:end].tolist()
+
+
+def _decoded(ranks_path: str, pattern: str):
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(ranks_path, pattern)
+        for batch in batches:
+            raw = [coder.decode(ids) for ids in _id_lists(batch)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "raw"]
+            )
+
+    return decode
+
+
+def _digested(ranks_path: str, pattern: str):
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(ranks_path, pattern)
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                parts = coder.encode(text.as_py())
-                rows.append(digest(parts, coder.decode(parts)))
+            rows = [
+                (
+                    len(ids),
+                    hashlib.sha256(",".join(map(coder.written.__getitem__, ids)).encode()).hexdigest(),
+                    hashlib.sha256(coder.decode(ids)).hexdigest(),
+                )
+                for ids in _id_lists(batch)
+            ]
             columns = zip(*rows, strict=True) if rows else ([], [], [])
+            kinds = (pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), *map(pa.array, columns)],
+                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            ) if rows else pa.RecordBatch.from_pylist([], schema=batch.schema)
+            )
 
-    return encode
+    return digest
 
 
-CHUNK_FIELDS = "row long, doc_id long, chunk long, text string"
-MARKED = "row long, doc_id long, chunk long, head array<int>, tail array<int>"
+# -- long texts -------------------------------------------------------------
 
 
-def chunks_of(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """Rows of ``docs`` (row, doc_id, text) as chunks that share ``overlap`` characters with the next."""
-    n = F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(chunk)))
-    return docs.select(
-        "row", "doc_id", "text", F.explode(F.sequence(F.lit(0), n.cast("int") - 1)).alias("chunk")
-    ).select(
-        "row",
-        "doc_id",
-        F.col("chunk").cast("long").alias("chunk"),
-        F.substring("text", F.col("chunk") * chunk + 1, F.lit(chunk + overlap)).alias("text"),
+def _cut(chunk: int, overlap: int):
+    """Texts as chunks that share ``overlap`` characters with the next: each text is gone through once."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, doc_id, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                for number, start in enumerate(range(0, max(len(text), 1), chunk)):
+                    yield _chunk_row(row, doc_id, number, text[start : start + chunk + overlap])
+
+    return cut
+
+
+def _cut_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in parts that begin at the places in the last column."""
+    for batch in batches:
+        for row, doc_id, text, begin in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            for number, (start, end) in enumerate(zip(begin, [*begin[1:], len(text)], strict=True)):
+                yield _chunk_row(row, doc_id, number, text[start:end])
+
+
+def _chunk_row(row: int, doc_id: int | None, chunk: int, text: str) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([v], k) for v, k in zip((row, doc_id, chunk, text), kinds, strict=True)],
+        names=["row", "doc_id", "chunk", "text"],
     )
 
 
@@ -144,81 +214,80 @@ def seams(marked: DataFrame) -> DataFrame:
     )
 
 
-def _stitched(ranks_path: str, pattern: str):
-    """Encodes a document's chunks between their seams, in turn."""
-
-    def stitch(key: tuple, rows: pa.Table) -> pa.Table:
-        coder = codec(ranks_path, pattern)
-        parts: list[str] = []
-        row = rows.sort_by("chunk").to_pylist()
-        for one in row:
-            parts += one["ids"].split(";") if one["ids"] else []
-        found = digest(parts, coder.decode(parts))
-        return pa.table(
-            {
-                "doc_id": pa.array([row[0]["doc_id"]], pa.int64()),
-                "n_tokens": pa.array([found[0]], pa.int64()),
-                "ids_sha256": [found[1]],
-                "decoded_sha256": [found[2]],
-            }
-        )
-
-    return stitch
-
-
-def _chunk_ids(ranks_path: str, pattern: str):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(ranks_path, pattern)
-        for batch in batches:
-            ids = [";".join(coder.encode(t)) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(ids, pa.string())],
-                names=["row", "doc_id", "chunk", "ids"],
-            )
-
-    return encode
+def _joined(key: tuple, rows: pa.Table) -> pa.Table:
+    """The ids of one text's parts, in turn."""
+    ids = rows.sort_by("chunk").column("ids").combine_chunks().flatten()
+    return pa.table(
+        {
+            "doc_id": rows.column("doc_id").slice(0, 1),
+            "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+        }
+    )
 
 
 def encode_long(
     docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP
 ) -> DataFrame:
-    """``encode_all`` for texts longer than a chunk: their chunks are encoded apart from each other."""
-    docs = store(docs.withColumn("row", F.monotonically_increasing_id()), "long-texts")
-    cut = chunks_of(docs, chunk, overlap).repartition("row", "chunk")
+    """``encode_documents`` for texts longer than a chunk: their chunks are encoded apart from each other."""
+    docs = store(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "long-texts")
+    cut = docs.mapInArrow(_cut(chunk, overlap), CHUNKS).repartition("row", "chunk")
     joints = store(seams(cut.mapInArrow(_marked(ranks_path, pattern, chunk, overlap), MARKED)), "seams")
     # a chunk with no seam is no beginning: the chunk before it goes on to the next seam
     begins = joints.where("seam is not null").groupBy("row").agg(
         F.sort_array(F.collect_list(F.col("chunk") * chunk + F.col("seam"))).alias("begin")
     )
-    spans = docs.join(begins, "row").select(
-        "row", "doc_id", "text", F.posexplode("begin").alias("chunk", "start"),
-        F.concat(F.slice("begin", F.lit(2), F.size("begin")), F.array(F.length("text"))).alias("end"),
+    parts = (
+        docs.join(begins, "row").select("row", "doc_id", "text", "begin")
+        .mapInArrow(_cut_at, CHUNKS).repartition("row", "chunk")
     )
-    parts = spans.select(
-        "row", "doc_id", F.col("chunk").cast("long").alias("chunk"),
-        F.substring(
-            "text", F.col("start").cast("int") + 1,
-            (F.element_at("end", F.col("chunk") + 1) - F.col("start")).cast("int"),
-        ).alias("text"),
-    ).repartition("row", "chunk")
-    ids = parts.mapInArrow(_chunk_ids(ranks_path, pattern), "row long, doc_id long, chunk long, ids string")
-    return ids.groupBy("row").applyInArrow(_stitched(ranks_path, pattern), ENCODED)
+    ids = parts.mapInArrow(_encoded(ranks_path, pattern, ("row", "doc_id", "chunk")), CHUNK_IDS)
+    return ids.groupBy("row").applyInArrow(_joined, ENCODED)
 
 
-def encode_all(
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+    )
+
+
+def encode_documents(
     docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP
 ) -> DataFrame:
-    """Number and SHA-256 of the ids of every row's whole text, and SHA-256 of the decoded bytes.
+    """doc_id and ids of every row's whole text.
 
     Texts of up to ``chunk`` characters are encoded where they are. Longer ones are
-    chunked. A null or empty text has no ids, and its digests are those of nothing.
-    Rows that repeat an id, and rows without one, are encoded each by itself; other
-    columns are not read.
+    chunked. A null or empty text has no ids. Rows that repeat an id, and rows without
+    one, are encoded each by itself; other columns are not read.
+    """
+    texts, is_long = _texts(docs), F.length("text") > chunk
+    short = texts.where(~is_long).mapInArrow(_encoded(ranks_path, pattern), ENCODED)
+    return short.union(encode_long(texts.where(is_long), ranks_path, pattern, chunk, overlap))
+
+
+def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id and the raw bytes of every row of ids (doc_id, ids); those of a null list are none.
+
+    An id that the file lacks raises.
     """
-    docs = docs.select(
+    chosen = encoded.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        F.coalesce(F.col("ids"), F.array().cast("array<int>")).alias("ids"),
     )
-    is_long = F.length("text") > chunk
-    short = docs.where(~is_long).mapInArrow(_whole(ranks_path, pattern), ENCODED)
-    return short.union(encode_long(docs.where(is_long), ranks_path, pattern, chunk, overlap))
+    return chosen.mapInArrow(_decoded(ranks_path, pattern), DECODED)
+
+
+def token_digests(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Number of ids, SHA-256 of them in decimals joined by commas, and SHA-256 of the decoded bytes."""
+    return encoded.select("doc_id", "ids").mapInArrow(_digested(ranks_path, pattern), DIGESTS)
+
+
+def encode_all(
+    docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP
+) -> DataFrame:
+    """``token_digests`` of ``encode_documents``; ids of texts that aren't chunked stay in their worker."""
+    texts, is_long = _texts(docs), F.length("text") > chunk
+    encode, digest = _encoded(ranks_path, pattern), _digested(ranks_path, pattern)
+    short = texts.where(~is_long).mapInArrow(lambda batches: digest(encode(batches)), DIGESTS)
+    long = encode_long(texts.where(is_long), ranks_path, pattern, chunk, overlap)
+    return short.union(token_digests(long, ranks_path, pattern))

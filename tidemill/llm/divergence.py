@@ -27,7 +27,9 @@ LEAST_DOCS = 3
 #: What probabilities are given in, and the ranks that are listed of terms.
 UNIT, TOP_TERMS = 1_000_000_000, 200
 #: Bytes of text that are sorted at a time.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
+#: Bits of a value that are summed apart from the others.
+LOW_BITS = 24
 #: Slices of up to so many pointers are sorted without a pivot.
 SMALL = 2048
 
@@ -62,7 +64,7 @@ def term_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tupl
     # the eight bytes from any place on, as a number that sorts like them
     eights = np.ndarray((len(data) - 7,), ">u8", data.tobytes(), strides=(1,))
     order = np.arange(len(starts))
-    begins: list[int] = []
+    begins: list[np.ndarray] = []
     if not len(starts):
         return order, np.zeros(0, np.int64)
 
@@ -76,38 +78,33 @@ def term_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tupl
     waiting = [(0, order.copy(), keys(order, 0), 0)]
     while waiting:
         place, picked, key, depth = waiting.pop()
-        if len(picked) > SMALL:
-            some = key[:: len(key) // 64 + 1]
-            pivot = np.partition(some, len(some) // 2)[len(some) // 2]
-            parts = [key < pivot, key == pivot, key > pivot]
-        else:
+        if len(picked) <= SMALL:
             by_key = np.argsort(key, kind="stable")
             picked, key = picked[by_key], key[by_key]
-            parts = None
-        if parts is None:
-            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            longer = lengths[picked] > depth + 8
             order[place : place + len(picked)] = picked
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if hi - lo > 1 and longer[lo:hi].any():
-                    own = picked[lo:hi]
-                    waiting.append((place + lo, own, keys(own, depth + 8), depth + 8))
-                else:
-                    begins.append(place + lo)
+            edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.diff(np.append(edges, len(key)))
+            deeper = (sizes > 1) & (np.maximum.reduceat(lengths[picked], edges) > depth + 8)
+            begins.append(place + edges[~deeper])
+            for lo, n in zip(edges[deeper].tolist(), sizes[deeper].tolist(), strict=True):
+                own = picked[lo : lo + n]
+                waiting.append((place + lo, own, keys(own, depth + 8), depth + 8))
             continue
-        for nth, part in enumerate(parts):
-            n = int(np.count_nonzero(part))
-            if n:
-                own = picked[part]
-                if nth != 1:
-                    waiting.append((place, own, key[part], depth))
-                elif (lengths[own] > depth + 8).any():
-                    waiting.append((place, own, keys(own, depth + 8), depth + 8))
-                else:
-                    order[place : place + n] = own
-                    begins.append(place)
-                place += n
-    return order, np.sort(np.array(begins, np.int64))
+        some = key[:: len(key) // 64 + 1]
+        pivot = np.partition(some, len(some) // 2)[len(some) // 2]
+        for part in (key < pivot, key == pivot, key > pivot):
+            own = picked[part]
+            if not len(own):
+                continue
+            if key[part][0] != pivot:
+                waiting.append((place, own, key[part], depth))
+            elif (lengths[own] > depth + 8).any():
+                waiting.append((place, own, keys(own, depth + 8), depth + 8))
+            else:
+                order[place : place + len(own)] = own
+                begins.append(np.array([place]))
+            place += len(own)
+    return order, np.sort(np.concatenate(begins))
 
 
 def _counted(shard_bytes: int):
@@ -246,6 +243,41 @@ def term_values(rated: DataFrame, top_terms: int = TOP_TERMS) -> DataFrame:
     return used.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= top_terms)
 
 
+def _both_ways(rated: DataFrame, ends: DataFrame) -> DataFrame:
+    """For every two sources, what terms that both have add to their values.
+
+    A row of the join has the terms' probabilities in two sources, a before b, and gives
+    both directions. Sums are kept in two whole numbers, of the upper and the lower bits.
+    """
+    sides = rated.join(ends.select("lang", "source", "absent"), ["lang", "source"]).select(
+        "lang", "term", "source", "p", "absent"
+    )
+    a, b = (
+        sides.select("lang", "term", *[F.col(c).alias(f"{c}_{x}") for c in ("source", "p", "absent")])
+        for x in "ab"
+    )
+
+    def mended(x: str, y: str) -> Column:
+        p, q, p0, q0 = (F.col(c) for c in (f"p_{x}", f"p_{y}", f"absent_{x}", f"absent_{y}"))
+        return excess(p, q) - excess(p, q0) - excess(p0, q) + excess(p0, q0)
+
+    joined = a.join(b, ["lang", "term"]).where("source_a < source_b").select(
+        "lang", "source_a", "source_b", mended("a", "b").alias("ab"), mended("b", "a").alias("ba")
+    )
+    summed = joined.groupBy("lang", "source_a", "source_b").agg(
+        *[F.sum(F.shiftright(x, LOW_BITS)).alias(f"{x}_high") for x in ("ab", "ba")],
+        *[F.sum(F.col(x).bitwiseAND((1 << LOW_BITS) - 1)).alias(f"{x}_low") for x in ("ab", "ba")],
+    )
+
+    def whole(x: str) -> Column:
+        high, low = (F.col(f"{x}_{part}").cast("decimal(20,0)") for part in ("high", "low"))
+        return (high * F.lit(1 << LOW_BITS).cast("decimal(10,0)") + low).cast("decimal(38,0)").alias("value")
+
+    return summed.select("lang", F.col("source_a").alias("source"), F.col("source_b").alias("item"), whole("ab")).union(
+        summed.select("lang", "source_b", "source_a", whole("ba"))
+    )
+
+
 def pair_values(rated: DataFrame, sources: DataFrame) -> DataFrame:
     """Values of every two sources of a language, without a row for terms that neither has.
 
@@ -273,16 +305,7 @@ def pair_values(rated: DataFrame, sources: DataFrame) -> DataFrame:
     k = F.col("k").cast("decimal(18,0)")
     ours = added(first, (excess(F.col("p"), F.col("q0")) - none).cast("decimal(20,0)") * k)
     theirs = added(second, (excess(F.col("p0"), F.col("q")) - none).cast("decimal(20,0)") * k)
-    other = rated.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    shared = (
-        rated.select("lang", "term", "source", "p").join(other, ["lang", "term"]).where("source <> item")
-        .groupBy(*key, "p", "q").agg(F.count("*").alias("k")).join(pairs, key)
-    )
-    mended = (
-        excess(F.col("p"), F.col("q")) - excess(F.col("p"), F.col("q0"))
-        - excess(F.col("p0"), F.col("q")) + none
-    )
-    both = added(shared, mended.cast("decimal(20,0)") * k)
+    both = _both_ways(rated, ends)
     summed = base.unionByName(ours).unionByName(theirs).unionByName(both).groupBy(*key).agg(
         F.sum("value").cast("long").alias("value")
     )

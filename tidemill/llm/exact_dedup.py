@@ -2,11 +2,12 @@
 
 Digests are dealt to buckets. A bucket has a cuckoo filter of 16-bit
 fingerprints, which answers most questions, and the content it stands for: one
-row for each live digest. A filter hit is only a hint; it is verified against the
-content. A filter that overflows is built anew with twice the room from the
-stored digests. The index is a table in the shared folder; each batch of
-insertions or deletions writes a new version of it, bucket by bucket, so a lost
-executor costs the tasks it ran.
+row for each live digest, with its number of copies. A filter hit is only a hint; it is
+verified against the content. A filter that overflows is built anew with twice the
+room from the stored digests. The index is a keyed catalog table: a batch of
+insertions or deletions rewrites the partitions of the buckets that it touches, all at
+once, and the next program opens the table by its name. When digests become too many,
+buckets are split in two, each partition's when it is next touched.
 """
 
 from __future__ import annotations
@@ -15,13 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import SPACE, one_of_each, rows_with, store, text_or_empty
+from tidemill.sources import keyed
 
 #: Live digests that a bucket is laid out for.
 BUCKET_KEYS = 4096
+#: Partitions of an index, a power of two: bucket b lies in partition b modulo these.
+PARTITIONS = 64
 #: Fingerprints in one slot of a filter, and moves before it counts as full.
 SLOT, MOVES = 4, 200
 #: Entries that a task gathers before it hands on what it has summed up.
@@ -35,14 +39,12 @@ CONTENT = [
     ("keep_hash", pa.int64()),
     ("keep_rows", pa.int64()),
 ]
-ARRIVALS = pa.schema([("bucket", pa.int64()), *CONTENT])
-#: A row is a live digest, or (digest null) the filter of its bucket.
-STATE = pa.schema([*ARRIVALS, ("slots", pa.int64()), ("filter", pa.binary())])
-STATE_DDL = (
-    "bucket long, digest binary, rows long, points long, keep_id long, keep_hash long, "
-    "keep_rows long, slots long, filter binary"
+#: A row is a live digest, or (digest null, rows the bucket's live digests) the filter of its bucket.
+STATE = pa.schema(
+    [("bucket", pa.int64()), *CONTENT, ("buckets", pa.int64()), ("slots", pa.int64()), ("filter", pa.binary())]
 )
-ARRIVALS_DDL = STATE_DDL.rpartition(", slots")[0]
+CONTENT_DDL = "digest binary, rows long, points long, keep_id long, keep_hash long, keep_rows long"
+STATE_DDL = f"bucket long, {CONTENT_DDL}, buckets long, slots long, filter binary"
 
 
 class CuckooFilter:
@@ -106,9 +108,9 @@ class CuckooFilter:
             slots *= 2
 
 
-def _better(a: tuple, b: tuple) -> bool:
+def _better(a: list, b: list) -> bool:
     """Whether row ``a`` (points, id, hash) stays rather than ``b``: longer, smaller id, smaller hash."""
-    key = lambda r: (-r[0], r[1] is None, r[1] or 0, r[2])
+    key = lambda r: (r[0] is None, -(r[0] or 0), r[1] is None, r[1] or 0, r[2])
     return key(a) < key(b)
 
 
@@ -121,6 +123,15 @@ def _merge(into: list, more: list) -> None:
         into[1:] = more[1:]
 
 
+def _take(out_of: list, less: list) -> None:
+    """Take the group ``less`` out of ``out_of``; if all rows of the one that stays go, none is known."""
+    out_of[0] -= less[0]
+    if out_of[1:4] == less[1:4]:
+        out_of[4] -= less[4]
+        if out_of[4] <= 0:
+            out_of[1:] = [None, None, None, 0]
+
+
 def _table(entries: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*entries, strict=True) if entries else [[] for _ in schema]
     return pa.RecordBatch.from_arrays(
@@ -128,115 +139,207 @@ def _table(entries: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-def _gathered(buckets: int):
-    """Sums up equal digests of a task before they are shuffled, a bounded number at a time."""
+def _gathered(by_row: bool):
+    """Sums up equal digests (``by_row``: of equal rows) of a task, a bounded number at a time."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            rows = [
-                (int.from_bytes(d[8:16], "little") % buckets, d, *entry)
-                for d, entry in seen.items()
-            ]
-            return _table(rows, ARRIVALS)
+            return _table([(key[0], *entry) for key, entry in seen.items()], pa.schema(CONTENT))
 
-        seen: dict[bytes, list] = {}
+        seen: dict[tuple, list] = {}
         for batch in batches:
             for digest, points, doc_id, text_hash in zip(
                 *(batch.column(i).to_pylist() for i in range(4)), strict=True
             ):
                 entry = [1, points, doc_id, text_hash, 1]
-                if digest in seen:
-                    _merge(seen[digest], entry)
+                key = (digest, doc_id, text_hash) if by_row else (digest,)
+                if key in seen:
+                    _merge(seen[key], entry)
                 else:
                     if len(seen) >= GATHER:
                         yield out()
                         seen = {}
-                    seen[digest] = entry
+                    seen[key] = entry
         yield out()
 
     return gather
 
 
-def _read_bucket(state: pa.Table) -> tuple[dict[bytes, list], CuckooFilter | None]:
+def gathered(digests: DataFrame, by_row: bool = False) -> DataFrame:
+    """Rows of ``digest_rows`` as groups of equal digests, as far as a task has them at hand."""
+    chosen = digests.select("digest", "points", "doc_id", "text_hash")
+    return chosen.mapInArrow(_gathered(by_row), CONTENT_DDL)
+
+
+def _read_bucket(state: pa.Table, buckets: int) -> tuple[dict[bytes, list], CuckooFilter | None]:
+    """Content and filter of a bucket; a filter of fewer buckets than there are now is of no use."""
     content, index = {}, None
     for row in state.to_pylist():
-        if row["digest"] is None:
+        if row["digest"] is not None:
+            content[row["digest"]] = [row[name] for name, _ in CONTENT[1:]]
+        elif row["buckets"] == buckets:
             table = np.frombuffer(row["filter"], np.uint16).reshape(-1, SLOT).copy()
             index = CuckooFilter(row["slots"], table)
-        else:
-            content[row["digest"]] = [row[name] for name, _ in CONTENT[1:]]
+    if index is None and content:
+        index = CuckooFilter.of(content, CuckooFilter.sized_for(len(content)).slots)
     return content, index
 
 
-def _write_bucket(bucket: int, content: dict[bytes, list], index: CuckooFilter) -> pa.Table:
-    rows = [(bucket, d, *entry, None, None) for d, entry in content.items()]
-    rows.append((bucket, *[None] * len(CONTENT), index.slots, index.table.tobytes()))
+def _write_bucket(
+    bucket: int, content: dict[bytes, list], index: CuckooFilter, buckets: int
+) -> pa.Table:
+    rows = [(bucket, d, *entry, buckets, None, None) for d, entry in content.items()]
+    none = [None] * 4
+    rows.append((bucket, None, len(content), *none, buckets, index.slots, index.table.tobytes()))
     return pa.Table.from_batches([_table(rows, STATE)])
 
 
-def _insert(key: tuple, state: pa.Table, arrivals: pa.Table) -> pa.Table:
-    content, index = _read_bucket(state)
-    index = index or CuckooFilter.sized_for(len(arrivals))
+def _groups(arrivals: pa.Table) -> Iterator[tuple[bytes, list]]:
     digests = arrivals.column("digest").to_pylist()
     entries = zip(*(arrivals.column(name).to_pylist() for name, _ in CONTENT[1:]), strict=True)
     for digest, entry in zip(digests, entries, strict=True):
-        if index.contains(digest) and digest in content:  # a hit counts if the content has it
-            _merge(content[digest], list(entry))
-            continue
-        content[digest] = list(entry)
-        if not index.insert(digest):
-            index = CuckooFilter.of(content, index.slots * 2)
-    return _write_bucket(key[0].as_py(), content, index)
+        yield digest, list(entry)
+
+
+def _insert(buckets: int):
+    def insert(key: tuple, state: pa.Table, arrivals: pa.Table) -> pa.Table:
+        content, index = _read_bucket(state, buckets)
+        index = index or CuckooFilter.sized_for(len(arrivals))
+        for digest, entry in _groups(arrivals):
+            if index.contains(digest) and digest in content:  # a hit counts if the content has it
+                _merge(content[digest], entry)
+                continue
+            content[digest] = entry
+            if not index.insert(digest):
+                index = CuckooFilter.of(content, index.slots * 2)
+        return _write_bucket(key[0].as_py(), content, index, buckets)
+
+    return insert
+
+
+def _delete(buckets: int):
+    def delete(key: tuple, state: pa.Table, arrivals: pa.Table) -> pa.Table:
+        content, index = _read_bucket(state, buckets)
+        index = index or CuckooFilter.sized_for(1)
+        for digest, entry in _groups(arrivals):
+            if index.contains(digest) and digest in content:
+                _take(content[digest], entry)
+                if content[digest][0] <= 0:
+                    del content[digest]
+                    index.delete(digest)
+        return _write_bucket(key[0].as_py(), content, index, buckets)
+
+    return delete
+
+
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(buckets))
+
+
+def changed(state: DataFrame, groups: DataFrame, change, buckets: int) -> DataFrame:
+    """``state`` after ``change`` took ``groups`` in, with so many buckets, whatever it had before."""
+    dealt = F.when(F.col("digest").isNotNull(), bucket_of(buckets)).otherwise(F.col("bucket"))
+    placed = state.withColumn("bucket", dealt)
+    # filters of fewer buckets are made anew from the content
+    placed = placed.where((F.col("buckets") == buckets) | F.col("digest").isNotNull())
+    arrivals = groups.withColumn("bucket", bucket_of(buckets))
+    return (
+        placed.groupBy("bucket").cogroup(arrivals.groupBy("bucket")).applyInArrow(change(buckets), STATE_DDL)
+    )
 
 
-def _delete(key: tuple, state: pa.Table, arrivals: pa.Table) -> pa.Table:
-    content, index = _read_bucket(state)
-    index = index or CuckooFilter.sized_for(1)
-    for digest in set(arrivals.column("digest").to_pylist()):
-        if index.contains(digest) and digest in content:
-            del content[digest]
-            index.delete(digest)
-    return _write_bucket(key[0].as_py(), content, index)
+def _hits(batch_key: tuple, filters: pa.Table, digests: pa.Table) -> pa.Table:
+    """The digests that a bucket's filter may hold."""
+    found = []
+    if len(filters):
+        row = filters.to_pylist()[0]
+        index = CuckooFilter(row["slots"], np.frombuffer(row["filter"], np.uint16).reshape(-1, SLOT))
+        found = [d for d in digests.column("digest").to_pylist() if index.contains(d)]
+    return pa.table({"digest": pa.array(found, pa.binary())})
 
 
 class DigestIndex:
-    """Live digests in ``buckets`` buckets; ``version`` counts the batches applied."""
+    """Live digests, kept in the keyed catalog table ``name``."""
 
-    def __init__(self, spark: SparkSession, buckets: int):
-        self.spark, self.buckets, self.version = spark, max(1, buckets), 0
-        self.state = spark.createDataFrame([], STATE_DDL)
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+        keyed.keyed_table(spark, name)
 
     @staticmethod
-    def for_rows(spark: SparkSession, rows: int) -> DigestIndex:
-        return DigestIndex(spark, -(-rows // BUCKET_KEYS))
-
-    def _apply(self, digests: DataFrame, change) -> None:
-        arrivals = digests.select("digest", "points", "doc_id", "text_hash").mapInArrow(
-            _gathered(self.buckets), ARRIVALS_DDL
-        )
-        changed = (
-            self.state.groupBy("bucket")
-            .cogroup(arrivals.groupBy("bucket"))
-            .applyInArrow(change, STATE_DDL)
-        )
-        self.version += 1
-        self.state = store(changed, f"digest-index-{self.version}")
+    def create(
+        spark: SparkSession, name: str, folder: str | None = None, partitions: int = PARTITIONS
+    ) -> DigestIndex:
+        """A new index without digests; ``partitions`` is a power of two."""
+        nothing = spark.createDataFrame([], STATE_DDL)
+        keyed.create_keyed(nothing, name, ["bucket"], f"pmod(bucket, {partitions})", folder, unique=False)
+        return DigestIndex(spark, name)
+
+    def state(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def _partitions(self) -> int:
+        return int(keyed.keyed_table(self.spark, self.name).part.rsplit(", ", 1)[1].rstrip(")"))
+
+    def _buckets(self, more: int = 0) -> int:
+        """Buckets that the live digests and ``more`` are dealt to: as many as ever, or doubled."""
+        filters = self.state().where("digest is null")
+        live, buckets = filters.agg(F.sum("rows"), F.max("buckets")).first()
+        buckets = buckets or self._partitions()
+        while (live or 0) + more > buckets * BUCKET_KEYS:
+            buckets *= 2
+        return buckets
+
+    def _apply(self, groups: DataFrame, change, buckets: int) -> None:
+        keyed.load_keyed(
+            self.spark, self.name, groups.withColumn("bucket", bucket_of(buckets)),
+            lambda state, arrivals: changed(state, arrivals.drop("bucket"), change, buckets),
+        )
 
     def insert(self, digests: DataFrame) -> None:
         """Add the rows of ``digest_rows``; groups of equal digests grow."""
-        self._apply(digests, _insert)
+        groups = store(gathered(digests), "digest-groups")
+        self._apply(groups, _insert, self._buckets(groups.count()))
 
     def delete(self, digests: DataFrame) -> None:
-        """Take the digests of these rows out, with all they stand for; unknown ones are passed over."""
-        self._apply(digests, _delete)
+        """Take these rows, which have been inserted, out; a digest without rows is live no more.
+
+        Where the row that stays goes and others are left, none is known (``keep_id``
+        and ``points`` null) until ``settle``. Unknown digests are passed over.
+        """
+        self._apply(store(gathered(digests, by_row=True), "digest-groups"), _delete, self._buckets())
+
+    def settle(self, digests: DataFrame) -> None:
+        """Choose the row that stays, of the rows that are left, for digests that know none."""
+        open_ones = self.content().where("points is null").select("digest", F.col("rows").alias("left"))
+        groups = store(gathered(digests.join(open_ones.select("digest"), "digest", "left_semi")), "settled")
+        # the rows are counted already
+        self._apply(groups.withColumn("rows", F.lit(0).cast("long")), _insert, self._buckets())
 
     def content(self) -> DataFrame:
         """One row for each live digest: its rows and the one that stays."""
-        return self.state.where("digest is not null").drop("bucket", "slots", "filter")
+        return self.state().where("digest is not null").drop("bucket", "buckets", "slots", "filter")
 
     def lookup(self, digests: DataFrame) -> DataFrame:
-        """``digests`` with the columns of ``content``; null where the digest isn't live."""
-        return digests.join(self.content(), "digest", "left")
+        """``digests`` with the columns of ``content``; null where the digest isn't live.
+
+        Filters are asked first, and content is only joined for their hits.
+        """
+        state = self.state()
+        asked = digests.select("digest").distinct()
+        sizes = [r[0] for r in state.where("digest is null").select("buckets").distinct().collect()]
+        hits = [
+            state.where((F.col("buckets") == n) & F.col("digest").isNull()).select("bucket", "slots", "filter")
+            .groupBy("bucket").cogroup(asked.withColumn("bucket", bucket_of(n)).groupBy("bucket"))
+            .applyInArrow(_hits, "digest binary")
+            for n in sizes
+        ]
+        found = self.content()
+        if hits:
+            likely = hits[0]
+            for more in hits[1:]:
+                likely = likely.union(more)
+            found = found.join(likely.distinct(), "digest", "left_semi")
+        return digests.join(found, "digest", "left")
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
@@ -260,11 +363,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     null id comes after all others. Rows that repeat the id and text of the row
     that stays say that they stay as well. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     rows = store(digest_rows(docs), "digests")
-    index = DigestIndex.for_rows(spark, rows.count())
-    index.insert(rows)
-    return index.lookup(rows).withColumn(
+    buckets = max(1, -(-rows.count() // BUCKET_KEYS))
+    nothing = docs.sparkSession.createDataFrame([], STATE_DDL)
+    state = store(changed(nothing, gathered(rows), _insert, buckets), "digest-index")
+    live = state.where("digest is not null").drop("bucket", "buckets", "slots", "filter")
+    return rows.join(live, "digest", "left").withColumn(
         "kept",
         F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash")),
     )

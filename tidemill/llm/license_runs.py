@@ -126,10 +126,15 @@ def license_runs(docs: DataFrame, templates=TEMPLATES, least_dice: int = LEAST_D
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, least_dice: int = LEAST_DICE) -> DataFrame:
-    """``license_matches``, and the licences of a document that only ``license_runs`` finds."""
+    """doc_id, license, dice and passages of ``license_matches`` and ``license_runs`` together.
+
+    ``dice`` is the highest coefficient of any line, block, text or window. ``passages``
+    counts lines, blocks and texts; windows are only counted of a licence that none of
+    those shows, since a window mostly lies in one of them.
+    """
     units = license_matches(docs, templates, least_dice).withColumn("unit", F.lit(1))
     runs = license_runs(docs, templates, least_dice).withColumn("unit", F.lit(0))
     both = units.unionByName(runs).groupBy("doc_id", "license")
-    return both.agg(F.max(F.struct("unit", "dice", "passages")).alias("found")).select(
-        "doc_id", "license", "found.dice", "found.passages"
+    return both.agg(
+        F.max("dice").alias("dice"), F.max_by("passages", "unit").alias("passages")
     )

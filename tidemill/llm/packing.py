@@ -18,6 +18,7 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,6 +41,7 @@ PIECES = pa.schema(
     ))]
 )
 PIECES_DDL = ", ".join(f"{f.name} long" for f in PIECES)
+PIECE_IDS = pa.field("ids", pa.list_(pa.int32()))
 
 
 def byte_letters() -> dict[int, str]:
@@ -178,7 +180,11 @@ def step_groups(windows: list[Window], step_tokens: int = STEP_TOKENS) -> list[i
     return groups
 
 
-def _packed(tokenizer_path: str, tiers: tuple[int, ...], pack_tokens: int, step_tokens: int):
+def _packed(
+    tokenizer_path: str, tiers: tuple[int, ...], pack_tokens: int, step_tokens: int, with_ids: bool
+):
+    schema = PIECES.append(PIECE_IDS) if with_ids else PIECES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts_of = id_bytes(tokenizer_path).parts
         # sequences and step groups are numbered within the partition
@@ -190,12 +196,15 @@ def _packed(tokenizer_path: str, tiers: tuple[int, ...], pack_tokens: int, step_
             nonlocal sequence, group
             windows = pack([len(ids) // 4 for _, ids in docs], tiers)
             steps = step_groups(windows, step_tokens)
-            rows = []
+            rows, cut = [], []
             for window, step in zip(windows, steps, strict=True):
                 offset = 0
                 for doc, start, length in window.parts:
                     doc_id, ids = docs[doc]
-                    crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
+                    own = memoryview(ids)[4 * start : 4 * (start + length)]
+                    crc = zlib.crc32(own)
+                    if with_ids:
+                        cut.append(np.frombuffer(own, "<i4"))
                     rows.append(
                         (doc_id, start, length, crc, len(ids) // 4, sequence, offset,
                          window.size, group + step)
@@ -203,10 +212,10 @@ def _packed(tokenizer_path: str, tiers: tuple[int, ...], pack_tokens: int, step_
                     offset += length
                 sequence += 1
             group += max(steps, default=-1) + 1
-            columns = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], schema=PIECES
-            )
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+            if with_ids:
+                columns.append(pa.array(cut, PIECE_IDS.type))
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -229,9 +238,12 @@ def pack_documents(
     tiers: tuple[int, ...] = TIERS,
     pack_tokens: int = PACK_TOKENS,
     step_tokens: int = STEP_TOKENS,
+    with_ids: bool = False,
 ) -> DataFrame:
     """One row for each piece of a document: where it comes from and in which sequence it lies.
 
+    With ``with_ids`` a piece has its token ids as the column ``ids``.
+
     ``start`` and ``length`` are in tokens of the document, ``offset`` in those of the
     sequence; ``tier`` is the sequence's size and ``step_group`` the step it belongs
     to. A null or empty text is the end token alone. Repeated rows and rows without an
@@ -242,4 +254,5 @@ def pack_documents(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    return chosen.mapInArrow(_packed(tokenizer_path, tiers, pack_tokens, step_tokens), PIECES_DDL)
+    pack = _packed(tokenizer_path, tiers, pack_tokens, step_tokens, with_ids)
+    return chosen.mapInArrow(pack, PIECES_DDL + (", ids array<int>" if with_ids else ""))

@@ -24,6 +24,7 @@ from tidemill.llm import (
 )
 from tidemill.llm.common import read_table
 from tidemill.plans.registry import Plan
+from tidemill.shared import new_folder
 
 QUERIES: dict[str, Plan] = {}
 
@@ -212,9 +213,47 @@ def op4_exact_dedup(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    rf"""
+    WITH RECURSIVE {CRC_TABLE},
+    texts AS (
+      SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    alike AS (
+      SELECT doc_id, strlen(text) + 1 AS size, {CRC} AS text_crc32 FROM texts, crc_table),
+    numbered AS (
+      SELECT *, coalesce(doc_id::VARCHAR, '~' || text_crc32) AS name,
+             row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1 AS copy
+      FROM alike),
+    rows AS (
+      SELECT doc_id, size, text_crc32, ('0x' || substr(md5(
+               CASE WHEN copy = 0 THEN name ELSE name || '#' || copy END), 1, 8))::BIGINT
+               % {sharding.SLOTS} AS vslot
+      FROM numbered),
+    ranked AS (
+      SELECT vslot, sum(size)::BIGINT AS slot_bytes, count(*) AS slot_rows,
+             row_number() OVER (ORDER BY sum(size) DESC, vslot) AS turn
+      FROM rows GROUP BY vslot),
+    placed AS (
+      SELECT 0::BIGINT AS turn, 0::BIGINT AS vslot, 0::BIGINT AS slot_rows, 0 AS shard,
+             list_transform(range({sharding.SHARDS}), lambda x: 0::BIGINT) AS loads
+      UNION ALL
+      SELECT r.turn, r.vslot, r.slot_rows, list_position(p.loads, list_min(p.loads))::INTEGER - 1,
+             list_transform(p.loads, lambda l, i: CASE
+               WHEN i = list_position(p.loads, list_min(p.loads)) THEN l + r.slot_bytes ELSE l END)
+      FROM placed p JOIN ranked r ON r.turn = p.turn + 1),
+    starts AS (
+      SELECT vslot, shard, coalesce(sum(slot_rows) OVER (PARTITION BY shard ORDER BY vslot
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS slot_start
+      FROM placed WHERE turn > 0)
+    SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
+           (slot_start + row_number() OVER (
+             PARTITION BY vslot ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot,
+           NULL::INTEGER AS grown_shard, vslot
+    FROM rows JOIN starts USING (vslot)
+    """
+)
 def op5_sharding(spark, sf_dir):
-    rows = sharding.shard_by_bytes(documents(spark, sf_dir))
+    rows = sharding.shard_by_bytes(documents(spark, sf_dir), new_folder(spark, "slot-map"))
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "vslot",
@@ -403,12 +442,12 @@ def op10_license_scan(spark, sf_dir):
 
 @query()
 def op11_token_alignment(spark, sf_dir):
-    aligned = alignment.align_documents(
+    digests = alignment.align_digests(
         documents(spark, sf_dir),
         public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("piece_bpe_32k.model"),
     )
-    found = alignment.with_pair_sums(alignment.alignment_digests(aligned))
+    found = alignment.with_pair_sums(digests)
     return found.select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
     )

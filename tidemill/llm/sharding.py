@@ -2,37 +2,67 @@
 
 The number of slots never changes, so the hash of a row doesn't either. Bytes are
 summed up per slot; only the map from slots to shards is edited when sizes or the
-number of shards change, and each edit is stored as a new version. The map has one
-row per slot, whatever the number of rows.
+number of shards change, and each edit is stored as a new version in the map's folder,
+where the next run finds it. The map has one row per slot, whatever the number of rows.
+Rows that nothing tells apart are counted and numbered, and their numbers are hashed
+too, so that they are spread like any other rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import store
+from tidemill.shared import matching_paths, write_text
 
 #: Virtual slots.
 SLOTS = 4096
 SHARDS = 16
+#: Rows alike that one task numbers at a time.
+PIECE = 10_000
 
 
 def slot_of(slots: int) -> Column:
-    """Slot of a row: 32 bits of the MD5 of its id, or of its text's checksum if it has none."""
+    """Slot of a row: 32 bits of the MD5 of its id, or of its text's checksum if it has none.
+
+    Of rows alike the first one has that slot; the others hash their number as well.
+    """
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.col("text_crc32")))
+    name = F.when(F.col("copy") == 0, name).otherwise(F.concat(name, F.lit("#"), F.col("copy")))
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % slots
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot of every row."""
+    """doc_id, size, text_crc32, copy and virtual slot of every row.
+
+    Rows of one id, size and checksum are counted, and dealt out again in pieces of
+    ``PIECE`` rows, numbered by ``copy``; they differ in nothing else.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
+    alike = ["doc_id", "size", "text_crc32"]
+    counted = (
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+        )
+        .groupBy(*alike)
+        .agg(F.count("*").alias("n"))
+    )
+    first = counted.select(*alike, F.lit(0).cast("long").alias("copy"))
+    pieces = counted.where("n > 1").select(
+        *alike, "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {PIECE})")).alias("piece")
     )
-    return sized.withColumn("vslot", slot_of(slots))
+    others = pieces.repartition("doc_id", "text_crc32", "piece").select(
+        *alike,
+        F.explode(
+            F.expr(f"sequence(greatest(piece * {PIECE}, 1L), least((piece + 1) * {PIECE}, n) - 1)")
+        ).alias("copy"),
+    )
+    # a last piece of the first row alone would count down
+    others = others.where("copy > 0")
+    return first.unionByName(others).withColumn("vslot", slot_of(slots))
 
 
 def slot_sizes(rows: DataFrame) -> DataFrame:
@@ -107,9 +137,28 @@ def edit_map(old: DataFrame, sizes: DataFrame, shards: int = SHARDS) -> DataFram
     )
 
 
-def store_map(edited: DataFrame) -> DataFrame:
-    """The map, written as a version of its own."""
-    return store(edited.coalesce(1), "slot-map")
+def map_versions(spark: SparkSession, folder: str) -> list[int]:
+    """Versions of the map in ``folder`` that were written whole, ascending."""
+    return sorted(int(path.rsplit("/", 1)[1]) for path in matching_paths(spark, f"{folder}/_done/[0-9]*"))
+
+
+def last_map(rows: DataFrame, folder: str) -> DataFrame:
+    """The last version of the map in ``folder``, or one of no slots."""
+    spark = rows.sparkSession
+    versions = map_versions(spark, folder)
+    if not versions:
+        return empty_map(rows)
+    return spark.read.parquet(f"{folder}/version={versions[-1]}")
+
+
+def store_map(edited: DataFrame, folder: str) -> DataFrame:
+    """The map, written as the next version in ``folder``; earlier ones stay."""
+    spark = edited.sparkSession
+    version = max([0, *map_versions(spark, folder)]) + 1
+    path = f"{folder}/version={version}"
+    edited.coalesce(1).write.mode("overwrite").parquet(path)
+    write_text(spark, f"{folder}/_done/{version}", "")
+    return spark.read.parquet(path)
 
 
 def positions(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -137,14 +186,18 @@ def positions(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     )
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def shard_by_bytes(
+    docs: DataFrame, folder: str, shards: int = SHARDS, slots: int = SLOTS
+) -> DataFrame:
     """Every row of ``docs``, as doc_id, size and checksum, with shard, place and virtual slot.
 
-    Shards are nearly equal in bytes. Size is the text's UTF-8 bytes and 1; a null text
-    has no bytes and the checksum of nothing. A row without an id goes by its
-    checksum. Rows that repeat an id share its slot and have places of their own. An
-    empty table gives no rows; other columns are not read.
+    Shards are nearly equal in bytes. The last map in ``folder`` is edited for the rows
+    and the number of shards, and stored there as its next version: what a shard holds
+    beyond the mean moves, everything else stays. Size is the text's UTF-8 bytes and 1; a
+    null text has no bytes and the checksum of nothing. A row without an id goes by
+    its checksum, and rows alike, repeated ones or copies without an id, are spread over
+    slots. An empty table gives no rows; other columns are not read.
     """
     rows = store(records(docs, slots), "shard-rows")
-    slot_map = store_map(edit_map(empty_map(rows), slot_sizes(rows), shards))
+    slot_map = store_map(edit_map(last_map(rows, folder), slot_sizes(rows), shards), folder)
     return positions(rows, slot_map)
