@@ -60,10 +60,13 @@ def closest_vocabulary(column: str) -> str | None:
     return name if ratio > SIMILAR else None
 
 
-def _hash(row_id: Column, column: str, seed: int, part: int = 0) -> Column:
-    """60 bits of the MD5 of row, column, seed and part, joined by bars."""
-    name = F.concat_ws("|", row_id.cast("string"), F.lit(f"{column}|{seed}|{part}"))
-    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("bigint")
+def _hash(row_id: Column, column: str, seed: int, start: int = 0, digits: int = 15) -> Column:
+    """The number that some of the 32 hexadecimal digits of the MD5 of row, column and seed stand for.
+
+    Parts of a value are made of different digits, so a value needs one MD5.
+    """
+    name = F.concat_ws("|", row_id.cast("string"), F.lit(f"{column}|{seed}"))
+    return F.conv(F.substring(F.md5(name.cast("binary")), start + 1, digits), 16, 10).cast("bigint")
 
 
 def _choice(words: tuple[str, ...], hashed: Column) -> Column:
@@ -84,24 +87,20 @@ def _digits(hashed: Column, count: int) -> Column:
 def _text_value(name: str, row_id: Column, seed: int) -> Column:
     upper = name.upper()
 
-    def hashed(part: int) -> Column:
-        return _hash(row_id, name, seed, part)
+    def hashed(start: int, digits: int) -> Column:
+        return _hash(row_id, name, seed, start, digits)
 
-    def phrase(start: int) -> Column:
-        return F.concat_ws(
-            " ",
-            _choice(VERBS, hashed(start)),
-            _choice(QUALITIES, hashed(start + 1)),
-            _choice(NOUNS, hashed(start + 2)),
-        )
+    def phrase(nth: int) -> Column:
+        kinds = enumerate((VERBS, QUALITIES, NOUNS), 3 * nth)
+        return F.concat_ws(" ", *[_choice(words, hashed(3 * i, 3)) for i, words in kinds])
 
     if "COMPANY" in upper:
         return phrase(0)
     if "PHONE" in upper:
-        return F.concat_ws("-", _digits(hashed(0), 3), _digits(hashed(1), 3), _digits(hashed(2), 4))
+        return F.concat_ws("-", *[_digits(hashed(8 * i, 8), n) for i, n in enumerate((3, 3, 4))])
     if "COMMENT" in upper or "DESCRIPTION" in upper:
-        return F.concat_ws(" ", *[F.concat(F.initcap(phrase(3 * i)), F.lit(".")) for i in range(3)])
-    return _code(hashed(0))
+        return F.concat_ws(" ", *[F.concat(F.initcap(phrase(i)), F.lit(".")) for i in range(3)])
+    return _code(hashed(0, 15))
 
 
 def column_value(

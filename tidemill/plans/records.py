@@ -189,33 +189,34 @@ def generated(spark, sf_dir):
     return generate.generate_for(orders, generated_table(), now=F.lit(NOW).cast("timestamp"))
 
 
-def _hashed(column: str, part: int = 0) -> str:
-    return f"('0x' || substr(md5(o_orderkey || '|{column}|0|{part}'), 1, 15))::BIGINT"
+def _hashed(column: str, start: int = 0, digits: int = 15) -> str:
+    return f"('0x' || substr(md5(o_orderkey || '|{column}|0'), {start + 1}, {digits}))::BIGINT"
 
 
-def _chosen(words, column: str, part: int = 0) -> str:
+def _chosen(words, column: str, start: int = 0, digits: int = 15) -> str:
     listed = ", ".join(f"'{w}'" for w in words)
-    return f"([{listed}])[{_hashed(column, part)} % {len(words)} + 1]"
+    return f"([{listed}])[{_hashed(column, start, digits)} % {len(words)} + 1]"
 
 
-def _phrase(column: str, start: int) -> str:
+def _words(column: str, nth: int) -> list[str]:
     kinds = (generate.VERBS, generate.QUALITIES, generate.NOUNS)
-    return " || ' ' || ".join(_chosen(w, column, start + i) for i, w in enumerate(kinds))
+    return [_chosen(w, column, 3 * i, 3) for i, w in enumerate(kinds, 3 * nth)]
+
+
+def _phrase(column: str) -> str:
+    return " || ' ' || ".join(_words(column, 0))
 
 
 def _sentences(column: str) -> str:
     def capital(part: str) -> str:
         return f"upper({part}[1]) || substr({part}, 2)"
 
-    kinds = (generate.VERBS, generate.QUALITIES, generate.NOUNS)
-    words = [
-        [capital(_chosen(w, column, 3 * n + i)) for i, w in enumerate(kinds)] for n in range(3)
-    ]
-    return " || '. ' || ".join(" || ' ' || ".join(three) for three in words) + " || '.'"
+    three = [" || ' ' || ".join(map(capital, _words(column, n))) for n in range(3)]
+    return " || '. ' || ".join(three) + " || '.'"
 
 
 def _digits_sql(column: str, part: int, count: int) -> str:
-    return f"lpad(({_hashed(column, part)} % {10**count})::VARCHAR, {count}, '0')"
+    return f"lpad(({_hashed(column, 8 * part, 8)} % {10**count})::VARCHAR, {count}, '0')"
 
 
 _CODE = " || ".join(
@@ -229,7 +230,7 @@ GENERATED_SQL = f"""SELECT ({_hashed("reading")} % {generate.DEFAULT_ROWS + 1}):
         {_CODE} AS serial,
         {_chosen(generate.VOCABULARIES["device_types"], "device_type")} AS device_type,
         {_chosen(generate.VOCABULARIES["browser_versions"], "browser_version")} AS browser_version,
-        {_phrase("company", 0)} AS company,
+        {_phrase("company")} AS company,
         {_digits_sql("phone", 0, 3)} || '-' || {_digits_sql("phone", 1, 3)} || '-'
             || {_digits_sql("phone", 2, 4)} AS phone,
         {_sentences("description")} AS description,
