@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from messy import ROWS, WORD, edited, empty, messy, prose
 from pyspark.sql import functions as F
 
@@ -99,22 +100,25 @@ def test_quality_of_nothing_and_without_labels(spark):
     assert got.where("kept = base_failed").count() == 0
 
 
+def text_hash(text):
+    """The engine's 64-bit hash of a text; that of a null is its seed."""
+    value = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def line_truth(rows, similar=line_dedup.SIMILAR):
-    order = sorted(enumerate(rows), key=lambda r: (r[1][0] is None, r[1][0] or 0))
+    """Numbers of the lines that go, by id and text."""
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, text_hash(r[1])))
     lines = []
-    for place, (i, text) in order:
-        for k, line in enumerate((text or "").split("\n")):
-            lines.append((place, i, k, frozenset(WORD.findall(line.translate({c: c + 32 for c in range(65, 91)})))))
+    for row in order:
+        for k, line in enumerate((row[1] or "").split("\n")):
+            lines.append((row, k, frozenset(WORD.findall(line.translate({c: c + 32 for c in range(65, 91)})))))
     gone = {}
-    for x, (place, i, k, words) in enumerate(lines):
-        if len(words) < line_dedup.LEAST_WORDS:
-            continue
-        for _, j, m, other in lines[:x]:
-            if (j, m) != (i, k) and len(other) >= line_dedup.LEAST_WORDS and (
-                100 * len(words & other) >= similar * len(words | other)
-            ):
-                gone.setdefault(i, set()).add(k)
-                break
+    for x, (row, k, words) in enumerate(lines):
+        if words and any(
+            100 * len(words & other) >= similar * len(words | other) for _, _, other in lines[:x] if other
+        ):
+            gone.setdefault(row, set()).add(k)
     return gone
 
 
@@ -131,11 +135,12 @@ def test_line_report(spark):
     gone = line_truth(rows)
     got = sorted((r.doc_id or -1, r.n_lines, r.n_removed, r.removed) for r in line_dedup.line_report(docs).collect())
     truth = sorted(
-        (i or -1, (t or "").count("\n") + 1, len(gone.get(i, ())), ",".join(map(str, sorted(gone.get(i, ())))))
+        (i or -1, (t or "").count("\n") + 1, len(gone.get((i, t), ())),
+         ",".join(map(str, sorted(gone.get((i, t), ())))))
         for i, t in rows
-    )
+    )
     assert got == truth
-    assert gone[301] == {0, 2} and gone[302] == {1}
+    assert gone[LINES[1]] == {0, 2} and gone[LINES[2]] == {1}
     left = line_dedup.drop_lines(docs)
     assert left.schema == docs.schema and left.count() == len(rows)
     text = {r.doc_id: r.text for r in left.collect()}
@@ -149,12 +154,27 @@ def test_lines_of_near_copies_and_of_nothing(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     gone = {}
     _, lines = line_dedup.matched_lines(docs)
+    text = dict(rows)
     for r in lines.collect():
-        gone.setdefault(r.doc_id, set()).add(r.line)
+        gone.setdefault((r.doc_id, text[r.doc_id]), set()).add(r.line)
     assert gone == line_truth(rows)
     assert line_dedup.line_report(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [5, None])
+def test_clean_lines_stay_where_ids_repeat_or_lack(spark, doc_id):
+    shared, unique = "a line that every one of these texts has", "unique second line nobody else has at all"
+    rows = [(1, shared), (doc_id, f"{shared}\nfirst of its own words"), (doc_id, f"other words here\n{unique}")]
+    rows += [(doc_id, f"{unique} {i} {i + 1} {i + 2} {i + 3}\nkept {i} of {i + 100}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.text for r in line_dedup.drop_lines(docs).collect()}
+    gone = line_truth(rows)
+    assert left == {
+        "\n".join(line for k, line in enumerate(t.split("\n")) if k not in gone.get((i, t), ())) for i, t in rows
+    }
+    assert "first of its own words" in left and f"other words here\n{unique}" in left
+
+
 def test_short_lines_are_compared(spark):
     rows = [
         (1, "Share this page\nAll rights reserved.\n\none two three four five\nok"),

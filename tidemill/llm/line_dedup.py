@@ -32,10 +32,12 @@ PER_DOUBLING, CHUNK = 8, 1 << 16
 NO_ID = 9223372036854775807
 
 LINES = (
-    "doc_id long, line int, n int, set_a long, set_b long, alone int, bits long, prefix array<int>"
+    "doc_id long, text_hash long, line int, n int, set_a long, set_b long, alone int, bits long, prefix array<int>"
 )
 LINE_NAMES = [field.split()[0] for field in LINES.split(", ")]
-TOKENS = "doc_id long, line int, set_a long, tokens array<long>"
+TOKENS = "doc_id long, text_hash long, line int, set_a long, tokens array<long>"
+#: What tells documents apart: rows that repeat an id, or have none, by their texts.
+DOCUMENT = ["doc_id", "text_hash"]
 
 
 def line_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +121,8 @@ def _signed(codes, similar: int, least_words: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = codes.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for start, lines, hashes, of in _lines(batch.column(1)):
+            ids, texts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for start, lines, hashes, of in _lines(batch.column(2)):
                 n_lines = int(lines.sum())
                 sets, counts = line_sets(hashes, of, n_lines)
                 of = np.repeat(np.arange(n_lines), counts)
@@ -148,6 +150,7 @@ def _signed(codes, similar: int, least_words: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[start + row[own]]),
+                        pa.array(texts[start + row[own]]),
                         pa.array(number[own].astype(np.int32)),
                         pa.array(counts[own].astype(np.int32)),
                         pa.array(set_a[own].view(np.int64)),
@@ -164,6 +167,7 @@ def _signed(codes, similar: int, least_words: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[start : start + len(lines)]),
+                        pa.array(texts[start : start + len(lines)]),
                         pa.array((none - 1).astype(np.int32)),
                         pa.array(lines.astype(np.int32)),
                         *[pa.array(none)] * 2,
@@ -178,11 +182,11 @@ def _signed(codes, similar: int, least_words: int):
 
 
 def _chosen_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word sets of the lines listed in the third column."""
+    """Word sets of the lines listed in the last column."""
     for batch in batches:
-        wanted = batch.column(2).to_pylist()
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for start, lines, hashes, of in _lines(batch.column(1)):
+        wanted = batch.column(3).to_pylist()
+        ids, texts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        for start, lines, hashes, of in _lines(batch.column(2)):
             n_lines = int(lines.sum())
             first = np.cumsum(lines) - lines
             picked = [first[i] + k for i in range(len(lines)) for k in wanted[start + i]]
@@ -197,11 +201,12 @@ def _chosen_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[start + row]),
+                    pa.array(texts[start + row]),
                     pa.array((picked - first[row]).astype(np.int32)),
                     pa.array(set_a[picked].view(np.int64)),
                     _listed(sets.view(np.int64), counts[picked]),
                 ],
-                names=["doc_id", "line", "set_a", "tokens"],
+                names=[*DOCUMENT, "line", "set_a", "tokens"],
             )
 
 
@@ -245,19 +250,19 @@ def _later(chosen: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
     ids = store(
         pairs.select(F.col("id_a").alias("id")).union(pairs.select("id_b")).distinct(), "line-ids"
     )
-    places = store(classes.join(ids, "id").select("id", "doc_id", "line", "set_a"), "line-places")
+    places = store(classes.join(ids, "id").select("id", *DOCUMENT, "line", "set_a"), "line-places")
     wanted = store(
-        places.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("wanted")), "wanted"
+        places.groupBy(*DOCUMENT).agg(F.sort_array(F.collect_set("line")).alias("wanted")), "wanted"
     )
     found = (
-        chosen.join(small_side(wanted), "doc_id")
-        .select("doc_id", "text", "wanted")
+        chosen.join(small_side(wanted), DOCUMENT)
+        .select(*DOCUMENT, "text", "wanted")
         .mapInArrow(_chosen_sets, TOKENS)
     )
     sets = store(
-        # rows that repeat an id may have other words in a line of that number
-        found.dropDuplicates(["doc_id", "line", "set_a"])
-        .join(places, ["doc_id", "line", "set_a"])
+        # rows may come twice
+        found.dropDuplicates([*DOCUMENT, "line"])
+        .join(places, [*DOCUMENT, "line", "set_a"])
         .select("id", "tokens"),
         "line-sets",
     )
@@ -271,17 +276,21 @@ def _later(chosen: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
 def matched_lines(
     docs: DataFrame, similar: int = SIMILAR, least_words: int = LEAST_WORDS
 ) -> tuple[DataFrame, DataFrame]:
-    """Lines of every document, and those of them that go: (doc_id, n_lines), (doc_id, line).
-
-    A line goes if a line before it, in the order of doc_id and line number, is as
-    similar as asked for, whether that one goes or not. Every line that has a word is
-    compared; only lines of fewer different words than ``least_words``, if more are asked
-    for, are left alone. A null or empty text is one line without words. A row without an id comes after all others, under the id ``NO_ID``; rows that
-    repeat an id share the numbers of their lines, and what goes, goes in all of them.
+    """Lines of every document, and those of them that go: (doc_id, text_hash, n_lines), (doc_id, text_hash, line).
+
+    A line goes if a line before it, in the order of doc_id, hash of the whole text and
+    line number, is as similar as asked for, whether that one goes or not. Every line that
+    has a word is compared; only lines of fewer different words than ``least_words``, if
+    more are asked for, are left alone. A null or empty text is one line without words.
+    A row without an id comes after all others, under the id ``NO_ID``. Rows that share an
+    id, or have none, are documents of their own if their texts differ; rows of one id
+    and text are one document, which keeps its lines in each of them. An empty table gives
+    no rows; other columns are not read.
     """
     chosen = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text"
-    )
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
+        F.xxhash64("text").alias("text_hash"), "text",
+    )
     codes = docs.sparkSession.sparkContext.broadcast(rarity(chosen))  # COUNTS bytes
     lines = store(chosen.mapInArrow(_signed(codes, similar, least_words), LINES), "lines")
     rows = lines.where("line >= 0")
@@ -289,31 +298,35 @@ def matched_lines(
     # classes are numbered in the order of their first lines
     classes = store(
         rows.groupBy(*same)
-        .agg(F.min(F.struct("doc_id", "line", "alone", "bits", "prefix")).alias("first"))
+        .agg(F.min(F.struct(*DOCUMENT, "line", "alone", "bits", "prefix")).alias("first"))
         .select(*same, "first.*")
-        .orderBy("doc_id", "line")
+        .orderBy(*DOCUMENT, "line")
         .withColumn("id", F.monotonically_increasing_id()),
         "classes",
     )
     later = _later(chosen, classes, similar).withColumn("later", F.lit(True))
     firsts = classes.select(
-        *same, "id", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")
+        *same, "id", F.struct(*DOCUMENT, "line").alias("first")
     ).join(later.withColumnRenamed("id_b", "id"), "id", "left")
     gone = (
-        rows.select("doc_id", "line", *same)
+        rows.select(*DOCUMENT, "line", *same)
         .join(firsts.drop("id"), same)
-        .where("later or doc_id <> first_doc or line <> first_line")
-        .select("doc_id", "line")
+        .where("later or struct(doc_id, text_hash, line) <> first")
+        .select(*DOCUMENT, "line")
         .distinct()
     )
-    return lines.where("line < 0").select("doc_id", F.col("n").alias("n_lines")), gone
+    return lines.where("line < 0").select(*DOCUMENT, F.col("n").alias("n_lines")), gone
 
 
 def line_report(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_lines, n_removed and removed (numbers from 0, joined by commas) of every row."""
+    """doc_id, n_lines, n_removed and removed (numbers from 0, joined by commas) of every row.
+
+    Which lines those are, and what becomes of nulls, repeats and ties, is said by
+    ``matched_lines``.
+    """
     lines, gone = matched_lines(docs, similar)
-    listed = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed"))
-    return lines.join(listed, "doc_id", "left").select(
+    listed = gone.groupBy(*DOCUMENT).agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    return lines.join(listed, DOCUMENT, "left").select(
         F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id"),
         F.col("n_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
@@ -322,14 +335,20 @@ def line_report(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """``docs`` without the lines that go; its columns, and rows, are as they were."""
+    """``docs`` without the lines that go (``matched_lines``); its columns, and rows, are as they were.
+
+    A null text, and a row whose every line stays, is not touched.
+    """
     _, gone = matched_lines(docs, similar)
     listed = store(
-        gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line").alias("__gone")),
+        gone.groupBy(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).agg(
+            F.collect_set("line").alias("__gone")
+        ),
         "gone-lines",
     )
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
-    joined = docs.join(small_side(listed), key == F.col("__doc"), "left")
+    doc_id = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+    own = (doc_id == F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    joined = docs.join(small_side(listed), own, "left")
     kept = F.expr(
         "if(__gone is null, text, array_join(transform(filter(transform(split(text, '\\n'),"
         " (l, i) -> struct(i, l)), x -> not array_contains(__gone, x.i)), x -> x.l), '\\n'))"
