@@ -9,7 +9,7 @@ import pytest
 from messy import LONG, ROWS, SPACE, WORD, edited, empty, linked_components, messy, prose
 from pyspark.sql import functions as F
 
-from tidemill.llm import exact_dedup, near_dup, setjoin
+from tidemill.llm import common, exact_dedup, near_dup, setjoin
 from tidemill.llm.components import components
 from tidemill.llm.exact_dedup import CuckooFilter, DigestIndex
 from tidemill.llm.hashing import shingle_sets, text_bytes, word_hashes
@@ -279,3 +279,15 @@ def test_repeated_ids_join_their_texts(spark):
     got = {r.doc_id: r.component_id for r in near_dup.near_groups(docs).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
     assert near_dup.drop_near_duplicates(docs).agg(F.sort_array(F.collect_list("doc_id"))).first()[0] == [1, 4]
+
+
+def test_tables_are_broadcast_by_their_bytes(spark):
+    rows = spark.range(100).selectExpr("id", "repeat('x', 1000) AS text", "sequence(1, 50) AS xs")
+    total = rows.agg(F.sum(common.row_bytes(rows))).first()[0]
+    assert total == 100 * (8 + 8 + 1016 + 24 + 400)
+
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().analyzed().toString()
+
+    assert hinted(common.small_side(rows, total)) and not hinted(common.small_side(rows, total - 1))
+    assert hinted(common.small_side(rows.where("false"), 0))

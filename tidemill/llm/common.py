@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.shared import new_folder
 
 #: White space between words: space and the ASCII controls 9 to 13.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
-#: Rows of a key table that may be sent to every executor (some 30 MB).
-BROADCAST_ROWS = 500_000
+#: Rows of two or three numbers that may be sent to every executor, and bytes of any table.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 24 << 20
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
@@ -30,9 +33,24 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """``df``, a stored table, to be broadcast if its counted rows allow it; else left to a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of ``df`` takes: its texts' and lists' own sizes, and eight for a number."""
+
+    def size(field: T.StructField) -> Column:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return 16 + F.coalesce(F.octet_length(column), F.lit(0))
+        if isinstance(field.dataType, T.ArrayType):
+            return 24 + 8 * F.greatest(F.size(column), F.lit(0))
+        return F.lit(8)
+
+    return functools.reduce(Column.__add__, map(size, df.schema.fields), F.lit(8)).cast("long")
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a stored table, to be broadcast if the bytes of its rows allow it; else left to a shuffle."""
+    total = df.agg(F.sum(row_bytes(df))).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
 
 
 def row_key(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> list[Column]:

@@ -88,7 +88,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_near_dedup(spark, sf_dir):
     groups = near_dup.near_groups(documents(spark, sf_dir))
     return groups.select(
-        "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
