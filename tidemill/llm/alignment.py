@@ -48,39 +48,42 @@ DIGESTS = (
 def align(a_ends: Sequence[int], b_ends: Sequence[int]) -> tuple[list[int], list[int]]:
     """Indexes of every pair of tokens whose bytes overlap, in order.
 
-    Both lists hold ascending ends and have the last one in common.
+    Both arrays hold ascending ends and have the last one in common.
     """
+    # slices are compared as bytes, four for each end
+    a_raw, b_raw = (np.asarray(ends, np.int32).tobytes() for ends in (a_ends, b_ends))
+    a_end, b_end = (memoryview(raw).cast("i") for raw in (a_raw, b_raw))
     link_a: list[int] = []
     link_b: list[int] = []
     i = j = 0
-    n = len(a_ends)
+    n = len(a_end)
     while i < n:
         # tokens that go one to one at this shift
-        first, shift, step = i, j - i, FIRST_STEP
-        while i < n and a_ends[i : i + step] == b_ends[i + shift : i + shift + step]:
-            i += step
+        at, shift, step = 4 * i, 4 * (j - i), 4 * FIRST_STEP
+        while at < 4 * n and a_raw[at : at + step] == b_raw[at + shift : at + shift + step]:
+            at += step
             step += step
-        while step > 1 and i < n:
+        while step > 4 and at < 4 * n:
             step >>= 1
-            if a_ends[i : i + step] == b_ends[i + shift : i + shift + step]:
-                i += step
-        i = min(i, n)
-        j = i + shift
+            if a_raw[at : at + step] == b_raw[at + shift : at + shift + step]:
+                at += step
+        first, i = i, min(at >> 2, n)
         link_a += range(first, i)
-        link_b += range(first + shift, j)
+        link_b += range(j, j + i - first)
+        j += i - first
         if i == n:
             break
         # a group of others, up to the next end in common
-        ours, theirs = a_ends[i], b_ends[j]
+        ours, theirs = a_end[i], b_end[j]
         while True:
             link_a.append(i)
             link_b.append(j)
             if ours < theirs:
                 i += 1
-                ours = a_ends[i]
+                ours = a_end[i]
             elif theirs < ours:
                 j += 1
-                theirs = b_ends[j]
+                theirs = b_end[j]
             else:
                 break
         i, j = i + 1, j + 1
@@ -186,9 +189,7 @@ class Tokenizers:
             a, b = (
                 np.frombuffer(b"".join(ids[start : start + SEGMENT]), np.int32) for ids in (ids_a, ids_b)
             )
-            link_a, link_b = align(
-                np.cumsum(self.a_lengths[a]).tolist(), np.cumsum(self.b_lengths[b]).tolist()
-            )
+            link_a, link_b = align(np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b]))
             found = a, b, np.array(link_a, np.int32) + np.int32(n_a), np.array(link_b, np.int32) + np.int32(n_b)
             for column, values in zip(out, found, strict=True):
                 column.append(values)
@@ -250,9 +251,9 @@ def _chosen(docs: DataFrame) -> DataFrame:
 class Written(list):
     """Decimal ids with the mark that comes after them: three entries for each id."""
 
-    def up_to(self, most: int) -> list[str]:
+    def up_to(self, most: int) -> list[bytes]:
         for i in range(len(self) // 3, most + 1):
-            self += [f"{i},", f"{i}|", f"{i};"]
+            self += [b"%d," % i, b"%d|" % i, b"%d;" % i]
         return self
 
 
@@ -278,10 +279,8 @@ def groups_sha256(
     table = written.up_to(int(max(a.max(), b.max())))
     hashed = hashlib.sha256()
     for start in range(0, len(codes), 1 << 20):
-        part = "".join(map(table.__getitem__, codes[start : start + (1 << 20)].tolist()))
-        if start + (1 << 20) >= len(codes):
-            part = part[:-1]
-        hashed.update(part.encode())
+        part = b"".join(map(table.__getitem__, codes[start : start + (1 << 20)].tolist()))
+        hashed.update(part[:-1] if start + (1 << 20) >= len(codes) else part)
     return hashed.hexdigest()
 
 
