@@ -135,7 +135,7 @@ def test_ids_by_ranks_are_the_library_s():
     assert both.a_ranks is not None
     for _ in range(5000):
         part = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 15)))
-        assert both._a_ids(part) == both.a.encode(" " + part, add_special_tokens=False).ids
+        assert both.ids_of_a([part]) == [both.a.encode(" " + part, add_special_tokens=False).ids]
 
 
 def test_run_skipping_on_end_arrays():

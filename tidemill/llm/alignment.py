@@ -13,6 +13,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -141,19 +142,38 @@ class Tokenizers:
         ranks = {self.a_bytes[i]: i for i in vocabulary.values() if i not in special}
         return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
-    def _a_ids(self, part: str) -> list[int]:
-        if self.a_ranks is not None and _PLAIN.fullmatch(part):
-            return self.a_ranks.encode_ordinary(" " + part)
-        return self.a.encode(" " + part, add_special_tokens=False).ids
+    def ids_of_a(self, parts: Sequence[str]) -> list[list[int]]:
+        """A's ids of each part after a space."""
+        if self.a_ranks is None:
+            return [self.a.encode(" " + part, add_special_tokens=False).ids for part in parts]
+        by_rank, plain = self.a_ranks.encode_ordinary, _PLAIN.fullmatch
+        return [
+            by_rank(" " + part) if plain(part) else self.a.encode(" " + part, add_special_tokens=False).ids
+            for part in parts
+        ]
 
     def learn(self, parts: set[str]) -> None:
         """Encode the parts that aren't remembered: ids of A and B, and whether they spell the part."""
         unknown = [part for part in parts if part not in self.parts]
-        made = {}
-        for part, b in zip(unknown, self.b.encode(unknown, num_threads=1), strict=True):
-            a, spelt = self._a_ids(part), (" " + part).encode()
-            same = self.spell(self.a_bytes, a) == spelt == self.spell(self.b_bytes, b)
-            made[part] = array("i", a).tobytes(), array("i", b).tobytes(), same
+        sides = (
+            (self.a_bytes, self.a_lengths, self.ids_of_a(unknown)),
+            (self.b_bytes, self.b_lengths, self.b.encode(unknown, num_threads=1)),
+        )
+        columns, spelt = [], np.ones(len(unknown), bool)
+        whole = "".join([" " + part for part in unknown]).encode()
+        sizes = np.array([len(part.encode()) + 1 for part in unknown], np.int64)
+        for table, lengths, ids in sides:
+            flat = array("i", chain.from_iterable(ids))
+            ends = np.cumsum([0, *map(len, ids)])
+            own = np.append(0, np.cumsum(lengths[np.frombuffer(flat, np.int32)]))[ends]
+            # all parts at once, or if some are spelt otherwise each by itself
+            if self.spell(table, flat) != whole or (np.diff(own) != sizes).any():
+                spelt &= [
+                    self.spell(table, one) == (" " + part).encode() for one, part in zip(ids, unknown, strict=True)
+                ]
+            raw, at = flat.tobytes(), (4 * ends).tolist()
+            columns.append([raw[low:high] for low, high in zip(at, at[1:], strict=False)])
+        made = dict(zip(unknown, zip(*columns, spelt.tolist(), strict=True), strict=True))
         if len(self.parts) + len(made) <= REMEMBER:
             self.parts.update(made)
             made = {}
