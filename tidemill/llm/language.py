@@ -20,13 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemill.llm.common import small_side, store
 from tidemill.llm.hashing import text_bytes
 from tidemill.llm.token_counts import balanced
 
 #: Labelled rows that a language is learned from at most, and characters of each of them.
 TRAIN_ROWS, EXCERPT = 256, 320
 #: Rows of all languages together; where there are many languages each has fewer.
-ALL_ROWS = 16_384
+ALL_ROWS = 8192
 #: Bytes of a text that are parsed as one run; a phrase ends where a run does.
 RUN = 2048
 #: Bytes of text that a worker takes on at a time.
@@ -153,15 +154,16 @@ def training_rows(
     labelled = docs.where("lang is not null and text is not null").select(
         F.col("lang"), F.xxhash64("text").alias("__hash"), F.col("text")
     )
-    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("__hash").alias("__texts"))
+    sizes = store(
+        labelled.groupBy("lang").agg(F.approx_count_distinct("__hash").alias("__texts")), "languages"
+    )
     n_langs = sizes.count()
     rows = max(1, min(train_rows, all_rows // max(n_langs, 1)))
     spread = F.greatest(F.length("text") - excerpt, F.lit(0)) + 1
     start = F.pmod(F.xxhash64(F.lit(1), "__hash"), spread).cast("int") + 1
     draw = F.pmod(F.xxhash64(F.lit(2), "__hash"), F.lit(1 << 30))
-    # a row for each language
-    drawn = labelled.join(F.broadcast(sizes), "lang").where(
-        draw * F.col("__texts") < F.lit((2 * rows + 16) << 30)
+    drawn = labelled.join(small_side(sizes), "lang").where(
+        draw < F.lit(float((2 * rows + 16) << 30)) / F.col("__texts")
     )
     one_each = drawn.groupBy("lang", "__hash").agg(
         F.min(F.substring(F.col("text"), start, F.lit(excerpt))).alias("excerpt"),
@@ -248,7 +250,8 @@ def learn(docs: DataFrame, **bounds) -> Model:
     """A model of the languages of ``docs`` (text, lang), from the rows that ``training_rows`` takes.
 
     Every language is learned in a task of its own from a bounded text; the automata,
-    some 30 bytes for each byte of it, come to the driver and go out with the job. A
+    some 30 bytes for each byte of it, come to the driver and go out with the job: those
+    of all languages together stand for ``all_rows`` excerpts at most, or one of each. A
     language whose texts have no letters isn't learned.
     """
     learned = training_rows(docs, **bounds).groupBy("lang").applyInArrow(
