@@ -97,16 +97,6 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     hadoop.FileContext.getFileContext(final.toUri(), settings).rename(draft, final, over)
 
 
-def read_text(spark: SparkSession, path: str) -> str:
-    """Text of a small file."""
-    fs, hadoop = _hadoop_path(spark, path)
-    stream = fs.open(hadoop)
-    try:
-        return bytes(stream.readAllBytes()).decode()
-    finally:
-        stream.close()
-
-
 def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match a glob pattern, found in one call."""
     fs, hadoop = _hadoop_path(spark, pattern)
