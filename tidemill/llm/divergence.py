@@ -69,26 +69,35 @@ def term_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tupl
         return order, np.zeros(0, np.int64)
 
     def keys(picked: np.ndarray, depth: int) -> np.ndarray:
-        left = np.clip(lengths[picked] - depth, 0, 8)
-        shift = (np.minimum(8 - left, 7) * 8).astype(np.uint64)
+        left = lengths[picked] - depth
+        shift = ((8 - np.minimum(np.maximum(left, 1), 8)) << 3).astype(np.uint64)
+        found = (eights[starts[picked] + np.minimum(depth, lengths[picked] - 1)].astype(np.uint64) >> shift) << shift
         # a term that has ended comes first, as none has a byte of 0
-        return np.where(left > 0, (eights[starts[picked] + depth * (left > 0)].astype(np.uint64) >> shift) << shift, 0)
+        found[left <= 0] = 0
+        return found
 
     # slices (place, pointers, keys at the depth, depth), the last one first
     waiting = [(0, order.copy(), keys(order, 0), 0)]
     while waiting:
         place, picked, key, depth = waiting.pop()
         if len(picked) <= SMALL:
-            by_key = np.argsort(key, kind="stable")
-            picked, key = picked[by_key], key[by_key]
-            order[place : place + len(picked)] = picked
-            edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            sizes = np.diff(np.append(edges, len(key)))
-            deeper = (sizes > 1) & (np.maximum.reduceat(lengths[picked], edges) > depth + 8)
-            begins.append(place + edges[~deeper])
-            for lo, n in zip(edges[deeper].tolist(), sizes[deeper].tolist(), strict=True):
-                own = picked[lo : lo + n]
-                waiting.append((place + lo, own, keys(own, depth + 8), depth + 8))
+            # all runs of the slice that are equal so far go on together
+            places, run = place + np.arange(len(picked)), np.zeros(len(picked), np.int64)
+            while len(picked):
+                by_key = np.lexsort((key, run))
+                picked, key = picked[by_key], key[by_key]
+                order[places] = picked
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (run[1:] != run[:-1])
+                edges = np.flatnonzero(new)
+                sizes = np.diff(np.append(edges, len(key)))
+                deeper = (sizes > 1) & (np.maximum.reduceat(lengths[picked], edges) > depth + 8)
+                begins.append(places[edges[~deeper]])
+                again = np.repeat(deeper, sizes)
+                picked, places = picked[again], places[again]
+                run = np.repeat(np.arange(len(sizes)), sizes)[again]
+                depth += 8
+                key = keys(picked, depth)
             continue
         some = key[:: len(key) // 64 + 1]
         pivot = np.partition(some, len(some) // 2)[len(some) // 2]
