@@ -1,3 +1,4 @@
+import hashlib
 import json
 from datetime import date
 
@@ -117,3 +118,27 @@ def test_checks(spark):
     with pytest.raises(quality.CheckFailed, match="wrong: 7 != 8"):
         quality.require(checked)
     assert quality.require(checked.where("ok")).count() == 1
+
+
+def test_every_part_of_a_text_has_a_digest_of_its_own(spark):
+    ids = spark.range(200)
+    table = declared(("company", "STRING"), ("phone", "STRING"), ("description", "STRING"))
+
+    def part(i, column, n):
+        return int(hashlib.md5(f"{i}|{column}|0|{n}".encode()).hexdigest()[:15], 16)
+
+    def phrase(i, column, first):
+        kinds = (generate.VERBS, generate.QUALITIES, generate.NOUNS)
+        return " ".join(w[part(i, column, first + n) % len(w)] for n, w in enumerate(kinds))
+
+    wanted = [
+        (
+            phrase(i, "company", 0),
+            "-".join(f"{part(i, 'phone', n) % 10**k:0{k}}" for n, k in enumerate((3, 3, 4))),
+            " ".join(phrase(i, "description", 3 * n).title() + "." for n in range(3)),
+        )
+        for i in range(200)
+    ]
+    assert sorted(map(tuple, generate.generate_for(ids, table).collect())) == sorted(wanted)
+    other = generate.generate_for(ids, table, one_digest=True)
+    assert sorted(map(tuple, other.collect())) != sorted(wanted)

@@ -9,9 +9,9 @@ from tidemill.functions.columns import space_tokens, whitespace_tokens
 from tidemill.operators import cdc, generate, records
 from tidemill.plans.records import (
     FINAL_SALES_SQL,
-    GENERATED_SQL,
     NOW,
     SALES_ROW,
+    generated_sql,
     generated_table,
     sales_changes,
 )
@@ -258,7 +258,7 @@ def stream_table(spark, sf_dir):
     return spark.table(name).drop(sinks.BATCH)
 
 
-@plan(f"SELECT serial AS key, * FROM ({GENERATED_SQL})")
+@plan(f"SELECT serial AS key, * FROM ({generated_sql(one_digest=True)})")
 def stream_generated(spark, sf_dir):
     """Generated records of the orders, whose keys a clock of rows counts up in several runs."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
@@ -267,7 +267,7 @@ def stream_generated(spark, sf_dir):
     declared, moment = generated_table(), F.lit(NOW).cast("timestamp")
     for _ in range(GENERATED_RUNS):
         ids = counted_rows(spark, last // GENERATED_RUNS + 1).select("id").join(orders, "id", "left_semi")
-        rows = generate.generate_for(ids, declared, now=moment)
+        rows = generate.generate_for(ids, declared, now=moment, one_digest=True)
         topic = generate.as_records(rows, declared)
         sinks.drain(spark, sinks.appended_table_writer(topic, base, checkpoint))
     return records.from_topic_rows(sinks.read_appended(spark, base), rows.schema, "key")
