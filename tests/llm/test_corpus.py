@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -10,6 +11,7 @@ from math import floor
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from messy import ROWS, empty, messy, prose
 from pyspark.sql import functions as F
@@ -325,6 +327,21 @@ def test_divergence_of_messy_rows(spark, least, top):
     assert sorted(map(tuple, got.collect())) == divergence_truth(rows, least, top)
 
 
+def test_counting_terms_takes_little_memory():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(1, 12))) for _ in range(20_000)]
+    texts = [" ".join(rng.choices(words, k=2000)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "lang": ["en"] * 1500, "source": ["a", "b", "c"] * 500})
+    assert batch.nbytes > 16 << 20
+    tracemalloc.start()
+    try:
+        found = sum(b.num_rows for b in divergence._counted(divergence.SHARD_BYTES)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found and peak < 128 << 20
+
+
 def test_divergence_of_sources_that_share_little(spark):
     rows = [
         (f"{'É' if i % 5 else 'e'}toile common{i % 3} only{i % 7} ABCDEFGH abcdefgh abcdefghi", f"l{i % 2}", f"s{i % 7}")

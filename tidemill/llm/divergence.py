@@ -26,8 +26,8 @@ from tidemill.llm.token_counts import balanced
 LEAST_DOCS = 3
 #: What probabilities are given in, and the ranks that are listed of terms.
 UNIT, TOP_TERMS = 1_000_000_000, 200
-#: Bytes of text that are sorted at a time.
-SHARD_BYTES = 16 << 20
+#: Bytes of text that are sorted at a time; pointers, keys and counts take some 17 times as much.
+SHARD_BYTES = 4 << 20
 #: Bits of a value that are summed apart from the others.
 LOW_BITS = 24
 #: Slices of up to so many pointers are sorted without a pivot.
