@@ -93,6 +93,13 @@ def test_quality_verdicts(spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(t[0] for t in truth if t[-1])
 
 
+def test_all_trusted_labels_are_read(spark):
+    given = spark.range(60_000).selectExpr("id AS doc_id", "int(id % 2) AS quality", "0 AS toxic")
+    found = quality.trusted_ids(given)
+    assert found.select("doc_id").distinct().count() == found.count() == 30_000
+    assert 7_000 < found.where("held_out").count() < 8_000
+
+
 def test_quality_of_nothing_and_without_labels(spark):
     none = spark.createDataFrame([], LABELS)
     assert quality.quality_verdicts(empty(spark), none).count() == 0

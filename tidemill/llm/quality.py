@@ -18,15 +18,13 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import SPACE, store, text_or_empty
+from tidemill.llm.common import SPACE, small_side, store, text_or_empty
 
 #: Hash buckets of words and pairs.
 BUCKETS = 1 << 16
 #: Units of the log-likelihood ratio.
 UNITS = 1024
-#: Labelled rows that the trusted multinomial is fitted on: those of the smallest MD5 of the id.
-TRUSTED_ROWS = 20_000
-#: Last digits of that MD5 whose rows are held out, to set the threshold by texts not fitted on.
+#: Last digits of the MD5 of the id whose rows are held out, to set the threshold by texts not fitted on.
 HELD_OUT = ("0", "4", "8", "c")
 #: Share of the held-out trusted texts that may lie below the threshold, before this margin.
 LOW_SHARE, MARGIN = 0.001, 1 / 16
@@ -62,26 +60,24 @@ def worded(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     )
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids that some label calls good and none calls bad or toxic, and whether they are held out.
-
-    At most ``most``, those of the smallest MD5.
-    """
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All ids that some label calls good and none calls bad or toxic, and whether they are held out."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("toxic").alias("toxic")
     )
     picked = good.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
     code = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    first = picked.orderBy(code, "doc_id").limit(most)
-    return first.withColumn("held_out", F.substring(code, 32, 1).isin(*HELD_OUT))
+    return picked.withColumn("held_out", F.substring(code, 32, 1).isin(*HELD_OUT))
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """bucket, how often it occurs in ``docs``, and in those trusted and not held out."""
+    """bucket, how often it occurs in ``docs``, and in those trusted and not held out.
+
+    ``trusted`` is a stored table; its ids are broadcast while their bytes allow it.
+    """
+    fitted_on = small_side(trusted.where("not held_out").select("doc_id"))
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        F.broadcast(trusted.where("not held_out").select("doc_id", F.lit(1).alias("trusted"))),
-        "doc_id",
-        "left",
+        fitted_on.withColumn("trusted", F.lit(1)), "doc_id", "left"
     )
     # the outer form: the plain one would compute the array once more, to filter by its size
     seen = worded(marked, buckets).select("trusted", F.explode_outer("features").alias("bucket"))
@@ -132,7 +128,7 @@ def threshold(docs: DataFrame, trusted: DataFrame, table: list[int]) -> int:
     such texts nothing is rejected.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        F.broadcast(trusted.where("held_out")), "doc_id", "left_semi"
+        small_side(trusted.where("held_out").select("doc_id")), "doc_id", "left_semi"
     )
     rate = F.floor(F.col("llr") / F.col("n_features"))
     found = scored(own, table).where(F.col("n_words") >= LEAST_WORDS).agg(
