@@ -10,6 +10,7 @@ or streaming frames.
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator, Sequence
 from decimal import Decimal
@@ -119,34 +120,41 @@ def running_total(
 
 
 class LastAmounts(StatefulProcessor):
-    """Holds the amount and position of the last event of each key of a group, and tells what later ones change."""
+    """Holds the amount and position of the last event of each key of a group, and tells what later ones change.
 
-    def __init__(self, key: str, kind_of_key: str, kind: str):
-        self.key, self.row = key, f"key {kind_of_key}, lsn bigint, changed bigint, sent bigint, amount {kind}"
+    Rows come as (group, key, op, amount, lsn, changed, sent). The state of a group is one
+    value of bytes, the pickled dictionary of its keys: the JVM does not take it apart.
+    """
+
+    def __init__(self, key: str):
+        self.key = key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = self.row.replace(" ", ":", 1).replace(", ", ",").replace(" ", ":")
-        self.state = handle.getValueState("last", f"rows array<struct<{fields}>>")
+        self.state = handle.getValueState("last", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         newest: dict = {}
-        for row in rows:
-            if row[self.key] is None:
+        for _, name, _, amount, lsn, changed, sent in rows:
+            if name is None:
                 raise ValueError("a truncation can't be told from differences: keep latest_changes instead")
-            event = (row["lsn"], row["changed"], row["sent"], row["amount"] or Decimal(0))
-            held = newest.get(row[self.key])
+            event = (lsn, changed, sent, amount or Decimal(0))
+            held = newest.get(name)
             if held is None or event[:3] > held[:3]:
-                newest[row[self.key]] = event
+                newest[name] = event
         state = self.state.get()
-        held_rows = {} if state is None else {row[0]: tuple(row)[1:] for row in state[0]}
+        held_rows = {} if state is None else pickle.loads(state[0])
         later = {
             k: event for k, event in newest.items() if k not in held_rows or event[:3] > held_rows[k][:3]
         }
         if not later:
             return
-        self.state.update(([(k, *event) for k, event in (held_rows | later).items()],))
-        for k, event in later.items():
-            yield Row(**{self.key: k, "change": event[3] - (held_rows[k][3] if k in held_rows else 0)})
+        changed_row = Row(self.key, "change")
+        changes = [
+            changed_row(k, event[3] - (held_rows[k][3] if k in held_rows else 0)) for k, event in later.items()
+        ]
+        held_rows.update(later)
+        self.state.update((pickle.dumps(held_rows, pickle.HIGHEST_PROTOCOL),))
+        yield from changes
 
     def close(self) -> None:
         pass
@@ -169,10 +177,11 @@ def amount_changes(
     name = F.coalesce(F.col(f"after.{key}"), F.col(f"before.{key}"))
     named = _required(F.col("op"), name.isNotNull() | (F.col("op") == TRUNCATE), "change event without key")
     keyed = changes.select(name.alias(key), named.alias("op"), there.alias("amount"), "position.*")
-    keyed = keyed.withColumn("_group", F.col(key) if group is None else group)
+    placed = (F.col(key) if group is None else group).alias("_group")
+    keyed = keyed.select(placed, key, "op", "amount", "lsn", "changed", "sent")
     kind_of_key = keyed.schema[key].dataType.simpleString()
     return keyed.groupBy("_group").transformWithState(
-        LastAmounts(key, kind_of_key, kind), f"`{key}` {kind_of_key}, change {kind}", "Update", "None"
+        LastAmounts(key), f"`{key}` {kind_of_key}, change {kind}", "Update", "None"
     )
 
 

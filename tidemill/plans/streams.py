@@ -205,7 +205,9 @@ def cdc_continuous_total(spark, sf_dir):
     base, checkpoint = new_folder(spark, "totals"), new_folder(spark, "checkpoint")
     lsn = F.get_json_object("value", "$.source.lsn").cast("bigint")
     arrival = F.pmod(F.floor(lsn / 64) + lsn % 8, F.lit(ARRIVALS))
-    arriving = changes.where(lsn >= 0).select("key", "value", arrival.alias("arrival"))
+    arriving, logged = changes.where(lsn >= 0), new_folder(spark, "change-log")
+    arriving.select("key", "value", arrival.alias("arrival")).write.partitionBy("arrival").parquet(logged)
+    arriving = spark.read.parquet(logged)
     schema = changes.schema
     row = spark.createDataFrame([], SALES_ROW).schema
     for batch in range(ARRIVALS):
