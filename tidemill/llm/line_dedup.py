@@ -279,8 +279,10 @@ def _met(similar: int, named: int | None):
         is_open = table.column("open").to_numpy()[order] if named is None else np.ones(len(n), bool)
         del batches, table, sized, order
         group = np.cumsum(np.diff(token, prepend=token[0]) != 0) << 32
+        # the size up to which others may be similar, and the words left here may do
+        most = np.minimum(n * 100 // similar, left * (100 + similar) // similar - n)
         # group and size in one number; of sizes beyond 32 bits there are none
-        width = np.searchsorted(group | n, group | np.minimum(n * 100 // similar, 0xFFFFFFFF), "right")
+        width = np.searchsorted(group | n, group | np.clip(most, 0, 0xFFFFFFFF), "right")
         width -= np.arange(1, len(n) + 1)
         widest = np.argsort(-width, kind="stable")
         widths = -width[widest]
